@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import line_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +30,16 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_decontaminate, op4_bpe, op9_token_counts)}
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_components
 
-ORACLE_SQL: dict[str, str] = {}
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_decontaminate, op4_bpe, op6_simhash, op9_token_counts, op10_line_dedup)}
+
+ORACLE_SQL: dict[str, str] = {"op10_line_dedup": line_dedup.ORACLE}
