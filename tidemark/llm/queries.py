@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup
+from . import licenses, line_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import round_trip
 
@@ -40,6 +44,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_decontaminate, op4_bpe, op6_simhash, op9_token_counts, op10_line_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_decontaminate, op3_licenses, op4_bpe, op6_simhash, op9_token_counts, op10_line_dedup)}
 
-ORACLE_SQL: dict[str, str] = {"op10_line_dedup": line_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses.oracle(), "op10_line_dedup": line_dedup.ORACLE}
