@@ -40,6 +40,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_components
 
@@ -50,6 +56,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_decontaminate, op3_licenses, op4_bpe, op6_simhash, op8_language_id, op9_token_counts, op10_line_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_decontaminate, op3_licenses, op4_bpe, op5_pii, op6_simhash, op8_language_id, op9_token_counts, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses.oracle(), "op10_line_dedup": line_dedup.ORACLE}
