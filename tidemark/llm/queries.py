@@ -12,6 +12,12 @@ from .common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vptree import every_20th
+
+    return every_20th(table(spark, sf_dir, "embeddings"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -56,6 +62,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_decontaminate, op3_licenses, op4_bpe, op5_pii, op6_simhash, op8_language_id, op9_token_counts, op10_line_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_vptree, op2_decontaminate, op3_licenses, op4_bpe, op5_pii, op6_simhash, op8_language_id, op9_token_counts, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses.oracle(), "op10_line_dedup": line_dedup.ORACLE}
