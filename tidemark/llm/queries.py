@@ -34,6 +34,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents")).drop("token_ids")
 
 
+def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pseudo_likelihood import pseudo_likelihood
+
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import language_id
 
@@ -62,6 +68,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_vptree, op2_decontaminate, op3_licenses, op4_bpe, op5_pii, op6_simhash, op8_language_id, op9_token_counts, op10_line_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_vptree, op2_decontaminate, op3_licenses, op4_bpe, op5_pii, op6_simhash, op7_pseudo_likelihood, op8_language_id, op9_token_counts, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses.oracle(), "op10_line_dedup": line_dedup.ORACLE}
