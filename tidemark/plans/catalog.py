@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import archive_queries
+
+MODULES = (archive_queries,)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for m in MODULES for name, (f, _) in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
