@@ -105,14 +105,15 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     if not pieces:
         return None
     languages = sorted(set(labels))
+    y = np.array([languages.index(v) for v in labels])
     rng = np.random.default_rng(seed)
-    x, y = presence(pieces), np.array([languages.index(v) for v in labels])
     chosen = np.concatenate([rng.permutation(np.flatnonzero(y == c))[: max(1, landmarks // len(languages))] for c in range(len(languages))])
-    marks = x[chosen]
+    marks = presence([pieces[i] for i in chosen])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(float))
     keep = values > 1e-6 * values[-1]
     whiten = vectors[:, keep] / np.sqrt(values[keep])
-    z = (x @ marks.T).astype(float) @ whiten
+    kernel = np.concatenate([presence(pieces[i : i + 256]) @ marks.T for i in range(0, len(pieces), 256)])
+    z = kernel.astype(float) @ whiten
     target = np.where(y[:, None] == np.arange(len(languages)), 1.0, -1.0)
     share = np.bincount(y, minlength=len(languages)) / len(y)
     row_weight = 1 / (share[y] * len(languages))

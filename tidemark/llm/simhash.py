@@ -109,86 +109,85 @@ def stars(fps: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
 
 
 def bucket_edges(buckets: DataFrame, radius: int) -> DataFrame:
-    """(a, b), a < b, of rows (bucket, fp) dealt and sorted by bucket: stars of each bucket."""
+    """(a, b), a < b, of rows (bucket, fp, node) dealt and sorted by bucket: stars of each bucket, by the nodes' names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_b, held_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = [np.zeros(0, np.int64)] * 3
 
-        def edges(b: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+        def edges(b: np.ndarray, f: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
             cut = np.flatnonzero(np.diff(b)) + 1
             begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(b)]])
             pair = begin[end - begin == 2]
             near = pair[np.bitwise_count((f[pair] ^ f[pair + 1]).view(np.uint64)) <= radius]
             near = near[f[near] != f[near + 1]]
-            low, high = [np.minimum(f[near], f[near + 1])], [np.maximum(f[near], f[near + 1])]
+            one, other = [node[near]], [node[near + 1]]
             for i in np.flatnonzero(end - begin > 2):
                 x, y = stars(f[begin[i] : end[i]], radius)
-                low.append(np.array(x, np.int64))
-                high.append(np.array(y, np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(low)), pa.array(np.concatenate(high))], ["a", "b"])
+                if x:
+                    order = np.argsort(f[begin[i] : end[i]], kind="stable") + begin[i]
+                    one.append(node[order[np.searchsorted(f[order], np.array(x, np.int64))]])
+                    other.append(node[order[np.searchsorted(f[order], np.array(y, np.int64))]])
+            one, other = np.concatenate(one), np.concatenate(other)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other))], ["a", "b"])
 
         for batch in batches:
-            b, f = (np.concatenate([old, c.to_numpy()]) for old, c in zip((held_b, held_f), batch.columns, strict=True))
-            if len(b):
-                last = int(np.searchsorted(b, b[-1], "left"))
-                held_b, held_f = b[last:].copy(), f[last:].copy()
-                if last:
-                    yield edges(b[:last], f[:last])
-        if len(held_b):
-            yield edges(held_b, held_f)
+            held = [np.concatenate([old, c.to_numpy()]) for old, c in zip(held, batch.columns, strict=True)]
+            last = int(np.searchsorted(held[0], held[0][-1], "left")) if len(held[0]) else 0
+            if last:
+                yield edges(*(x[:last] for x in held))
+                held = [x[last:].copy() for x in held]
+        if len(held[0]):
+            yield edges(*held)
 
     return buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(a, b): for distinct fingerprints `fp`, edges that connect whatever links within the radius connect."""
+    """(a, b): for distinct fingerprints (fp, node), edges that connect whatever links within the radius connect."""
     tables = F.explode(F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for i, m in enumerate(covering_masks(radius)))))
-    buckets = nodes.select(tables.alias("bucket"), "fp")
-    crowded = materialise(buckets.groupBy("bucket").count().where(F.col("count") > bucket_rows), "crowded-buckets")
-    found = bucket_edges(buckets, radius)
-    if not crowded.isEmpty():
-        # few by construction: each of them stands for over bucket_rows of the rows
-        small = buckets.join(crowded, "bucket", "left_anti")
-        blocks = F.ceil(F.col("count") / bucket_rows).cast("int")
-        own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-        numbered = buckets.join(crowded, "bucket").select("bucket", "fp", blocks.alias("n"), own.alias("own"))
-        paired = numbered.select("bucket", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-        large = paired.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "fp")
-        found = bucket_edges(small, radius).unionByName(bucket_edges(large, radius))
-    return found.distinct()
+    buckets = nodes.select(tables.alias("bucket"), "fp", "node")
+    sizes = buckets.groupBy("bucket").count()
+    if (sizes.agg(F.max("count")).first()[0] or 0) <= bucket_rows:
+        return bucket_edges(buckets, radius).distinct()
+    # each crowded bucket stands for over bucket_rows of the rows, so this table is small beside them
+    crowded = materialise(sizes.where(F.col("count") > bucket_rows), "crowded-buckets")
+    small = buckets.join(crowded, "bucket", "left_anti")
+    blocks = F.ceil(F.col("count") / bucket_rows).cast("int")
+    numbered = buckets.join(crowded, "bucket").select("bucket", "fp", "node", blocks.alias("n"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("own"))
+    paired = numbered.select("bucket", "fp", "node", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    large = paired.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "fp", "node")
+    return bucket_edges(small, radius).unionByName(bucket_edges(large, radius)).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node that each node of the edges (a, b) reaches; the roots themselves included."""
+    """(a, b) with one row for each node b that reaches a smaller one; a is the smallest that it reaches.
+
+    A round is a large-star step (each node sends its larger neighbours to its smallest) and a small-star step (the
+    smaller ones too); it ends when no node is on both sides, that is, when the edges are stars."""
     edges = materialise(edges, "edges")
-    before = None
     for _ in range(most_rounds):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = materialise(both.where("v > u").join(materialise(least, "least"), "u").where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), "large-star")
+        # a table of its own: the join with it can be split where u has most of the edges
+        least = materialise(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
+        large = materialise(both.where("v > u").join(least, "u").where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), "large-star")
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        low = materialise(down.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = down.join(low, "u").select(F.col("m").alias("a"), F.explode(F.array("v", "u")).alias("b")).where("a < b").distinct()
+        small = down.join(down.groupBy("u").agg(F.min("v").alias("m")), "u").select(F.col("m").alias("a"), F.explode(F.array("v", "u")).alias("b")).where("a < b").distinct()
         edges = materialise(small, "small-star")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select("a", "a").distinct())
+        if edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
+            return edges
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def near_duplicates(documents: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) of every row."""
+    """(doc_id, fp, component_id) of every row. A fingerprint's node is named by its smallest doc_id, so that the name of a
+    component is its smallest node; fingerprints without ids get names over all ids (which are below 2^62)."""
     fps = materialise(fingerprints(documents, id_col, text_col), "fingerprints")
-    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "nodes")
-    reached = materialise(components(links(nodes.select("fp"), radius, bucket_rows)), "reached")
-    named = nodes.join(reached, nodes.fp == reached.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_doc")
-    named = materialise(named, "named")
-    least = materialise(named.groupBy("root").agg(F.min("first_doc").alias("component_id")), "roots")
-    membership = materialise(named.join(least, "root").select("fp", "component_id"), "membership")
-    return fps.join(membership, "fp").select("doc_id", "fp", "component_id")
+    unnamed = F.lit(1 << 62) + F.pmod(F.xxhash64("fp"), F.lit(1 << 61))
+    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("node")).select("fp", F.coalesce("node", unnamed).alias("node")), "nodes")
+    stars_ = components(links(nodes, radius, bucket_rows))
+    root = F.coalesce("a", "node")
+    membership = nodes.join(stars_, F.col("node") == F.col("b"), "left").select("fp", F.when(root < (1 << 62), root).alias("component_id"))
+    return fps.join(materialise(membership, "membership"), "fp").select("doc_id", "fp", "component_id")
 
 
 def simhash_components(documents: DataFrame) -> DataFrame:
