@@ -37,6 +37,8 @@ class Tree:
         self.points, group = np.unique(vectors, axis=0, return_inverse=True)
         order = np.lexsort((ids, group.reshape(-1)))
         self.ids, group = ids[order], group.reshape(-1)[order]
+        first = np.concatenate([[True], (np.diff(self.ids) != 0) | (np.diff(group) != 0)])  # a repeated row counts once
+        self.ids, group = self.ids[first], group[first]
         self.begin = np.searchsorted(group, np.arange(len(self.points) + 1))
         self.least = self.ids[self.begin[:-1]]
         norms = (self.points**2).sum(axis=1)
