@@ -169,12 +169,26 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "token_ids", to: str =
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(to, T.StringType())]))
 
 
+def encode_decode(documents: DataFrame, path: str, text_col: str = "text", to: tuple[str, str] = ("token_ids", "decoded_text")) -> DataFrame:
+    """documents without their text, but with its token ids and what these decode to, in one pass of one worker."""
+    at = documents.columns.index(text_col)
+    others = [i for i in range(len(documents.columns)) if i != at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path)
+        for batch in sliced(batches, at, 1 << 20):
+            ids, offsets = own.encode(batch.column(at))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in others), lists, own.decode(lists)], [*(batch.schema.names[i] for i in others), *to])
+
+    kinds = T.ArrayType(T.IntegerType()), T.StringType()
+    return documents.mapInArrow(run, T.StructType([*(documents.schema.fields[i] for i in others), *(T.StructField(n, k) for n, k in zip(to, kinds, strict=True))]))
+
+
 def round_trip(documents: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and the token_ids themselves."""
-    path = path or tokenizer_path()
-    encoded = encode(documents.select("doc_id", "text"), path).drop("text")
     ids = F.col("token_ids")
-    return decode(encoded, path).select(
+    return encode_decode(documents.select("doc_id", "text"), path or tokenizer_path()).select(
         "doc_id",
         F.size(ids).cast("long").alias("n_tokens"),
         F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"),
