@@ -126,12 +126,17 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
 def sample(labelled: DataFrame, id_col: str, text_col: str, label_col: str, rows: int, languages: int) -> list[tuple[str, str]]:
     """At most `rows` rows of each of at most `languages` languages, chosen by a hash of the id; texts are cut to 8 pieces
     for fitting."""
-    kinds = [r[0] for r in labelled.where(F.col(label_col).isNotNull()).groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(languages).collect()]
+    counts = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(label_col).count()
     order = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     out = []
-    for kind in sorted(kinds):
-        picked = labelled.where((F.col(label_col) == kind) & F.col(text_col).isNotNull()).select(order.alias("o"), F.col(text_col).alias("t"), F.col(label_col).alias("l"))
-        out += [(r.t, r.l) for r in picked.orderBy("o").limit(rows).select(F.substring("t", 1, 8 * PIECE_BYTES).alias("t"), "l").collect()]
+    for kind, n in sorted((r[0], r[1]) for r in counts.orderBy(F.desc("count"), label_col).limit(languages).collect()):
+        own = labelled.where((F.col(label_col) == kind) & F.col(text_col).isNotNull()).select(order.alias("o"), F.substring(text_col, 1, 8 * PIECE_BYTES).alias("t"))
+        # the smallest hashes lie below this, so tasks send few rows that aren't wanted; where they don't, all are sorted
+        low = own.where(F.col("o") < int(-(2**63) + 2**64 * min(4 * rows / n, 0.999999))) if n > 4 * rows else own
+        picked = low.orderBy("o", "t").limit(rows).collect()
+        if len(picked) < min(rows, n):
+            picked = own.orderBy("o", "t").limit(rows).collect()
+        out += [(r.t, kind) for r in picked]
     return out
 
 
