@@ -37,7 +37,8 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without an id have no component name and stay."""
     groups = simhash.near_duplicates(docs).select("doc_id", "component_id").where(F.col("doc_id") == F.col("component_id"))
     kept = materialise(groups.groupBy(F.col("doc_id").alias("kept_id")).count(), "kept")
-    rows = lambda ids: docs.join(ids, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    # one plan at every size: the kept ids grow with the documents, so they are never a broadcast side
+    rows = lambda ids: docs.join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("kept_id"), "left_semi")
     out = rows(kept.where("count = 1")).unionByName(docs.where(F.col("doc_id").isNull()))
     repeated = kept.where("count > 1")
     return out if repeated.isEmpty() else out.unionByName(rows(repeated).dropDuplicates(["doc_id"]))
