@@ -1,7 +1,7 @@
 """The place tree as a closure table (ancestor, descendant, depth), and what is asked of it.
 
-The closure is built level by level, as deep as the tree is (eight at most), each level kept for the next one and for the
-union; it is a few rows a place. Joins with it are left to Spark, which broadcasts a side that its statistics prove small."""
+The closure is built level by level over the places with children, as deep as the tree is (eight at most), each level kept
+for the next one and for the union; it is a few rows a place. Joins with it are left to Spark, which broadcasts a side that its statistics prove small."""
 
 from __future__ import annotations
 
@@ -12,17 +12,23 @@ TERMINAL = ("oblast", "special_city", "country")
 
 
 def closure(locations: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
-    """(descendant_id, ancestor_id, depth); depth 0 is the place itself. A path that comes back to a place ends there."""
-    parents = locations.where(F.col("parent_id").isNotNull()).select(F.col("id").alias("p_id"), F.col("parent_id").alias("p_parent")).persist()
-    level = locations.select(F.col("id").alias("descendant_id"), F.col("id").alias("ancestor_id"), F.array("id").alias("path"))
-    out = level.select("descendant_id", "ancestor_id", F.lit(0).alias("depth"))
-    for depth in range(1, most_depth + 1):
-        level = level.join(parents, F.col("ancestor_id") == F.col("p_id")).where(~F.array_contains("path", F.col("p_parent")))
-        level = level.select("descendant_id", F.col("p_parent").alias("ancestor_id"), F.concat("path", F.array("p_parent")).alias("path")).persist()
+    """(descendant_id, ancestor_id, depth); depth 0 is the place itself. A path that comes back to a place ends there.
+
+    Only places with children are climbed level by level; the many leaves then take their parent's rows in one join."""
+    parents = locations.where(F.col("parent_id").isNotNull()).select(F.col("id").alias("child"), "parent_id")
+    inner = parents.select(F.col("parent_id").alias("id")).distinct()
+    steps = inner.join(parents, F.col("id") == F.col("child")).select("child", "parent_id").persist()
+    level = inner.select(F.col("id").alias("inner_id"), F.col("id").alias("top_id"), F.array("id").alias("path"))
+    climbed = level.select("inner_id", "top_id", F.lit(0).alias("up"))
+    for up in range(1, most_depth):
+        level = level.join(steps, F.col("top_id") == F.col("child")).where(~F.array_contains("path", F.col("parent_id")))
+        level = level.select("inner_id", F.col("parent_id").alias("top_id"), F.concat("path", F.array("parent_id")).alias("path")).persist()
         if level.isEmpty():
             break
-        out = out.unionByName(level.select("descendant_id", "ancestor_id", F.lit(depth).alias("depth")))
-    return out
+        climbed = climbed.unionByName(level.select("inner_id", "top_id", F.lit(up).alias("up")))
+    above = parents.join(climbed, F.col("parent_id") == F.col("inner_id")).where(F.col("child") != F.col("top_id"))
+    own = locations.select(F.col("id").alias("descendant_id"), F.col("id").alias("ancestor_id"), F.lit(0).alias("depth"))
+    return own.unionByName(above.select(F.col("child").alias("descendant_id"), F.col("top_id").alias("ancestor_id"), (F.col("up") + 1).alias("depth")))
 
 
 def rollup(locations: DataFrame, tree: DataFrame, terminal: tuple[str, ...] = TERMINAL) -> DataFrame:
