@@ -99,3 +99,33 @@ def test_scores_of_odd_rows(spark):
     assert len(empty) == 4 and all(r.log_prob == 0 and r.mean_log_prob is None for r in empty)
     assert len({r.log_prob for r in got if r.doc_id in (4, 5)}) == 1
     assert pl.pseudo_likelihood(documents(spark, [])).collect() == []
+
+
+def test_rare_words_have_their_own_share(spark):
+    """Words of one shared unit differ by their counts, and a word that was never seen is below all of them."""
+    common = [(i, " ".join(f"w{k}x" for k in range(i, pl.FREQUENT, 4)), "en") for i in range(4)] * 9
+    common = [(i, t.replace("0", "q").translate(str.maketrans("123456789", "abcdefghi")), lang) for i, t, lang in common]
+    names = ["r" + "".join(chr(97 + k // 26**j % 26) for j in range(3)) for k in range(600)]
+    rare = [(100 + i, f"{n} " * (1 + i % 5), "en") for i, n in enumerate(names)]
+    docs = documents(spark, common + rare)
+    counts = pl.materialise(pl.word_counts(docs), "counts")
+    units, model = pl.train(docs, counts=counts)
+    hasher = SpanHasher(pl.BASE)
+    unit = lambda w: int(units(pa.array([w.encode()], pa.binary()), hasher)[0][0])
+    seen = [(n, 1 + i % 5) for i, n in enumerate(names)]
+    home = unit(names[0])
+    mates = [(n, c) for n, c in seen if unit(n) == home]
+    unseen = next(w for w in (f"z{'y' * k}" for k in range(2000)) if unit(w) == home)
+    got = {r.doc_id: r.log_prob for r in pl.score(documents(spark, [(i, w, "en") for i, (w, _) in enumerate([*mates, (unseen, 0)])]), units, model, counts=counts).collect()}
+    assert len(mates) > 1
+    for i, (_, c) in enumerate(mates):
+        assert got[i] - got[len(mates)] == pytest.approx(np.log((c + 0.5) / 0.5), abs=1e-3)
+    shares = [np.exp(got[i] - float(pl.log_probabilities(pl.unpacked(model), np.full((1, 2 * pl.SIDE), units.units), np.array([home]))[0])) for i in range(len(got))]
+    assert sum(shares[:-1]) + len(mates) * shares[-1] == pytest.approx(1, abs=1e-3)
+
+
+def test_units_grow_with_the_vocabulary():
+    assert pl.class_size(0) == pl.class_size(5000) == pl.IN_CLASS < pl.class_size(1_200_000) < pl.class_size(30_000_000)
+    p = pl.initial(in_class=128)
+    q = pl.unpacked(pl.packed(p))
+    assert all(np.array_equal(p[k], q[k]) for k in p)

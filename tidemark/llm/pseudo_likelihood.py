@@ -4,13 +4,17 @@ A small network in numpy sees the SIDE words before and after a position and pre
 score is the sum over its words of log p(word | both sides).
 
 Words are runs of digits, ASCII letters (lower-cased) and other characters. The most frequent words of the corpus have
-units of their own, the others share hashed units. The output is a two-level softmax: a unit's class, then the unit
-within its class, so probabilities are normalised at the cost of two short rows.
+units of their own, the others share hashed units; there are about 4 units for each root of the number of different
+words, UNITS at least. The output is a two-level softmax: a unit's class, then the unit within its class, so
+probabilities are normalised at the cost of two short rows. In a shared unit a word has its share of the unit's count:
+(n(word) + PRIOR) / (n(unit) + PRIOR (words + unseen words)), and as many unseen words are supposed as there are seen ones.
 
 Training is a Spark job: in each of ROUNDS rounds every task trains its own copy, from the same parameters, on its part
 of the documents of that round, and the copies are averaged, weighted by their words, FAN_IN at a time until one is left.
-The rounds split the corpus, so one pass over all words is made in total. Word counts and the averaged copies grow with
-the corpus; the model does not (about 150 kB), and only it and the frequent words pass through the driver.
+The rounds split the corpus, so one pass over all words is made in total. Word counts are a written table, and the words
+of shared units, counted for each document first, meet it in a join on their hash. No such word is hot: each of the more
+frequent ones has a unit of its own. The model grows with the root of the vocabulary (150 kB at least), and only it, the
+frequent words and the counts of the shared units pass through the driver.
 
 Edge cases: null and empty texts have no words, log_prob 0 and a null mean; an empty table gives no rows; ties in the
 word counts go to the smaller hash; repeated rows each train and get the same score; only id and text are read.
@@ -33,48 +37,65 @@ UNITS = CLASSES * IN_CLASS
 FREQUENT = UNITS * 7 // 8
 ROUNDS, FAN_IN, BATCH, RATE = 2, 16, 8192, 0.15
 BASE = 0x100000001B3
-SHAPES = {"embedding": (UNITS + 1, WIDTH), "hidden": (2 * SIDE * WIDTH, WIDTH), "bias": (WIDTH,), "classes": (WIDTH, CLASSES), "class_bias": (CLASSES,), "inner": (CLASSES, WIDTH, IN_CLASS), "inner_bias": (CLASSES, IN_CLASS)}
+#: What a word counts beside its occurrences, and the steps of 1 in which logarithms are added up exactly.
+PRIOR, STEPS = 0.5, 1 << 24
 
 Parameters = dict[str, np.ndarray]
 
 
-def initial(seed: int = 3) -> Parameters:
-    rng = np.random.default_rng(seed)
-    out = {k: (rng.standard_normal(v) * (0.3 if k == "embedding" else 1 / np.sqrt(v[-2]) if len(v) > 1 else 0)).astype(np.float32) for k, v in SHAPES.items()}
-    return out | {"inner_bias": np.zeros(SHAPES["inner_bias"], np.float32)}
+def class_size(vocabulary: int) -> int:
+    """Units of a class: the power of two at or below an eighth of the root of the vocabulary, IN_CLASS at least."""
+    return max(IN_CLASS, 1 << max(int(np.sqrt(vocabulary) / 8), 1).bit_length() - 1)
+
+
+def shapes(in_class: int = IN_CLASS) -> dict[str, tuple[int, ...]]:
+    return {"embedding": (CLASSES * in_class + 1, WIDTH), "hidden": (2 * SIDE * WIDTH, WIDTH), "bias": (WIDTH,), "classes": (WIDTH, CLASSES), "class_bias": (CLASSES,), "inner": (CLASSES, WIDTH, in_class), "inner_bias": (CLASSES, in_class)}
+
+
+SHAPES = shapes()
+
+
+def initial(seed: int = 3, in_class: int = IN_CLASS) -> Parameters:
+    rng, sizes = np.random.default_rng(seed), shapes(in_class)
+    out = {k: (rng.standard_normal(v) * (0.3 if k == "embedding" else 1 / np.sqrt(v[-2]) if len(v) > 1 else 0)).astype(np.float32) for k, v in sizes.items()}
+    return out | {"inner_bias": np.zeros(sizes["inner_bias"], np.float32)}
 
 
 class Units:
     """Numbers of the words: frequent ones their own, in an order that spreads them over the classes, others hashed."""
 
-    def __init__(self, frequent: list[int]):
+    def __init__(self, frequent: list[int], in_class: int = IN_CLASS):
+        self.in_class, self.units, self.shared = in_class, CLASSES * in_class, CLASSES * in_class // 8
         order = np.arange(len(frequent))
-        own = (order % CLASSES) * IN_CLASS + order // CLASSES
+        own = (order % CLASSES) * in_class + order // CLASSES
         hashes = np.array(frequent, np.int64).view(np.uint64)
         sort = np.argsort(hashes)
         self.hashes, self.own = hashes[sort], own[sort].astype(np.int64)
 
+    def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Units of the words with these hashes, and which of them are shared."""
+        place = h % np.uint64(self.shared)
+        unit = ((place % CLASSES) * self.in_class + (self.units - self.shared) // CLASSES + place // CLASSES).astype(np.int64)
+        if not len(self.hashes):
+            return unit, np.ones(len(h), bool)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        own = self.hashes[at] == h
+        return np.where(own, self.own[at], unit), ~own
+
     def __call__(self, column: pa.Array, hasher: SpanHasher) -> tuple[np.ndarray, np.ndarray]:
         """Units of all words, and the first word of each text (n + 1)."""
         data, starts, ends, first = words(column)
-        h = hasher(data, starts, ends)
-        shared = FREQUENT // CLASSES
-        place = h % np.uint64(UNITS - FREQUENT)
-        unit = ((place % CLASSES) * IN_CLASS + shared + place // CLASSES).astype(np.int64)
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            unit = np.where(self.hashes[at] == h, self.own[at], unit)
-        return unit, first
-
-
-def contexts(unit: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """words x 2 SIDE: units on both sides, UNITS beyond a text's ends."""
+        return self.of(hasher(data, starts, ends))[0], first
+
+
+def contexts(unit: np.ndarray, first: np.ndarray, outside: int = UNITS) -> np.ndarray:
+    """words x 2 SIDE: units on both sides, the number of units beyond a text's ends."""
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     columns = []
     for shift in (*range(-SIDE, 0), *range(1, SIDE + 1)):
         at = np.arange(len(unit)) + shift
         inside = (at >= first[doc]) & (at < first[doc + 1])
-        columns.append(np.where(inside, unit[np.clip(at, 0, max(len(unit) - 1, 0))], UNITS))
+        columns.append(np.where(inside, unit[np.clip(at, 0, max(len(unit) - 1, 0))], outside))
     return np.stack(columns, axis=1) if len(unit) else np.zeros((0, 2 * SIDE), np.int64)
 
 
@@ -89,17 +110,17 @@ def forward(p: Parameters, context: np.ndarray) -> np.ndarray:
 
 def log_probabilities(p: Parameters, context: np.ndarray, unit: np.ndarray) -> np.ndarray:
     """log p(unit | context) of each position."""
-    out = np.zeros(len(unit), np.float32)
+    out, in_class = np.zeros(len(unit), np.float32), p["inner"].shape[2]
     for start in range(0, len(unit), BATCH):
         u, h = unit[start : start + BATCH], forward(p, context[start : start + BATCH])
-        c = u // IN_CLASS
+        c = u // in_class
         part = log_softmax(h @ p["classes"] + p["class_bias"])[np.arange(len(u)), c]
         order = np.argsort(c, kind="stable")
         bounds = np.searchsorted(c[order], np.arange(CLASSES + 1))
         for k in range(CLASSES):
             own = order[bounds[k] : bounds[k + 1]]
             if len(own):
-                part[own] += log_softmax(h[own] @ p["inner"][k] + p["inner_bias"][k])[np.arange(len(own)), u[own] % IN_CLASS]
+                part[own] += log_softmax(h[own] @ p["inner"][k] + p["inner_bias"][k])[np.arange(len(own)), u[own] % in_class]
         out[start : start + BATCH] = part
     return out
 
@@ -117,10 +138,10 @@ class Trainer:
         self.p[name][at] -= RATE * gradient / np.sqrt(self.seen[name][at])
 
     def batch(self, context: np.ndarray, u: np.ndarray) -> None:
-        p, n = self.p, len(u)
+        p, n, in_class = self.p, len(u), self.p["inner"].shape[2]
         x = p["embedding"][context].reshape(n, -1)
         h = np.tanh(x @ p["hidden"] + p["bias"])
-        c = u // IN_CLASS
+        c = u // in_class
         off = np.exp(log_softmax(h @ p["classes"] + p["class_bias"]))
         off[np.arange(n), c] -= 1
         off /= n
@@ -132,7 +153,7 @@ class Trainer:
             own = order[bounds[k] : bounds[k + 1]]
             if len(own):
                 e = np.exp(log_softmax(h[own] @ p["inner"][k] + p["inner_bias"][k]))
-                e[np.arange(len(own)), u[own] % IN_CLASS] -= 1
+                e[np.arange(len(own)), u[own] % in_class] -= 1
                 e /= n
                 back[own] += e @ p["inner"][k].T
                 inner[k], inner_bias[k] = h[own].T @ e, e.sum(axis=0)
@@ -156,8 +177,10 @@ def packed(p: Parameters) -> bytes:
 
 
 def unpacked(raw: bytes) -> Parameters:
-    flat, out, at = np.frombuffer(raw, np.float32), {}, 0
-    for k, shape in SHAPES.items():
+    flat, out, at, in_class = np.frombuffer(raw, np.float32), {}, 0, IN_CLASS
+    while sum(int(np.prod(x)) for x in shapes(in_class).values()) < len(flat):
+        in_class *= 2
+    for k, shape in shapes(in_class).items():
         size = int(np.prod(shape))
         out[k] = flat[at : at + size].reshape(shape)
         at += size
@@ -196,10 +219,12 @@ def averaged(copies: DataFrame) -> bytes | None:
             return bytes(copies.first().parameters)
 
 
-def train(documents: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tuple[Units, bytes]:
-    """The frequent words' units and the packed parameters, learned from all documents."""
-    frequent = [r.word for r in word_counts(documents, text_col).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
-    units, model = Units(frequent), packed(initial())
+def train(documents: DataFrame, text_col: str = "text", rounds: int = ROUNDS, counts: DataFrame | None = None) -> tuple[Units, bytes]:
+    """The units and the packed parameters, learned from all documents; counts are their word_counts, if written already."""
+    counts = materialise(word_counts(documents, text_col), "word-counts") if counts is None else counts
+    in_class = class_size(counts.count())
+    frequent = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(CLASSES * in_class * 7 // 8).collect()]
+    units, model = Units(frequent, in_class), packed(initial(in_class=in_class))
     context = documents.sparkSession.sparkContext
     rows = documents.where(F.length(text_col) > 0).select(F.col(text_col).cast("binary").alias("text"), F.pmod(F.xxhash64(text_col), F.lit(rounds)).alias("round"))
     for number in range(rounds):
@@ -212,30 +237,74 @@ def train(documents: DataFrame, text_col: str = "text", rounds: int = ROUNDS) ->
             trainer, hasher = Trainer(unpacked(raw)), SpanHasher(BASE)
             for batch in sliced(batches, 0, 1 << 20):
                 unit, first = own(batch.column(0), hasher)
-                trainer.text(contexts(unit, first), unit)
+                trainer.text(contexts(unit, first, own.units), unit)
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([trainer.words], pa.int64()), pa.array([packed(trainer.p)], pa.binary())], ["task", "words", "parameters"])
 
         model = averaged(rows.where(F.col("round") == number).select("text").mapInArrow(learn, "task long, words long, parameters binary")) or model
     return units, model
 
 
-def score(documents: DataFrame, units: Units, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, log_prob, mean_log_prob) of every row."""
-    shared = documents.sparkSession.sparkContext.broadcast((units, model))
+def share_weights(counts: DataFrame, units: Units) -> np.ndarray:
+    """For each unit the logarithm of what its words' n + PRIOR are divided by; 0 for words with a unit of their own."""
+    shared = counts.sparkSession.sparkContext.broadcast(units)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit, rare = shared.value.of(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            n = batch.column(1).to_numpy(zero_copy_only=False)[rare]
+            u, first, size = np.unique(unit[rare], return_inverse=True, return_counts=True)
+            total = np.zeros(len(u), np.int64)
+            np.add.at(total, first, n)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(total), pa.array(size)], ["unit", "n", "words"])
+
+    out = np.zeros(units.units)
+    every = np.arange(units.units)
+    out[every % units.in_class >= (units.units - units.shared) // CLASSES] = np.log(PRIOR)  # nothing seen: one unseen word
+    for r in counts.select("word", "n").mapInArrow(place, "unit long, n long, words long").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect():
+        out[r.unit] = np.log(r.n + PRIOR * 2 * r.words)
+    return out.astype(np.float32)
+
+
+def score(documents: DataFrame, units: Units, model: bytes, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_words, log_prob, mean_log_prob) of every row; of words with the table counts of the training documents'
+    word_counts, of units without it."""
+    weights = np.zeros(units.units, np.float32) if counts is None else share_weights(counts, units)
+    shared = documents.sparkSession.sparkContext.broadcast((units, model, weights))
+    whole = counts is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, raw = shared.value
+        own, raw, weight = shared.value
         p, hasher = unpacked(raw), SpanHasher(BASE)
         for batch in sliced(batches, 1, 1 << 20):
-            unit, first = own(batch.column(1), hasher)
-            total = np.concatenate([[0.0], np.cumsum(log_probabilities(p, contexts(unit, first), unit), dtype=float)])[first]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), pa.array(np.diff(total))], ["doc_id", "n_words", "log_prob"])
+            data, starts, ends, first = words(batch.column(1))
+            h = hasher(data, starts, ends)
+            unit, rare = own.of(h)
+            each = log_probabilities(p, contexts(unit, first, own.units), unit) - weight[unit]
+            total = np.concatenate([[0.0], np.cumsum(each, dtype=float)])[first]
+            columns = [batch.column(0), pa.array(np.diff(first)), pa.array(np.diff(total))]
+            if whole:
+                doc = np.repeat(np.arange(len(first) - 1), np.diff(first))[rare]
+                sort = np.lexsort((h[rare], doc))
+                doc, word = doc[sort], h[rare][sort]
+                begin = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])])) if len(doc) else np.zeros(0, np.int64)
+                offsets = pa.array(np.searchsorted(doc[begin], np.arange(len(first))), pa.int32())
+                times = np.diff(np.append(begin, len(doc)))
+                columns += [pa.ListArray.from_arrays(offsets, pa.array(word[begin].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "log_prob", "word", "times"][: len(columns)])
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, n_words long, log_prob double")
+    scored = rows.mapInArrow(run, "doc_id long, n_words long, log_prob double" + ", word array<long>, times array<long>" * whole)
+    if whole:
+        scored = materialise(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+        pairs = scored.select("row", F.explode(F.arrays_zip("word", "times")).alias("w")).select("row", "w.*")
+        steps = F.round(F.log(F.coalesce("n", F.lit(0)) + F.lit(PRIOR)) * STEPS).cast("long")
+        # whole numbers add up to the same sum in any order, so that equal texts get equal scores
+        shares = pairs.join(counts.select("word", "n"), "word", "left").groupBy("row").agg(F.sum(F.col("times") * steps).alias("share"))
+        scored = scored.select("row", "doc_id", "n_words", "log_prob").join(shares, "row", "left").select("doc_id", "n_words", (F.col("log_prob") + F.coalesce(F.col("share"), F.lit(0)) / STEPS).alias("log_prob"))
     return scored.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))
 
 
 def pseudo_likelihood(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, log_prob, mean_log_prob, by a model trained on the same documents."""
-    return score(documents, *train(documents))
+    counts = materialise(word_counts(documents), "word-counts")
+    return score(documents, *train(documents, counts=counts), counts=counts)
