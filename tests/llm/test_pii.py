@@ -89,3 +89,22 @@ def test_disclosing_terms(spark):
 def test_sanitise_odd_rows(spark):
     out = pii.sanitise(documents(spark, ODD))
     assert sorted((r.doc_id is None, r.text is None) for r in out.collect()) == sorted((r[0] is None, r[1] is None) for r in ODD)
+
+
+def told_words(row, text):
+    return [text[int(a) : int(b)] for _, a, b in (s.split(":") for s in row.spans.split(",") if s.startswith("term"))]
+
+
+def test_terms_at_a_distance_and_of_rare_entities(spark):
+    """A term far from the entity, each of its occurrences, and the term of an entity of a single document."""
+    far = "this is an ordinary line of the report " * 3
+    docs = [(i, f"Zebulon {far} zed@corp.example {far} ZEBULON and {far} zebulon", "en") for i in range(4)]
+    docs += [(4, f"Quentin {far} q.uentin@corp.example {far} quentin", "en"), (5, f"{far} Zebulon and Quentin", "en")]
+    docs += [(i, f"{far} and the number {i}", "en") for i in range(6, 400)]
+    got = {r.doc_id: r for r in pii.personal_data(documents(spark, docs)).collect()}
+    for i in range(4):
+        assert told_words(got[i], docs[i][1]) == ["Zebulon", "ZEBULON", "zebulon"]
+    assert told_words(got[4], docs[4][1]) == ["Quentin", "quentin"]
+    assert all(got[i].n_term == 0 for i in range(5, 400))
+    clean = {r.doc_id: r.text for r in pii.sanitise(documents(spark, docs)).collect()}
+    assert "zebulon" not in clean[0].lower() and "quentin" not in clean[4].lower() and clean[5] == docs[5][1]

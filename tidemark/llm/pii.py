@@ -1,18 +1,21 @@
 """Personal data: patterns, and terms that disclose what the patterns found.
 
 Base spans are e-mail addresses, IPv4 addresses, payment-card and telephone numbers. Each distinct value is a protected
-entity. For entity e and a term t (a run of letters) among the WINDOW_TERMS terms before or after a mention of e, corpus
-counts of documents give PMI(e, t) = log(N n_et / (n_e n_t)) and IC(e) = log(N / n_e). Where PMI / IC reaches the
-disclosure threshold, t tells that share of what e itself would tell, and its occurrences beside e become ``term`` spans.
-Sanitising replaces base spans by their kind (generalisation) and removes disclosing terms.
-
-Everything is DataFrame functions. Scale: patterns run where the text is; only spans and their few neighbouring terms
-are kept, so pairs grow with mentions; counts combine before shuffles; joins read tables of their own, which AQE can
-split where an entity or a term is in a third of all documents.
+entity. For entity e and any term t (a run of letters) of a document that holds e, corpus counts of documents give
+PMI(e, t) = log(p(e | t) / p(e)) with p(e | t) = (n_et + PRIOR p(e)) / (n_t + PRIOR), and IC(e) = -log p(e): PRIOR
+documents of the corpus at large are added to those that hold t, so that few documents tell less than many. Where
+PMI / IC reaches the disclosure threshold, t tells that share of what e itself would tell, and all its occurrences in
+documents that hold e become ``term`` spans. Sanitising replaces base spans by their kind (generalisation) and removes
+disclosing terms.
+
+Everything is DataFrame functions. Scale: patterns run where the text is; of documents with base spans the text is kept.
+A term of such a document meets its count first, and pairs are made with those entities alone that it could tell at the
+most, n_et = min(n_e, n_t); for an entity of one document n_et is 1 and no pair is made. Counts combine before shuffles;
+joins read tables of their own, which AQE can split where an entity or a term is in a third of all documents.
 
 Edge cases: null text counts as empty; repeated rows count as documents of their own and get the same spans; a null id
-is an id like others; a term must have been seen with the entity in MIN_SUPPORT documents; an entity in every document
-discloses nothing (IC = 0); long texts need no recursion, as the patterns are possessive; only doc_id and text are read.
+is an id like others; an entity in every document discloses nothing (IC = 0); terms inside e-mail addresses are no spans
+of their own; long texts need no recursion, as the patterns are possessive; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import materialise
 
-WINDOW_TERMS, MIN_SUPPORT, DISCLOSURE = 5, 2, 0.7
+PRIOR, DISCLOSURE = 1.0, 0.7
 KINDS = ("email", "ip", "card", "phone")
 TERM = len(KINDS)
 #: The base patterns. What the look-behinds rule out are starts inside a run whose first start has failed; \G lets a
@@ -70,18 +73,29 @@ def _possible(kind: str, text: Column) -> Column:
     return F.contains(text, F.lit({"email": "@", "ip": ".", "phone": "+"}[kind])) if kind != "card" else text.rlike("[0-9]{2}|[0-9][ -][0-9]")
 
 
-FIRST_TERMS = rf"^(?:[^\p{{L}}]*+\p{{L}}++){{0,{WINDOW_TERMS}}}"
+WORD = r"\p{L}++"
+
+
+def _terms(text: Column) -> Column:
+    """The different runs of letters, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
 
 
-def _terms(context: Column, offset: Column) -> Column:
-    """(term, start, end) of the few runs of letters in context, which begins at offset in its text."""
-    words, gaps = F.regexp_extract_all(context, F.lit(r"\p{L}++"), F.lit(0)), F.split(context, r"\p{L}++", -1)
+def _with_occurrences(rows: DataFrame) -> DataFrame:
+    """rows, which have masked and told, with the array column found_terms: (kind, start, end) of the runs of letters of
+    masked that are among told. Each array is a column of its own, so that no lambda computes it anew."""
+    words, gaps, numbers = F.col("words"), F.col("gaps"), F.col("numbers")
+    some = F.col("told").isNotNull()
+    rows = rows.withColumn("words", F.when(some, F.regexp_extract_all("masked", F.lit(WORD), F.lit(0)))).withColumn("gaps", F.when(some, F.split("masked", WORD, -1)))
+    rows = rows.withColumn("advance", F.zip_with(F.slice(gaps, 1, F.size(words)), words, lambda g, w: F.length(g) + F.length(w)))
+    rows = rows.withColumn("numbers", F.when(F.size(words) > 0, F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda k: F.array_contains("told", F.lower(F.get(words, k))))))
+    rows = rows.withColumn("word_at", F.when(F.size(numbers) > 0, _sums_before(F.col("advance"), numbers)))
 
-    def at(k: Column) -> Column:
-        start = offset + _sum(F.transform(F.slice(words, 1, k), F.length)) + _sum(F.transform(F.slice(gaps, 1, k + 1), F.length))
-        return F.struct(F.lower(F.get(words, k)).alias("term"), start.alias("start"), (start + F.length(F.get(words, k))).alias("end"))
+    def span(k: Column, at: Column) -> Column:
+        start = at + F.length(F.get(gaps, k))
+        return F.struct(F.lit(TERM).alias("kind"), start.alias("start"), (start + F.length(F.get(words, k))).alias("end"))
 
-    return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), F.size(words) - 1), at)).otherwise(F.array().cast("array<struct<term:string,start:int,end:int>>"))
+    return rows.withColumn("found_terms", F.zip_with(numbers, "word_at", span)).drop("words", "gaps", "advance", "numbers", "word_at")
 
 
 def _with_spans(rows: DataFrame, number: int, kind: str) -> DataFrame:
@@ -94,72 +108,78 @@ def _with_spans(rows: DataFrame, number: int, kind: str) -> DataFrame:
     rows = rows.withColumn(f"{kind}_at", F.when(some, _sums_before(F.col(f"{kind}_advance"), F.sequence(F.lit(0), F.size(found) - 1))))
 
     def span(k: Column) -> Column:
-        value, before, after = F.get(found, k), F.get(gaps, k), F.get(gaps, k + 1)
-        start = F.get(F.col(f"{kind}_at"), k) + F.length(before)
+        value = F.get(found, k)
+        start = F.get(F.col(f"{kind}_at"), k) + F.length(F.get(gaps, k))
         return F.struct(
             F.lit(number).alias("kind"),
             start.alias("start"),
             (start + F.length(value)).alias("end"),
             F.md5(F.concat(F.lit(kind + ":"), F.lower(value)).cast("binary")).alias("entity"),
-            F.reverse(F.regexp_extract(F.reverse(before), FIRST_TERMS, 0)).alias("before"),
-            F.regexp_extract(after, FIRST_TERMS, 0).alias("after"),
         )
 
     numbers = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda k: _valid(kind, F.get(found, k)))
     rows = rows.withColumn(kind, F.when(some, F.transform(numbers, span)))
+    if kind == "email":
+        masked = F.zip_with(gaps, found, lambda g, m: F.concat(g, F.coalesce(F.repeat(F.lit("@"), F.length(m)), F.lit(""))))
+        rows = rows.withColumn("masked", F.when(some, F.array_join(masked, "")).otherwise(F.col("text")))
     return rows.drop(f"{kind}_found", f"{kind}_gaps", f"{kind}_advance", f"{kind}_at")
 
 
 def base_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, same, base) of every row; base has (kind, start, end, entity, before, after), by kind and start; before
-    and after are the neighbouring terms."""
+    """(doc_id, same, base, masked, terms) of every row; base has (kind, start, end, entity), by kind and start. Rows with
+    base spans have masked, the text with @ for each character of an e-mail address, and terms, those of the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("same"), text.alias("text"))
     for kind, pattern in PATTERNS.items():
         out = out.withColumn(f"{kind}_found", F.when(_possible(kind, F.col("text")), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
     for number, kind in enumerate(KINDS):
         out = _with_spans(out, number, kind)
-    empty = F.array().cast("array<struct<kind:int,start:int,end:int,entity:string,before:string,after:string>>")
-    return out.select("doc_id", "same", F.concat(*(F.coalesce(F.col(k), empty) for k in KINDS)).alias("base"))
-
-
-def mentions(spans: DataFrame) -> DataFrame:
-    """(doc_id, same, kind, entity, terms) of each base span; terms inside e-mail addresses are left out."""
-    rows = spans.where(F.size("base") > 0).select("doc_id", "same", F.filter("base", lambda b: b["kind"] == 0).alias("emails"), F.explode("base").alias("b"))
-    near = F.concat(_terms(F.col("b.before"), F.col("b.start") - F.length("b.before")), _terms(F.col("b.after"), F.col("b.end")))
-    free = F.filter(near, lambda t: ~F.exists("emails", lambda e: (t["start"] < e["end"]) & (e["start"] < t["end"])))
-    return rows.select("doc_id", "same", "b.kind", "b.entity", free.alias("terms"))
-
-
-def disclosing(documents: DataFrame, spans: DataFrame, threshold: float = DISCLOSURE, support: int = MIN_SUPPORT, text_col: str = "text") -> DataFrame:
-    """(entity, term, disclosure) of the pairs that reach the threshold. spans is a table of its own."""
-    n = spans.count()
-    entities = spans.where(F.size("base") > 0).select(F.explode(F.array_distinct(F.transform("base", lambda b: b["entity"]))).alias("entity"))
-    n_e = materialise(entities.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support), "entities")
-
-    def near(b: Column) -> Column:
-        both = F.concat(F.regexp_extract_all(F.lower(b["before"]), F.lit(r"\p{L}++"), F.lit(0)), F.regexp_extract_all(F.lower(b["after"]), F.lit(r"\p{L}++"), F.lit(0)))
-        return F.transform(both, lambda t: F.struct(b["entity"].alias("entity"), t.alias("term")))
-
-    pairs = spans.where(F.size("base") > 0).select(F.explode(F.array_distinct(F.flatten(F.transform("base", near)))).alias("p")).select("p.*")
-    n_et = materialise(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support), "pairs")
-    words = documents.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"\p{L}++"), F.lit(0)))).alias("term"))
-    n_t = materialise(words.groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= support), "terms")
-    met = n_et.join(n_e, "entity").join(n_t, "term")
-    disclosure = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(F.lit(float(n)) / F.col("n_e"))
-    return materialise(met.where(F.col("n_e") < n).select("entity", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= threshold), "disclosing")
+    empty = F.array().cast("array<struct<kind:int,start:int,end:int,entity:string>>")
+    out = out.withColumn("base", F.concat(*(F.coalesce(F.col(k), empty) for k in KINDS)))
+    some = F.size("base") > 0
+    return out.select("doc_id", "same", "base", F.when(some, F.col("masked")).alias("masked"), F.when(some, _terms(F.col("text"))).alias("terms"))
+
+
+def _disclosure(n: int, n_e: Column, n_t: Column, n_et: Column) -> Column:
+    """PMI / IC; 0 where IC is 0 or there are no documents."""
+    p_e = F.try_divide(n_e.cast("double"), F.lit(float(n)))
+    pmi = F.log(F.try_divide(n_et + PRIOR * p_e, (n_t + PRIOR) * p_e))
+    return F.coalesce(F.try_divide(pmi, -F.log(p_e)), F.lit(0.0))
+
+
+def disclosing(documents: DataFrame, spans: DataFrame, threshold: float = DISCLOSURE, text_col: str = "text") -> DataFrame:
+    """(row, terms) of the rows that hold terms which tell one of their entities. spans is a table of its own, with a
+    number for each row."""
+    n, n_e, n_t = spans.count(), F.col("n_e"), F.col("n_t")
+    some = spans.where(F.size("base") > 0)
+    held = materialise(some.select("row", F.explode(F.array_distinct(F.transform("base", lambda b: b["entity"]))).alias("entity")), "held")
+    entities = materialise(held.groupBy("entity").agg(F.count("*").alias("n_e")).where(n_e < n), "entities")
+    words = documents.select(F.explode(_terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term"))
+    terms = materialise(words.groupBy("term").agg(F.count("*").alias("n_t")), "terms")
+    beside = F.collect_list(F.when(n_e > 1, F.struct("entity", "n_e")))
+    rows = held.join(entities, "entity").groupBy("row").agg(beside.alias("beside"), F.max(n_e == 1).alias("single"))
+    met = some.select("row", F.explode("terms").alias("term")).join(terms, "term").join(rows, "row")
+    could = F.filter("beside", lambda e: _disclosure(n, e["n_e"], n_t, F.least(e["n_e"], n_t)) >= threshold)
+    alone = F.col("single") & (_disclosure(n, F.lit(1), n_t, F.lit(1)) >= threshold)
+    met = met.select("row", "term", "n_t", alone.alias("alone"), could.alias("could")).where(F.col("alone") | (F.size("could") > 0))
+    met = materialise(met, "met")
+    pairs = met.where(~F.col("alone")).select("row", "term", F.explode("could").alias("e")).select("row", "term", "e.entity")
+    every = met.select("term", "n_t", F.explode("could").alias("e")).select("term", "n_t", "e.*")
+    n_et = every.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+    told = materialise(n_et.where(_disclosure(n, n_e, n_t, F.col("n_et")) >= threshold).select("entity", "term"), "told")
+    found = met.where("alone").select("row", "term").unionByName(pairs.join(told, ["entity", "term"], "left_semi").select("row", "term"))
+    return found.groupBy("row").agg(F.collect_set("term").alias("told"))
 
 
 def find_personal_data(documents: DataFrame, threshold: float = DISCLOSURE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, same, spans) of every row: (kind, start, end), by kind (terms last) and start; same is the text's hash."""
-    spans = materialise(base_spans(documents, id_col, text_col), "base-spans")
-    told = disclosing(documents, spans, threshold, text_col=text_col).select("entity", "term")
-    near = mentions(spans).select("doc_id", "same", "entity", F.explode("terms").alias("t")).select("doc_id", "same", "entity", "t.*")
-    terms = near.join(told, ["entity", "term"]).groupBy(F.col("doc_id").alias("t_doc"), F.col("same").alias("t_same")).agg(F.array_sort(F.collect_set(F.struct(F.lit(TERM).alias("kind"), "start", "end"))).alias("terms"))
+    spans = materialise(base_spans(documents, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "base-spans")
+    told = disclosing(documents, spans, threshold, text_col)
     base = F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end")))
-    own = spans.select("doc_id", "same", base.alias("base"))
-    joined = own.join(terms, F.col("doc_id").eqNullSafe(F.col("t_doc")) & (F.col("same") == F.col("t_same")), "left")
-    return joined.select("doc_id", "same", F.concat("base", F.coalesce("terms", F.array().cast("array<struct<kind:int,start:int,end:int>>"))).alias("spans"))
+    none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
+    some, clean = spans.where(F.size("base") > 0), spans.where(F.size("base") == 0)
+    joined = _with_occurrences(some.join(told, "row", "left")).select("doc_id", "same", F.concat(base, F.coalesce("found_terms", none)).alias("spans"))
+    return joined.unionByName(clean.select("doc_id", "same", none.alias("spans")))
 
 
 def sanitise(documents: DataFrame, threshold: float = DISCLOSURE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
