@@ -50,17 +50,55 @@ def test_factor_one_is_exact(spark, small, table):
     assert {q: [i for i, _ in r] for q, r in got.items()} == {q: [i for i, _ in r] for q, r in want.items()}
 
 
+def scanned(tree, queries):
+    """Share of the points that a query is compared with, and the numbers found."""
+    scan, seen = tree._scan, []
+    tree._scan = lambda at, who: (seen.append(len(at) * len(who)), scan(at, who))[1]
+    best, _ = tree.search(queries)
+    return sum(seen) / len(queries) / len(tree.points), best
+
+
 def test_pruning_is_by_the_factor():
-    rng = np.random.default_rng(1)
-    points = rng.standard_normal((4000, 3))
-    scans = []
-    for factor in (1.0, 3.0):
-        tree = vptree.Tree(points, np.arange(len(points)), 5, factor, leaf=32)
-        scan, seen = tree._scan, []
-        tree._scan = lambda at, who: (seen.append(len(at) * len(who)), scan(at, who))[1]  # noqa: B023
-        tree.search(points[:50])
-        scans.append(sum(seen))
-    assert scans[1] < scans[0] < 50 * 4000
+    points = np.random.default_rng(1).standard_normal((4000, 3))
+    shares = [scanned(vptree.Tree(points, np.arange(len(points)), 5, factor, leaf=32), points[:50])[0] for factor in (1.0, 3.0)]
+    assert shares[1] < shares[0] < 0.6
+
+
+@pytest.mark.parametrize("dimensions, spread, most", [(16, 0, 0.35), (32, 0, 0.5), (64, 0.15, 0.4)])
+def test_recall_and_share_of_large_shards(dimensions, spread, most):
+    """Vectors of unequal norms, and jittered unit vectors about 500 centres, in one shard of 20000 rows."""
+    rng = np.random.default_rng(0)
+    if spread:
+        points = rng.standard_normal((500, dimensions))[rng.integers(0, 500, 20_000)] + spread * rng.standard_normal((20_000, dimensions))
+        points /= np.linalg.norm(points, axis=1)[:, None]
+    else:
+        points = rng.standard_normal((20_000, dimensions)) * rng.uniform(0.3, 2, (20_000, 1))
+    queries = points[::200]
+    tree = vptree.Tree(points, np.arange(len(points)), 20, vptree.FACTOR)
+    share, best = scanned(tree, queries)
+    want = np.argsort(-(queries @ tree.points.T), axis=1, kind="stable")[:, :21]
+    assert np.mean([len(set(a) & set(b)) / 21 for a, b in zip(want.tolist(), best.tolist())]) >= 0.95
+    assert share <= most
+
+
+def test_factor_one_loses_no_close_copy():
+    """Distances that differ by roundings: every pair of the exact ranking that is told apart at 1e-12 is found."""
+    rng = np.random.default_rng(4)
+    points = np.repeat(rng.standard_normal((60, 24)), 50, axis=0) + 10.0 ** rng.uniform(-9, -3, (3000, 1)) * rng.standard_normal((3000, 24))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    tree = vptree.Tree(points, np.arange(len(points)), 20, 1.0)
+    best, score = tree.search(points[:300])
+    exact = np.sort(points[:300] @ tree.points.T, axis=1)[:, ::-1][:, :21]
+    assert np.abs(score - exact).max() < 1e-12
+
+
+def test_shards_follow_the_rows():
+    assert [vptree.shards_of(n) for n in (0, 2000, 10_260, 51_300, 1 << 20, 1 << 26)] == [1, 1, 5, 16, 16, 1024]
+
+
+def test_two_vectors_of_one_id(spark):
+    df = spark.createDataFrame([(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [0.0, 2.0]), (2, [3.0, 0.0]), (2, [0.0, 3.0])], "vec_id long, embedding array<double>")
+    assert by_query(vptree.every_20th(df)) == {20: [(2, 3.0), (1, 2.0), (2, 0.0)]}
 
 
 def test_odd_rows(spark):

@@ -13,7 +13,8 @@ keeps the best of those. No row is sampled away: every valid row is in a tree.
 
 Edge cases: null or empty vectors, those that hold a null, NaN or infinity, and zero vectors take no part, nor do null
 ids; vectors of another length are never compared; rows with the query's own id are no candidates; an id that is
-repeated with the same vector counts once; ties go to the smaller id; fewer than k candidates give as many rows.
+repeated with the same vector counts once; with different vectors each is a candidate, so that the id may come twice, and
+the smallest one is the query; ties go to the smaller id; fewer than k candidates give as many rows.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-NEIGHBOURS, FACTOR = 20, 4.0
-#: Rows of a shard, the least number of shards, and points of a leaf.
-SHARD_ROWS, LEAST_SHARDS, LEAF_POINTS = 1 << 16, 16, 128
+NEIGHBOURS, FACTOR = 20, 2.0
+#: Rows of a shard at the most, and at the least where SHARDS tasks can share the rows; points of a leaf.
+SHARD_ROWS, LEAST_ROWS, SHARDS, LEAF_POINTS = 1 << 16, 1 << 11, 16, 64
 
 
 class Tree:
@@ -45,11 +46,13 @@ class Tree:
         self.m2 = float(norms.max())
         self.lifted = np.concatenate([self.points, np.sqrt(np.maximum(self.m2 - norms, 0))[:, None]], axis=1)
         self.rng = np.random.default_rng(5)
+        self.leaves = 0
         self.root = self._node(np.arange(len(self.points)))
 
     def _node(self, at: np.ndarray):
         if len(at) <= self.leaf:
-            return (at,)
+            self.leaves += 1
+            return at, self.leaves
         vantage = self.lifted[at[self.rng.integers(len(at))]]
         d = np.sqrt(((self.lifted[at] - vantage) ** 2).sum(axis=1))
         order = np.argsort(d, kind="stable")
@@ -63,30 +66,48 @@ class Tree:
         self.best = np.full((len(queries), self.k + 1), -1)
         self.score = np.full((len(queries), self.k + 1), -np.inf)
         self.lifted_q = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1)
+        self.home = np.zeros(len(queries), np.int64)
+        self._descend(self.root, np.arange(len(queries)))
         self._visit(self.root, np.arange(len(queries)))
         return self.best, self.score
 
     def _radius(self, who: np.ndarray) -> np.ndarray:
-        worst = self.score[who, -1]
-        return np.sqrt(np.maximum(self.q2[who] + self.m2 - 2 * worst, 0))  # infinite while neighbours are lacking
+        """Distance of the worst neighbour still wanted, infinite while neighbours are lacking. A squared distance is a sum
+        of as many rounded products as there are coordinates, so it is off by that many roundings of q2 + m2."""
+        both = self.q2[who] + self.m2
+        return np.sqrt(np.maximum(both - 2 * self.score[who, -1], 0) + 4 * self.lifted.shape[1] * np.finfo(float).eps * both)
+
+    def _distance(self, node, who: np.ndarray) -> np.ndarray:
+        return np.sqrt(((self.lifted_q[who] - node[0]) ** 2).sum(axis=1))
+
+    def _descend(self, node, who: np.ndarray) -> None:
+        """Each query scans the leaf that is nearest on every level, so that the visits begin with a radius."""
+        if len(node) == 2:
+            self.home[who] = node[1]
+            self._scan(node[0], who)
+        elif len(who):
+            near_first = self._distance(node, who) <= (node[1][1] + node[2][0]) / 2
+            self._descend(node[3], who[near_first])
+            self._descend(node[4], who[~near_first])
 
     def _visit(self, node, who: np.ndarray) -> None:
-        if not len(who):
-            return
-        if len(node) == 1:
-            self._scan(node[0], who)
-            return
-        vantage, near, far, near_child, far_child = node
-        d = np.sqrt(((self.lifted_q[who] - vantage) ** 2).sum(axis=1))
-        first = d <= (near[1] + far[0]) / 2  # these begin with the near child
-        near_bound, far_bound = (np.maximum(np.maximum(lo - d, d - hi), 0) * self.factor * (1 - 1e-12) for lo, hi in (near, far))
-        self._visit(near_child, who[first & (near_bound <= self._radius(who))])
-        self._visit(far_child, who[~first & (far_bound <= self._radius(who))])
-        self._visit(near_child, who[~first & (near_bound <= self._radius(who))])
-        self._visit(far_child, who[first & (far_bound <= self._radius(who))])
+        if len(node) == 2:
+            self._scan(node[0], who[self.home[who] != node[1]])
+        elif len(who):
+            d = self._distance(node, who)
+            order = ((1, 3), (2, 4)) if (d <= (node[1][1] + node[2][0]) / 2).mean() >= 0.5 else ((2, 4), (1, 3))
+            for limits, child in order:  # the side that most queries are on comes first and narrows their radius
+                low, high = node[limits]
+                bound = np.maximum(np.maximum(low - d, d - high), 0) * self.factor
+                self._visit(node[child], who[bound <= self._radius(who)])
 
     def _scan(self, at: np.ndarray, who: np.ndarray) -> None:
-        scores = np.concatenate([self.score[who], self.q[who] @ self.points[at].T], axis=1)
+        if not len(who):
+            return
+        scores = self.q[who] @ self.points[at].T
+        better = scores.max(axis=1) >= self.score[who, -1]  # a tie may have the smaller id
+        who = who[better]
+        scores = np.concatenate([self.score[who], scores[better]], axis=1)
         numbers = np.concatenate([self.best[who], np.broadcast_to(at, (len(who), len(at)))], axis=1)
         ids = np.where(numbers >= 0, self.least[numbers], np.iinfo(np.int64).max)
         keep = np.lexsort((ids, -scores), axis=1)[:, : self.k + 1]
@@ -96,18 +117,24 @@ class Tree:
     def neighbours(self, query_ids: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query_id, vec_id, score): the k best rows of each query, its own left out."""
         best, _ = self.search(queries)
-        out = []
-        for query_id, query, numbers in zip(query_ids, queries, best, strict=True):
-            numbers = numbers[numbers >= 0]
-            score = (self.points[numbers] * query).sum(axis=1)
-            spread = [self.ids[self.begin[n] : self.begin[n + 1]][: 2 * self.k + 2] for n in numbers]
-            ids = np.concatenate(spread) if spread else np.zeros(0, np.int64)
-            scores = np.repeat(score, [len(s) for s in spread])
-            other = ids != query_id
-            ids, scores = ids[other], scores[other]
-            order = np.lexsort((ids, -scores))[: self.k]
-            out.append((np.full(len(order), query_id), ids[order], scores[order]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        asked, column = np.nonzero(best >= 0)
+        numbers = best[asked, column]
+        score = (self.points[numbers] * queries[asked]).sum(axis=1)
+        holders = np.minimum(self.begin[numbers + 1] - self.begin[numbers], 2 * self.k + 2)  # ids of a point, in order
+        each = np.repeat(np.arange(len(numbers)), holders)
+        ids = self.ids[self.begin[numbers][each] + np.arange(len(each)) - (np.cumsum(holders) - holders)[each]]
+        asked, score = asked[each], score[each]
+        other = ids != query_ids[asked]
+        asked, ids, score = asked[other], ids[other], score[other]
+        order = np.lexsort((ids, -score, asked))
+        asked, ids, score = asked[order], ids[order], score[order]
+        first = np.arange(len(asked)) - np.searchsorted(asked, asked) < self.k
+        return query_ids[asked[first]], ids[first], score[first]
+
+
+def shards_of(rows: int, shard_rows: int = SHARD_ROWS, least_rows: int = LEAST_ROWS) -> int:
+    """Number of shards: none over shard_rows rows, and of few rows as many as SHARDS with least_rows in each."""
+    return max(1, -(-rows // shard_rows), min(SHARDS, rows // min(least_rows, shard_rows)))
 
 
 def usable(vector: Column) -> Column:
@@ -119,7 +146,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, factor:
     """(query_id, rank, vec_id, score): for each row of queries the k rows of vectors with the largest inner products."""
     take = lambda df: df.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows, wanted = take(vectors), take(queries).groupBy("id").agg(F.min("v").alias("v"))
-    shards = max(LEAST_SHARDS, -(-rows.count() // shard_rows))
+    shards = shards_of(rows.count(), shard_rows)
     shard = lambda n: F.xxhash64(F.size("v"), n)
     dealt = rows.select(shard(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).alias("shard"), F.lit(0).alias("query"), "id", "v")
     asked = wanted.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("n")).select(shard(F.col("n")).alias("shard"), F.lit(1).alias("query"), "id", "v")
