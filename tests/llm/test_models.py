@@ -92,12 +92,32 @@ def test_training_helps_and_scores_sum(spark, small):
         assert got[doc_id].n_words == len(unit) and got[doc_id].log_prob == pytest.approx(want, rel=1e-3, abs=1e-3)
 
 
+def test_beats_a_unigram_on_held_out_text(spark, medium):
+    docs = spark.read.parquet(f"{medium}/documents.parquet").where("text IS NOT NULL")
+    kept, unseen = docs.where("crc32(cast(doc_id AS string)) % 4 <> 2").dropDuplicates(["text"]), docs.where("crc32(cast(doc_id AS string)) % 4 = 2").join(docs.where("crc32(cast(doc_id AS string)) % 4 <> 2").select("text"), "text", "left_anti")
+    units, model = pl.train(kept)
+    hasher, times = SpanHasher(pl.BASE), np.full(units.units, pl.PRIOR)
+    for r in kept.select("text").collect():
+        np.add.at(times, units(pa.array([r.text.encode()], pa.binary()), hasher)[0], 1)
+    share = np.log(times / times.sum())
+    own = sum(share[units(pa.array([r.text.encode()], pa.binary()), hasher)[0]].sum() for r in unseen.select("text").collect())
+    got = pl.score(unseen, units, model).agg({"log_prob": "sum", "n_words": "sum"}).first()
+    assert got["sum(n_words)"] > 10_000 and got["sum(log_prob)"] / got["sum(n_words)"] > own / got["sum(n_words)"] + 0.1
+
+
+def test_the_model_depends_on_the_documents_alone(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    first, second = (pl.train(docs.repartition(n).sortWithinPartitions(order)) for n, order in ((3, "doc_id"), (11, "text")))
+    assert np.array_equal(first[0].hashes, second[0].hashes) and first[1] == second[1]
+
+
 def test_scores_of_odd_rows(spark):
     got = pl.pseudo_likelihood(documents(spark, ODD, CLASHING)).collect()
     assert len(got) == len(ODD)
     empty = [r for r in got if r.n_words == 0]
     assert len(empty) == 4 and all(r.log_prob == 0 and r.mean_log_prob is None for r in empty)
-    assert len({r.log_prob for r in got if r.doc_id in (4, 5)}) == 1
+    same = [r.log_prob for r in got if r.doc_id in (4, 5)]
+    assert len(same) == 3 and same == pytest.approx([same[0]] * 3, rel=1e-6)
     assert pl.pseudo_likelihood(documents(spark, [])).collect() == []
 
 

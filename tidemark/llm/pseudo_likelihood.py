@@ -9,15 +9,18 @@ words, UNITS at least. The output is a two-level softmax: a unit's class, then t
 probabilities are normalised at the cost of two short rows. In a shared unit a word has its share of the unit's count:
 (n(word) + PRIOR) / (n(unit) + PRIOR (words + unseen words)), and as many unseen words are supposed as there are seen ones.
 
-Training is a Spark job: in each of ROUNDS rounds every task trains its own copy, from the same parameters, on its part
-of the documents of that round, and the copies are averaged, weighted by their words, FAN_IN at a time until one is left.
-The rounds split the corpus, so one pass over all words is made in total. Word counts are a written table, and the words
+Training begins with the words' shares in the corpus, which the network then bends to the context. It is a Spark job: in
+each of ROUNDS rounds a copy of the parameters is trained on about COPY_WORDS words, and the copies are averaged, weighted
+by their words, FAN_IN at a time until one is left. The rounds split the corpus, so one pass over all words is made in
+total. The hash of id and text deals a document to its round and copy, and orders it there: the model depends on the
+documents alone, not on their partitions, and copies of a text are spread. Word counts are a written table, and the words
 of shared units, counted for each document first, meet it in a join on their hash. No such word is hot: each of the more
 frequent ones has a unit of its own. The model grows with the root of the vocabulary (150 kB at least), and only it, the
 frequent words and the counts of the shared units pass through the driver.
 
 Edge cases: null and empty texts have no words, log_prob 0 and a null mean; an empty table gives no rows; ties in the
-word counts go to the smaller hash; repeated rows each train and get the same score; only id and text are read.
+word counts go to the smaller hash; repeated rows each train and get the same score, up to
+float32 rounding; only id and text are read.
 """
 
 from __future__ import annotations
@@ -35,7 +38,9 @@ from .decontaminate import words
 SIDE, WIDTH, CLASSES, IN_CLASS = 2, 16, 32, 32
 UNITS = CLASSES * IN_CLASS
 FREQUENT = UNITS * 7 // 8
-ROUNDS, FAN_IN, BATCH, RATE = 2, 16, 8192, 0.15
+ROUNDS, FAN_IN, BATCH, STEP, RATE = 2, 16, 8192, 2048, 0.2
+#: Words that one copy learns from in a round, about.
+COPY_WORDS = 250_000
 BASE = 0x100000001B3
 #: What a word counts beside its occurrences, and the steps of 1 in which logarithms are added up exactly.
 PRIOR, STEPS = 0.5, 1 << 24
@@ -55,10 +60,18 @@ def shapes(in_class: int = IN_CLASS) -> dict[str, tuple[int, ...]]:
 SHAPES = shapes()
 
 
-def initial(seed: int = 3, in_class: int = IN_CLASS) -> Parameters:
+def initial(seed: int = 3, in_class: int = IN_CLASS, counts: np.ndarray | None = None) -> Parameters:
+    """Random parameters; with the counts of all units, those under which every context gives the units' shares."""
     rng, sizes = np.random.default_rng(seed), shapes(in_class)
     out = {k: (rng.standard_normal(v) * (0.3 if k == "embedding" else 1 / np.sqrt(v[-2]) if len(v) > 1 else 0)).astype(np.float32) for k, v in sizes.items()}
-    return out | {"inner_bias": np.zeros(sizes["inner_bias"], np.float32)}
+    out["inner_bias"] = np.zeros(sizes["inner_bias"], np.float32)
+    if counts is not None:
+        each = counts.reshape(CLASSES, in_class) + PRIOR
+        out["class_bias"] = np.log(each.sum(axis=1) / each.sum()).astype(np.float32)
+        out["inner_bias"] = np.log(each / each.sum(axis=1, keepdims=True)).astype(np.float32)
+        out["classes"] *= 0
+        out["inner"] *= 0
+    return out
 
 
 class Units:
@@ -99,29 +112,44 @@ def contexts(unit: np.ndarray, first: np.ndarray, outside: int = UNITS) -> np.nd
     return np.stack(columns, axis=1) if len(unit) else np.zeros((0, 2 * SIDE), np.int64)
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def softmax(x: np.ndarray) -> np.ndarray:
+    """Of each row, in place."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
 
 
 def forward(p: Parameters, context: np.ndarray) -> np.ndarray:
     return np.tanh(p["embedding"][context].reshape(len(context), -1) @ p["hidden"] + p["bias"])
 
 
+def by_class(unit: np.ndarray, in_class: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order of the positions that puts those of a class side by side, and the classes that occur with their slices."""
+    c = (unit // in_class).astype(np.uint8 if CLASSES <= 256 else np.int64)
+    order = np.argsort(c, kind="stable")
+    bounds = np.searchsorted(c[order], np.arange(CLASSES + 1))
+    return order, [(k, slice(bounds[k], bounds[k + 1])) for k in range(CLASSES) if bounds[k] < bounds[k + 1]]
+
+
+def within(p: Parameters, h: np.ndarray, slices: list[tuple[int, slice]]) -> np.ndarray:
+    """Probabilities within their class, of positions in the order by class."""
+    x = np.empty((len(h), p["inner"].shape[2]), h.dtype)
+    for k, own in slices:
+        np.matmul(h[own], p["inner"][k], out=x[own])
+        x[own] += p["inner_bias"][k]
+    return softmax(x)
+
+
 def log_probabilities(p: Parameters, context: np.ndarray, unit: np.ndarray) -> np.ndarray:
     """log p(unit | context) of each position."""
     out, in_class = np.zeros(len(unit), np.float32), p["inner"].shape[2]
     for start in range(0, len(unit), BATCH):
-        u, h = unit[start : start + BATCH], forward(p, context[start : start + BATCH])
-        c = u // in_class
-        part = log_softmax(h @ p["classes"] + p["class_bias"])[np.arange(len(u)), c]
-        order = np.argsort(c, kind="stable")
-        bounds = np.searchsorted(c[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            own = order[bounds[k] : bounds[k + 1]]
-            if len(own):
-                part[own] += log_softmax(h[own] @ p["inner"][k] + p["inner_bias"][k])[np.arange(len(own)), u[own] % in_class]
-        out[start : start + BATCH] = part
+        u = unit[start : start + BATCH]
+        order, slices = by_class(u, in_class)
+        u, h, row = u[order], forward(p, context[start : start + BATCH][order]), np.arange(len(u))
+        chosen = softmax(h @ p["classes"] + p["class_bias"])[row, u // in_class] * within(p, h, slices)[row, u % in_class]
+        out[start + order] = np.log(np.maximum(chosen, np.finfo(np.float32).tiny))
     return out
 
 
@@ -139,35 +167,36 @@ class Trainer:
 
     def batch(self, context: np.ndarray, u: np.ndarray) -> None:
         p, n, in_class = self.p, len(u), self.p["inner"].shape[2]
+        order, slices = by_class(u, in_class)
+        u, context, row = u[order], context[order], np.arange(n)
         x = p["embedding"][context].reshape(n, -1)
         h = np.tanh(x @ p["hidden"] + p["bias"])
-        c = u // in_class
-        off = np.exp(log_softmax(h @ p["classes"] + p["class_bias"]))
-        off[np.arange(n), c] -= 1
+        off = softmax(h @ p["classes"] + p["class_bias"])
+        off[row, u // in_class] -= 1
         off /= n
         back = off @ p["classes"].T
-        order = np.argsort(c, kind="stable")
-        bounds = np.searchsorted(c[order], np.arange(CLASSES + 1))
-        inner, inner_bias = np.zeros_like(p["inner"]), np.zeros_like(p["inner_bias"])
-        for k in range(CLASSES):
-            own = order[bounds[k] : bounds[k + 1]]
-            if len(own):
-                e = np.exp(log_softmax(h[own] @ p["inner"][k] + p["inner_bias"][k]))
-                e[np.arange(len(own)), u[own] % in_class] -= 1
-                e /= n
-                back[own] += e @ p["inner"][k].T
-                inner[k], inner_bias[k] = h[own].T @ e, e.sum(axis=0)
+        e = within(p, h, slices)
+        e[row, u % in_class] -= 1
+        e /= n
+        inner = []
+        for k, own in slices:
+            back[own] += e[own] @ p["inner"][k].T
+            inner.append((k, h[own].T @ e[own], e[own].sum(axis=0)))
         back *= 1 - h * h
         to_x = (back @ p["hidden"].T).reshape(-1, WIDTH)
-        flat = context.reshape(-1)
+        flat = context.reshape(-1).astype(np.uint16 if CLASSES * in_class < 1 << 16 else np.int64)
         sort = np.argsort(flat, kind="stable")
-        rows, begin = np.unique(flat[sort], return_index=True)
-        self._step("embedding", np.add.reduceat(to_x[sort], begin, axis=0), rows)
-        for name, gradient in (("hidden", x.T @ back), ("bias", back.sum(axis=0)), ("classes", h.T @ off), ("class_bias", off.sum(axis=0)), ("inner", inner), ("inner_bias", inner_bias)):
+        flat = flat[sort]
+        begin = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        self._step("embedding", np.add.reduceat(to_x[sort], begin, axis=0), flat[begin])
+        for name, gradient in (("hidden", x.T @ back), ("bias", back.sum(axis=0)), ("classes", h.T @ off), ("class_bias", off.sum(axis=0))):
             self._step(name, gradient)
+        for k, gradient, bias in inner:
+            self._step("inner", gradient, k)
+            self._step("inner_bias", bias, k)
         self.words += n
 
-    def text(self, context: np.ndarray, unit: np.ndarray, step: int = 4096) -> None:
+    def text(self, context: np.ndarray, unit: np.ndarray, step: int = STEP) -> None:
         for start in range(0, len(unit), step):
             self.batch(context[start : start + step], unit[start : start + step])
 
@@ -201,51 +230,71 @@ def word_counts(documents: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def averaged(copies: DataFrame) -> bytes | None:
-    """The mean of (task, words, parameters), weighted by words; FAN_IN copies meet in a group."""
+    """The mean of (copy, words, parameters), weighted by words; FAN_IN copies meet in a group, in their order."""
 
     def mean(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("copy")
         weight = rows["words"].to_numpy(float)
         total = sum(w * np.frombuffer(raw, np.float32).astype(np.float64) for w, raw in zip(weight, rows["parameters"], strict=True))
-        return pd.DataFrame({"task": [int(rows["task"].min()) // FAN_IN], "words": [int(weight.sum())], "parameters": [(total / weight.sum()).astype(np.float32).tobytes()]})
+        return pd.DataFrame({"copy": [int(rows["copy"].min()) // FAN_IN], "words": [int(weight.sum())], "parameters": [(total / weight.sum()).astype(np.float32).tobytes()]})
 
     copies = materialise(copies.where("words > 0"), "copies")
-    most = copies.agg(F.max("task")).first()[0]
+    most = copies.agg(F.max("copy")).first()[0]
     if most is None:
         return None
     while True:
-        copies = copies.groupBy(F.floor(F.col("task") / FAN_IN).alias("group")).applyInPandas(mean, "task long, words long, parameters binary")
+        copies = copies.groupBy(F.floor(F.col("copy") / FAN_IN).alias("group")).applyInPandas(mean, "copy long, words long, parameters binary")
         most //= FAN_IN
         if most == 0:
             return bytes(copies.first().parameters)
 
 
-def train(documents: DataFrame, text_col: str = "text", rounds: int = ROUNDS, counts: DataFrame | None = None) -> tuple[Units, bytes]:
+def train(documents: DataFrame, text_col: str = "text", rounds: int = ROUNDS, counts: DataFrame | None = None, id_col: str = "doc_id") -> tuple[Units, bytes]:
     """The units and the packed parameters, learned from all documents; counts are their word_counts, if written already."""
     counts = materialise(word_counts(documents, text_col), "word-counts") if counts is None else counts
-    in_class = class_size(counts.count())
-    frequent = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(CLASSES * in_class * 7 // 8).collect()]
-    units, model = Units(frequent, in_class), packed(initial(in_class=in_class))
+    size = counts.agg(F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    in_class = class_size(size.words)
+    frequent = counts.orderBy(F.desc("n"), "word").limit(CLASSES * in_class * 7 // 8).collect()
+    units = Units([r.word for r in frequent], in_class)
+    total = unit_totals(counts, units)[0]
+    total[units.of(np.array([r.word for r in frequent], np.int64).view(np.uint64))[0]] = [r.n for r in frequent]
+    model = packed(initial(in_class=in_class, counts=total))
     context = documents.sparkSession.sparkContext
-    rows = documents.where(F.length(text_col) > 0).select(F.col(text_col).cast("binary").alias("text"), F.pmod(F.xxhash64(text_col), F.lit(rounds)).alias("round"))
+    copies = max(1, -(-size.n // (COPY_WORDS * rounds)))
+    # who learns from a text, and when, is up to its hash and id alone, so that the model is the same on every cluster
+    deal = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    rows = documents.where(F.length(text_col) > 0).select(F.col(text_col).cast("binary").alias("text"), deal.alias("deal"), F.pmod(deal, F.lit(copies)).cast("int").alias("copy"), F.pmod(F.shiftrightunsigned(deal, 40), F.lit(rounds)).alias("round"))
     for number in range(rounds):
         shared = context.broadcast((units, model))
 
         def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
             own, raw = shared.value
-            trainer, hasher = Trainer(unpacked(raw)), SpanHasher(BASE)
-            for batch in sliced(batches, 0, 1 << 20):
-                unit, first = own(batch.column(0), hasher)
-                trainer.text(contexts(unit, first, own.units), unit)
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([trainer.words], pa.int64()), pa.array([packed(trainer.p)], pa.binary())], ["task", "words", "parameters"])
-
-        model = averaged(rows.where(F.col("round") == number).select("text").mapInArrow(learn, "task long, words long, parameters binary")) or model
+            hasher, current, trainer = SpanHasher(BASE), None, None
+
+            def done() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([current], pa.int64()), pa.array([trainer.words], pa.int64()), pa.array([packed(trainer.p)], pa.binary())], ["copy", "words", "parameters"])
+
+            for whole in batches:
+                copy = whole.column(0).to_numpy()
+                cuts = np.flatnonzero(np.diff(copy)) + 1
+                for a, b in zip([0, *cuts], [*cuts, len(copy)], strict=True):
+                    if a < b and copy[a] != current:
+                        if trainer:
+                            yield done()
+                        current, trainer = int(copy[a]), Trainer(unpacked(raw))
+                    for batch in sliced([whole.slice(a, b - a)], 1, 1 << 20):
+                        unit, first = own(batch.column(1), hasher)
+                        trainer.text(contexts(unit, first, own.units), unit)
+            if trainer:
+                yield done()
+
+        mine = rows.where(F.col("round") == number).repartition(copies, "copy").sortWithinPartitions("copy", "deal", "text").select("copy", "text")
+        model = averaged(mine.mapInArrow(learn, "copy long, words long, parameters binary")) or model
     return units, model
 
 
-def share_weights(counts: DataFrame, units: Units) -> np.ndarray:
-    """For each unit the logarithm of what its words' n + PRIOR are divided by; 0 for words with a unit of their own."""
+def unit_totals(counts: DataFrame, units: Units) -> tuple[np.ndarray, np.ndarray]:
+    """For each shared unit how often its words occur, and how many different ones do; 0 for the other units."""
     shared = counts.sparkSession.sparkContext.broadcast(units)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,12 +306,18 @@ def share_weights(counts: DataFrame, units: Units) -> np.ndarray:
             np.add.at(total, first, n)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(total), pa.array(size)], ["unit", "n", "words"])
 
-    out = np.zeros(units.units)
-    every = np.arange(units.units)
-    out[every % units.in_class >= (units.units - units.shared) // CLASSES] = np.log(PRIOR)  # nothing seen: one unseen word
+    total, different = np.zeros(units.units), np.zeros(units.units)
     for r in counts.select("word", "n").mapInArrow(place, "unit long, n long, words long").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect():
-        out[r.unit] = np.log(r.n + PRIOR * 2 * r.words)
-    return out.astype(np.float32)
+        total[r.unit], different[r.unit] = r.n, r.words
+    return total, different
+
+
+def share_weights(counts: DataFrame, units: Units) -> np.ndarray:
+    """For each unit the logarithm of what its words' n + PRIOR are divided by; 0 for words with a unit of their own."""
+    total, different = unit_totals(counts, units)
+    shared = np.arange(units.units) % units.in_class >= (units.units - units.shared) // CLASSES
+    # where nothing was seen, one unseen word is supposed
+    return np.where(shared, np.log(np.where(different > 0, total + PRIOR * 2 * different, PRIOR)), 0).astype(np.float32)
 
 
 def score(documents: DataFrame, units: Units, model: bytes, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None) -> DataFrame:
