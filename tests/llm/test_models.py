@@ -32,17 +32,62 @@ def test_language_of_odd_rows(spark):
     assert li.language_id(documents(spark, [])).collect() == []
 
 
-def test_sample_is_bounded_and_whole_below_the_bound(spark):
-    rows = [(i, f"text number {i}", "a" if i % 10 else "b") for i in range(3000)]
-    got = li.sample(documents(spark, rows), "doc_id", "text", "lang", 50, 10)
-    assert sorted(x[1] for x in got).count("a") == 50 and len(got) == 100
-    assert len(set(li.sample(documents(spark, rows[:40]), "doc_id", "text", "lang", 50, 10))) == 40
+def test_numerals_and_marks_are_no_letters(spark):
+    rows = [*ODD, (60, "½ ²", None), (61, "١٢٣ Ⅳ", None), (62, "ªº", None)]
+    got = {r.doc_id: r.lang_pred for r in li.language_id(documents(spark, rows)).collect()}
+    assert got[60] == got[61] == "und" and (got[62] == "und") == (not "ªº".isalpha())
 
 
-def test_kernel_is_presence(spark):
-    x = li.presence([b"abcdabcd", b"abcd", b"wxyz"])
-    same, other = x[0] @ x[1], x[0] @ x[2]
-    assert same > other and x[1] @ x[1] == pytest.approx(1, abs=1e-5)
+def test_sample_is_bounded_and_whole_below_the_bound(spark):
+    rows = [(i, f"text number {i}", "a" if i % 10 else "b") for i in range(3000)]
+    got = li.sample(documents(spark, rows), "doc_id", "text", "lang", 50)
+    assert [x[1] for x in got].count("a") == 50 and len(got) == 100
+    assert len({tuple(p) for p, _ in li.sample(documents(spark, rows[:40]), "doc_id", "text", "lang", 50)}) == 40
+    equal = [(1, "the same row", "a")] * 500 + [(2, "another", "b")]
+    assert sorted(x[1] for x in li.sample(documents(spark, equal), "doc_id", "text", "lang", 5)) == ["a"] * 5 + ["b"]
+
+
+def test_every_label_is_learned(spark):
+    """Far more labels than there were once allowed, each of one row; over the bound they are an error."""
+    rows = [(i, f"text of label {i}", f"l{i}") for i in range(600)]
+    assert {x[1] for x in li.sample(documents(spark, rows), "doc_id", "text", "lang", 400, 600)} == {f"l{i}" for i in range(600)}
+    with pytest.raises(ValueError):
+        li.sample(documents(spark, rows), "doc_id", "text", "lang", 400, 599)
+
+
+def test_pieces_come_from_the_whole_text(spark):
+    text = "".join(chr(0x4E00 + i) for i in range(20_000))
+    ((pieces, _),) = li.sample(documents(spark, [(1, text, "zh")]), "doc_id", "text", "lang")
+    assert len(pieces) == li.PIECES and pieces[0] == text[: li.PIECE_BYTES] and pieces[-1] == text[-li.PIECE_BYTES :]
+    assert len({text.index(x) for x in pieces}) == li.PIECES and all(x in text for x in pieces)
+
+
+def test_leads_do_not_depend_on_the_number_of_languages():
+    flat = lambda n: np.full((1, n), 2 / n - 1)
+    clear = lambda n: np.array([[0.2] + [-0.8] * (n - 1)])
+    for n in (2, 4, 100):
+        assert li.leads(flat(n))[0] == pytest.approx(0) and li.leads(clear(n))[0] == pytest.approx(1)
+    assert li.leads(np.array([[0.5]]))[0] == np.inf
+    assert li.shares(np.array([[3.0, 1.0], [-900.0, -900.0]])).sum(axis=1) == pytest.approx([1, 1])
+
+
+def naive_kernel(a, b):
+    grams = lambda t, n: {t[i : i + n] for i in range(len(t) - n + 1)}
+    total = 0.0
+    for n in range(1, 5):
+        x, y = grams(a.lower(), n), grams(b.lower(), n)
+        total += len(x & y) / np.sqrt(max(len(x), 1) * max(len(y), 1)) / 4
+    return total
+
+
+def test_kernel_against_a_naive_one(small):
+    """Hashing into places makes the kernel only a little larger or smaller."""
+    texts = [t.encode()[:1000] for i, t in read(small, "documents", "doc_id, text") if t and len(t) > 60][:40]
+    x = li.presence(texts)
+    got, want = x @ x.T, np.array([[naive_kernel(a, b) for b in texts] for a in texts])
+    assert np.abs(got - want).max() < 0.06 and np.abs(got - want).mean() < 0.03
+    x = li.presence([b"abcdabcd", b"ABCD", b"wxyz"])
+    assert x[0] @ x[1] > x[0] @ x[2] and x[1] @ x[1] == pytest.approx(1, abs=1e-5)
 
 
 def test_probabilities_add_up():

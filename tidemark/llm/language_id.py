@@ -1,40 +1,43 @@
 """Language identification with a blended-spectrum string kernel.
 
 A text is the set of byte n-grams (n = 1 .. 4, lower-cased A-Z) that occur in it. The kernel of two texts is, summed over
-n, the number of n-grams that both have, over the geometric mean of their own numbers. Landmark texts span a Nyström
-feature space; a one-versus-rest kernel ridge regression is fitted in it on a bounded sample of labelled rows. As the
-classifier is linear in the kernel values, landmarks and coefficients are multiplied once, and a batch of texts is scored
-by one product of its presence matrix with that.
+n, the number of n-grams that both have, over the geometric mean of their own numbers. The n-grams are hashed into 2^b
+places (BITS), so that different ones sometimes count as one: the kernel is an approximation of the one over exact sets.
+Landmark texts span a Nyström feature space; a one-versus-rest kernel ridge regression is fitted in it on a bounded sample
+of labelled rows. As the classifier is linear in the kernel values, landmarks and coefficients are multiplied once, and a
+batch of texts is scored by one product of its presence matrix with that.
 
-Scale: the model is fitted once on at most ROWS_PER_LANGUAGE rows a language (the bound is a parameter; a bounded top-k
-by hash picks them) and is a few MB whatever the corpus; the corpus is then scored in one pass without a shuffle.
+Scale: the model is fitted once, on ROWS_PER_LANGUAGE rows of each language, fewer where there are so many languages that
+these would be over SAMPLE_ROWS, and PIECES pieces of each text, spread from its beginning to its end. One pass counts the
+labels, a second one takes the rows with the smallest hashes. No language is left out. The model is a few MB for a few
+languages and grows with their number alone; the corpus is then scored, whole texts, in one pass without a shuffle.
 
 Edge cases: a null text, or one without a letter, gets ``und`` and score 0; without any labelled row every text does;
 null labels are not learned from; ties go to the language that sorts first; repeated rows each get their row; only the
-id, the text and, for fitting, the label are read.
+id, the text and, for fitting, the label are read. More than SAMPLE_ROWS labels are an error.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import regex
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .common import fresh, sliced
 
-#: Bounds of the sample that the classifier is fitted on, and of what it takes of each sampled text.
-ROWS_PER_LANGUAGE, MAX_LANGUAGES = 400, 256
+#: Bounds of the sample that the classifier is fitted on, and pieces taken of each sampled text.
+ROWS_PER_LANGUAGE, SAMPLE_ROWS, PIECES = 400, 40_000, 8
 LANDMARKS, RIDGE = 192, 1e-2
 #: n-grams of 1, 2, 3, 4 bytes are hashed into 2^b places.
 BITS = (9, 12, 13, 13)
 #: A text is cut into pieces of so many bytes whose scores are averaged: presence says less the longer a text is.
 PIECE_BYTES = 1024
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -69,8 +72,8 @@ class Model:
     weights: np.ndarray  # n-grams x languages: landmarks (n-grams x landmarks) times their coefficients
     bias: np.ndarray
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """texts x languages, each row adding up to 1."""
+    def margins(self, texts: list[bytes]) -> np.ndarray:
+        """texts x languages: how far each language's regression speaks for it, about 1 where it does and -1 where not."""
         margin = np.zeros((len(texts), len(self.languages)))
         weight = np.zeros(len(texts))
         owners, pieces = [], []
@@ -90,18 +93,32 @@ class Model:
                 if len(pieces) == 128:
                     add()
         add()
-        e = np.exp(4 * (margin / np.maximum(weight, 1)[:, None]))
-        return e / e.sum(axis=1, keepdims=True)
+        return margin / np.maximum(weight, 1)[:, None]
 
 
-def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE, seed: int = 11) -> Model | None:
-    """rows: (text, language), few enough for one process."""
+def shares(margin: np.ndarray) -> np.ndarray:
+    """Margins as scores that add up to 1 in each row."""
+    e = np.exp(4 * (margin - margin.max(axis=1, keepdims=True)))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def leads(margin: np.ndarray) -> np.ndarray:
+    """How far the best margin of each row is above the mean of the others, infinite where there are none: a text that
+    speaks for no language has all margins about equal, whatever their number."""
+    n = margin.shape[1]
+    best = margin.max(axis=1)
+    return best - (margin.sum(axis=1) - best) / (n - 1) if n > 1 else np.full(len(margin), np.inf)
+
+
+def fit(rows: list[tuple[list[str], str]], landmarks: int = LANDMARKS, ridge: float = RIDGE, seed: int = 11) -> Model | None:
+    """rows: (pieces of a text, language), few enough for one process."""
     pieces, labels = [], []
-    for text, language in rows:
-        for piece in cut_pieces(text.encode())[:8]:
-            if LETTER.search(piece.decode("utf-8", "ignore")):
-                pieces.append(piece)
-                labels.append(language)
+    for parts, language in rows:
+        for part in parts:
+            if LETTER.search(part):
+                own = cut_pieces(part.encode())
+                pieces += own
+                labels += [language] * len(own)
     if not pieces:
         return None
     languages = sorted(set(labels))
@@ -123,26 +140,49 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     return Model(languages, marks.T @ (whiten @ beta).astype(np.float32), mean_t - mean_z @ beta)
 
 
-def sample(labelled: DataFrame, id_col: str, text_col: str, label_col: str, rows: int, languages: int) -> list[tuple[str, str]]:
-    """At most `rows` rows of each of at most `languages` languages, chosen by a hash of the id; texts are cut to 8 pieces
-    for fitting."""
-    counts = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(label_col).count()
-    order = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
-    out = []
-    for kind, n in sorted((r[0], r[1]) for r in counts.orderBy(F.desc("count"), label_col).limit(languages).collect()):
-        own = labelled.where((F.col(label_col) == kind) & F.col(text_col).isNotNull()).select(order.alias("o"), F.substring(text_col, 1, 8 * PIECE_BYTES).alias("t"))
-        # the smallest hashes lie below this, so tasks send few rows that aren't wanted; where they don't, all are sorted
-        low = own.where(F.col("o") < int(-(2**63) + 2**64 * min(4 * rows / n, 0.999999))) if n > 4 * rows else own
-        picked = low.orderBy("o", "t").limit(rows).collect()
-        if len(picked) < min(rows, n):
-            picked = own.orderBy("o", "t").limit(rows).collect()
-        out += [(r.t, kind) for r in picked]
-    return out
+def spread_pieces(text: Column, pieces: int = PIECES, size: int = PIECE_BYTES) -> Column:
+    """The whole text as one piece if it is short, else that many pieces at even distances, the first at the beginning and
+    the last at the end."""
+    step = (F.length(text) - size) / F.lit(pieces - 1)
+    cut = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(text, F.floor(i * step).cast("int") + 1, F.lit(size)))
+    return F.when(F.length(text) <= pieces * size, F.array(text)).otherwise(cut)
+
+
+def sample(labelled: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = ROWS_PER_LANGUAGE, most: int = SAMPLE_ROWS) -> list[tuple[list[str], str]]:
+    """(pieces, label) of the rows with the smallest hashes of id and text, at most `rows` of each label and about `most`
+    in all, but one of each label at least."""
+    usable = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).alias("kind"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("o"), F.col(text_col).alias("text"))
+    counts = {r[0]: r[1] for r in usable.groupBy("kind").count().orderBy("kind").limit(most + 1).collect()}
+    if len(counts) > most:
+        raise ValueError(f"over {most} different labels")
+    if not counts:
+        return []
+    each = max(1, min(rows, most // len(counts)))
+    spark = labelled.sparkSession
+
+    def smallest(wanted: dict[str, int]) -> list:
+        """The rows with the smallest hashes among those with hashes up to a limit for each label."""
+        limits = F.broadcast(spark.createDataFrame(list(wanted.items()), "kind string, most long"))
+        low = usable.join(limits, "kind").where(F.col("o") <= F.col("most")).select("kind", "o", spread_pieces(F.col("text")).alias("pieces"))
+        rank = F.row_number().over(Window.partitionBy("kind").orderBy("o", "pieces"))
+        return low.withColumn("rank", rank).where(F.col("rank") <= each).select("kind", "pieces").collect()
+
+    # about 4 times as many hashes as are wanted lie below these limits, so that tasks sort and send few rows
+    limit = lambda n: 2**63 - 1 if n <= 4 * each else int(-(2**63) + 2**64 * (4 * each / n))
+    picked = smallest({k: limit(n) for k, n in counts.items()})
+    got = dict.fromkeys(counts, 0)
+    for r in picked:
+        got[r.kind] += 1
+    short = {k: 2**63 - 1 for k, n in counts.items() if got[k] < min(each, n)}  # many equal rows, whose hashes are equal
+    if short:
+        picked = [r for r in picked if r.kind not in short] + smallest(short)
+    return sorted((list(r.pieces), r.kind) for r in picked)
 
 
 def predict(documents: DataFrame, model: Model | None, text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
-    """documents with lang_pred and score, and the names that these columns got."""
-    names = {n: fresh(n, documents.columns) for n in ("lang_pred", "score")}
+    """documents with lang_pred, score and lead (of the best margin over the mean of the others, null for ``und``), and the
+    names that these columns got."""
+    names = {n: fresh(n, documents.columns) for n in ("lang_pred", "score", "lead")}
     shared = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index(text_col)
 
@@ -151,14 +191,15 @@ def predict(documents: DataFrame, model: Model | None, text_col: str = "text") -
         for batch in sliced(batches, at, 1 << 20):
             texts = batch.column(at).cast(pa.string()).to_pylist()
             spoken = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if own else []
-            language, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            language, score, lead = [UNKNOWN] * len(texts), np.zeros(len(texts)), [None] * len(texts)
             if spoken:
-                p = own.scores([texts[i].encode() for i in spoken])
-                for i, row, best in zip(spoken, p, p.argmax(axis=1), strict=True):
-                    language[i], score[i] = own.languages[best], row[best]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(language, pa.string()), pa.array(score)], [*batch.schema.names, *names.values()])
+                margin = own.margins([texts[i].encode() for i in spoken])
+                p, ahead = shares(margin), leads(margin)
+                for i, row, best, over in zip(spoken, p, margin.argmax(axis=1), ahead, strict=True):
+                    language[i], score[i], lead[i] = own.languages[best], row[best], over
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(language, pa.string()), pa.array(score), pa.array(lead, pa.float64())], [*batch.schema.names, *names.values()])
 
-    schema = T.StructType([*documents.schema.fields, T.StructField(names["lang_pred"], T.StringType()), T.StructField(names["score"], T.DoubleType())])
+    schema = T.StructType([*documents.schema.fields, T.StructField(names["lang_pred"], T.StringType()), T.StructField(names["score"], T.DoubleType()), T.StructField(names["lead"], T.DoubleType())])
     return documents.mapInArrow(run, schema), names
 
 
@@ -166,10 +207,10 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 4 == 2
 
 
-def trained(documents: DataFrame, rows: int = ROWS_PER_LANGUAGE, languages: int = MAX_LANGUAGES) -> Model | None:
+def trained(documents: DataFrame, rows: int = ROWS_PER_LANGUAGE, most: int = SAMPLE_ROWS) -> Model | None:
     """A model learned from text and lang of the documents that aren't held out."""
     seen = documents.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(True)))
-    return fit(sample(seen, "doc_id", "text", "lang", rows, languages))
+    return fit(sample(seen, "doc_id", "text", "lang", rows, most))
 
 
 def language_id(documents: DataFrame) -> DataFrame:
