@@ -11,17 +11,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.llm import bpe, decontaminate, language_id, line_dedup, simhash
 from tidemark.llm.common import materialise, table
 
-#: A document stays if a language is recognised with at least this score; an even guess among four would get 0.25.
-LEAST_SCORE = 0.3
+#: A document stays if the best language's margin is at least so far above the mean of the others; the scale is from -1 to
+#: 1 for each language, so the number of languages doesn't matter.
+LEAST_LEAD = 0.05
 
 #: No SQL: the stages learn a classifier, hash with XXH64 and run a tokenizer; tests compare them with brute force.
 ORACLE_SQL = None
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents without a recognisable language (no letters, null, or a score under LEAST_SCORE) go."""
+    """Operator 8: documents without a recognisable language (no letters, null, or a lead under LEAST_LEAD) go."""
     found, names = language_id.predict(docs, language_id.trained(docs))
-    return found.where((F.col(names["lang_pred"]) != language_id.UNKNOWN) & (F.col(names["score"]) >= LEAST_SCORE)).select(*docs.columns)
+    return found.where((F.col(names["lang_pred"]) != language_id.UNKNOWN) & (F.col(names["lead"]) >= LEAST_LEAD)).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +46,14 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: documents that hold a window of a benchmark item go."""
+    """Operator 2: documents that hold a window of a benchmark item go. Null and empty texts have no words and stay, and so
+    do all documents beside an empty benchmark."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), "document")
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: doc_id, n_tokens, ids_sha256, decoded_sha256 and the token ids."""
+    """Operator 4: doc_id, n_tokens, ids_sha256, decoded_sha256 and the token ids. Null and empty texts have no ids and the
+    digest of the empty text; repeated rows each get their row; other columns are not read."""
     return bpe.round_trip(docs)
 
 

@@ -17,10 +17,11 @@ def test_stages_in_order():
 def test_whole_pipeline(spark, small, library):  # noqa: F811
     docs = spark.read.parquet(f"{small}/documents.parquet")
     columns = docs.columns
-    known = {r.doc_id: r for r in language_id.language_id(docs).collect()}
+    found, names = language_id.predict(docs, language_id.trained(docs))
+    known = {r.doc_id: r[names["lead"]] for r in found.collect()}
     named = rows(first := cp.identify(spark, docs, small))
     assert first.columns == columns
-    want = [r for r in read(small, "documents", ", ".join(columns)) if known[r[0]].lang_pred != "und" and known[r[0]].score >= cp.LEAST_SCORE]
+    want = [r for r in read(small, "documents", ", ".join(columns)) if known[r[0]] is not None and known[r[0]] >= cp.LEAST_LEAD]
     assert named == by_id(want) and len(named) >= 0.9 * len(known)
 
     lined = rows(second := cp.dedup_lines(spark, first, small))
