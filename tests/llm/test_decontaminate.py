@@ -39,14 +39,30 @@ def test_against_brute_force(spark, small, most, monkeypatch):
     assert any(r[-1] for r in got) and not all(r[-1] for r in got)
 
 
-def test_short_items_overlaps_and_odd_rows(spark):
+@pytest.fixture(params=["broadcast", "join"])
+def path(request, monkeypatch):
+    if request.param == "join":
+        monkeypatch.setattr(d.scan, "__defaults__", (d.WINDOW_WORDS, "text", 0, d.MAX_WINDOW_BYTES))
+
+
+def test_words_decide_where_hashes_collide(spark, path):
+    """The Thue-Morse word and its complement have the same polynomial hash modulo 2^64, whatever the odd base."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    bench = spark.createDataFrame([("x", word), ("y", "one two")], "item_id string, text string")
+    docs = [(1, other), (2, f"so {word} it"), (3, f"{other} {word} one two"), (4, None)]
+    got = rows(d.contamination(documents(spark, [(i, t, None) for i, t in docs]), bench))
+    assert got == brute(docs, [("x", word), ("y", "one two")]) and [r[2] for r in got] == [0, 1, 3, 0]
+
+
+def test_short_items_overlaps_and_odd_rows(spark, path):
     items = [("a", "lazy DOG"), ("b", "one"), ("c", None), (None, "one"), ("d", ""), ("e", ODD[3][1]), ("a", "lazy DOG"), ("f", "café 東京")]
     bench = spark.createDataFrame(items, "item_id string, text string")
     got = rows(d.contamination(documents(spark, clashing=CLASHING), bench))
     assert got == brute([r[:2] for r in ODD], [i for i in items if i[0] is not None])
 
 
-def test_removal(spark):
+def test_removal(spark, path):
     bench = spark.createDataFrame([("a", "brown fox jumps")], "item_id string, text string")
     docs = documents(spark, [(1, "The Brown, fox jumps! on", "en"), (2, "clean", "en"), (3, None, None)], CLASHING)
     assert d.decontaminate(docs, bench, "document").columns == docs.columns
@@ -57,7 +73,7 @@ def test_removal(spark):
         d.decontaminate(docs, bench, "other")
 
 
-def test_empty_tables(spark):
+def test_empty_tables(spark, path):
     bench = spark.createDataFrame([], "item_id string, text string")
     assert rows(d.contamination(documents(spark), bench)) == brute([r[:2] for r in ODD], [])
     assert rows(d.contamination(documents(spark, []), bench)) == []

@@ -5,7 +5,8 @@ a benchmark item; an item with fewer words is one window. A document word inside
 Candidate windows are found by 64-bit hashes and verified by their words before they count.
 
 Scale: the documents are scanned once, in place, without a shuffle. The benchmark's windows are broadcast only if their
-measured number and size stay under the bounds below; a larger benchmark is joined by window hash instead.
+measured number and size stay under the bounds below; for a larger benchmark the windows of each distinct text are joined
+by hash with the benchmark's distinct windows, and what meets is verified by its words likewise.
 
 Edge cases: a null or empty text has no words; benchmark rows with a null id or without words have no windows; repeated
 rows are judged one by one; a repeated item id counts once; other columns of the input are passed through or ignored.
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import SpanHasher, fresh, mix, runs, sliced, text_buffers
+from .common import SpanHasher, fresh, materialise, mix, runs, sliced, text_buffers
 
 WINDOW_WORDS = 10
 #: Broadcast bounds: number of distinct windows and bytes of their words.
@@ -176,32 +177,53 @@ def scan(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, text
 
 
 def _scan_by_join(documents: DataFrame, windows: DataFrame, n: int, text_col: str, names: dict[str, str]) -> DataFrame:
-    """The same by a shuffle: windows of documents and of the benchmark meet by two independent 64-bit hashes."""
+    """The same by a shuffle. A text that many rows share is hashed and verified once; a window that many items share is
+    one row until its text is known to hold it."""
+    windows = materialise(windows, "benchmark-windows")
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # n values at most
 
     def hashed(whole: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashers = SpanHasher(0x100000001B3), SpanHasher(0xC2B2AE3D27D4EB4F)
+            hasher = SpanHasher(0x100000001B3)
             for batch in sliced(batches, 1, 1 << 20):
                 data, starts, ends, first = words(batch.column(1))
-                per_word = [f(data, starts, ends) for f in hashers]
+                per_word = hasher(data, starts, ends)
                 for size in sizes:
                     at = starts_of_windows(first, size)
                     doc = np.searchsorted(first, at, "right") - 1
                     if whole:  # a benchmark window is its row's whole text
                         keep = np.diff(first)[doc] == size
                         at, doc = at[keep], doc[keep]
-                    h1, h2 = (window_hashes(x, size)[at].view(np.int64) for x in per_word)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(np.full(len(at), size, np.int32)), pa.array(h1), pa.array(h2), pa.array(at - first[doc])], ["id", "size", "h1", "h2", "at"])
+                    h = window_hashes(per_word, size)[at].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(np.full(len(at), size, np.int32)), pa.array(h), pa.array(at - first[doc])], ["id", "size", "h", "at"])
 
-        return run, "id string, size int, h1 long, h2 long, at long"
+        return run, "id binary, size int, h long, at long"
 
-    key, items, at = (fresh(x, [*documents.columns, *names.values()]) for x in ("row_key", "hit_items", "hit_at"))
-    keyed = documents.withColumn(key, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    own = keyed.select(key, F.col(text_col).cast("binary").alias("text")).mapInArrow(*hashed(False))
-    known = windows.select("item_id", "key").mapInArrow(*hashed(True)).withColumnRenamed("id", "item").drop("at")
-    hits = own.join(known, ["size", "h1", "h2"]).groupBy(F.col("id").alias(key)).agg(F.array_sort(F.collect_set("item")).alias(items), F.collect_set(F.struct("at", "size")).alias(at))
-    joined = keyed.join(hits, key, "left").select(*documents.columns, items, at)
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1, 1 << 20):
+            data, starts, ends, first = words(batch.column(1))
+            found = []
+            for i, candidates in enumerate(batch.column(2).to_pylist()):
+                digest = batch.column(0)[i].as_py()
+                for c in candidates:
+                    k = int(first[i]) + c["at"]
+                    if b" ".join(data[s:e].tobytes() for s, e in zip(starts[k : k + c["size"]].tolist(), ends[k : k + c["size"]].tolist(), strict=True)) == c["key"]:
+                        found.append((digest, c["at"], c["size"], c["key"]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.binary(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["id", "at", "size", "key"])
+
+    digest, items, at = (fresh(x, [*documents.columns, *names.values()]) for x in ("text_digest", "hit_items", "hit_at"))
+    sha = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    texts = documents.select(sha.alias("id"), F.col(text_col).cast("binary").alias("text")).dropDuplicates(["id"])
+    distinct = windows.select("key").distinct()
+    known = distinct.select("key", "key").toDF("id", "text").mapInArrow(*hashed(True)).select(F.col("id").alias("key"), "size", "h")
+    own = texts.mapInArrow(*hashed(False))
+    met = own.join(known, ["size", "h"]).groupBy("id").agg(F.collect_list(F.struct("at", "size", "key")).alias("candidates"))
+    verified = materialise(texts.join(met, "id").select("id", "text", "candidates").mapInArrow(verify, "id binary, at long, size int, key binary"), "verified-windows")
+    by_text = verified.groupBy("id").agg(F.collect_list(F.struct("at", "size")).alias(at))
+    by_item = verified.select("id", "key").distinct().join(windows.select("key", "item_id"), "key").groupBy("id").agg(F.array_sort(F.collect_set("item_id")).alias(items))
+    hits = materialise(by_text.join(by_item, "id").withColumnRenamed("id", digest), "hits-of-texts")
+    joined = documents.withColumn(digest, sha).join(hits, digest, "left").select(*documents.columns, items, at)
     column, n_own = documents.columns.index(text_col), len(documents.columns)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
