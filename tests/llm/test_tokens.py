@@ -97,3 +97,30 @@ def test_cached_counts_are_used(spark, tmp_path):
     known = spark.sql("SELECT unhex(sha2('known', 256)) AS content, '%s' AS tokenizer, 99L AS n_tokens" % tc.tokenizer_digest(path))
     known.write.parquet(cache)
     assert {r.doc_id: r.n_tokens for r in tc.token_counts(docs, cache, path).collect()} == {1: 99, 2: 1}
+
+
+@pytest.mark.parametrize("most", [tc.MAX_BROADCAST, 0])
+def test_broadcast_and_shuffled_misses_agree(spark, small, library, tmp_path, most):
+    docs, cache = spark.read.parquet(f"{small}/documents.parquet"), f"file://{tmp_path}/cache"
+    tc.token_counts(docs.where("doc_id % 3 = 0"), cache, max_broadcast=most).count()
+    want = by_id((i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in read(small, "documents", "doc_id, text"))
+    assert rows(tc.token_counts(docs, cache, max_broadcast=most)) == want
+    odd = documents(spark, [(None, "x y", None), (None, "x y", None), (3, None, None), (3, "x y", None)])
+    assert rows(tc.token_counts(odd, f"file://{tmp_path}/other", max_broadcast=most)) == by_id([(None, 3, 2), (None, 3, 2), (3, 0, 0), (3, 3, 2)])
+
+
+def test_doubled_cache(spark, tmp_path):
+    path, cache = bpe.tokenizer_path(), f"file://{tmp_path}/cache"
+    known = spark.sql("SELECT unhex(sha2('known', 256)) AS content, '%s' AS tokenizer, explode(array(9L, 9L, 7L)) AS n_tokens" % tc.tokenizer_digest(path))
+    known.write.parquet(cache)
+    docs = documents(spark, [(1, "known", "en"), (2, "known", "en")])
+    assert rows(tc.token_counts(docs, cache, path)) == [(1, 5, 7), (2, 5, 7)]
+
+
+def test_a_warm_cache_encodes_nothing_and_moves_no_text(spark, small, tmp_path, monkeypatch):
+    docs, cache = spark.read.parquet(f"{small}/documents.parquet"), f"file://{tmp_path}/cache"
+    want, files = rows(tc.token_counts(docs, cache)), sorted(tmp_path.rglob("*.parquet"))
+    monkeypatch.setattr(tc, "counter", lambda path: pytest.fail("nothing is missing"))
+    warm = tc.token_counts(docs, cache)
+    assert rows(warm) == want and sorted(tmp_path.rglob("*.parquet")) == files
+    assert "text" not in "".join(x for x in warm._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x)
