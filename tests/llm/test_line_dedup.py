@@ -47,12 +47,35 @@ def test_kept_lines_keeps_columns(spark):
 
 
 def test_runs_compact_and_answer_anti_joins(spark, tmp_path):
-    runs = ld.LineRuns(spark, f"file://{tmp_path}/runs", fanout=2)
+    runs = ld.LineRuns(spark, f"file://{tmp_path}/runs", fanout=2, buckets=4)
     assert runs.frequent(1).count() == 0
     batch = lambda *x: spark.createDataFrame(list(x), "doc_id long, h1 long, h2 long")
     assert runs.unseen(batch((1, 1, 1))).count() == 1
     for i in range(4):
         runs.add(batch((10 * i, 1, 1), (10 * i + 1, i, 2), (10 * i + 1, i, 2)))
-    assert [len(x) for x in runs.levels] == [0, 0, 1]
-    assert rows(runs.frequent(4)) == [(1, 1, 30)]
+    assert [len(x) for x in runs.levels] == [0, 0, 1] and len(runs.repeated) == 3
+    held = rows(spark.table(runs.runs()[0]).select("h1", "h2"))
+    assert held == [(0, 2), (1, 1), (1, 2), (2, 2), (3, 2)], "a key is in one run only"
+    assert rows(runs.frequent(4)) == [(1, 1, 30)] and len(rows(runs.frequent(1))) == 5
     assert rows(runs.unseen(batch((99, 1, 1), (99, 7, 2)))) == [(7, 2, 99)]
+    left = spark.catalog.listTables()
+    runs.close()
+    assert not (tmp_path / "runs").exists() and not spark.catalog.listTables() and left
+
+
+def test_merges_and_anti_joins_shuffle_no_run(spark, tmp_path):
+    """Also when the tables are too small for the planner to care: only sort-merge joins, no exchange."""
+    runs = ld.LineRuns(spark, f"file://{tmp_path}/runs", fanout=9, buckets=4)
+    for i in range(3):
+        runs.add(spark.range(1000).selectExpr("id + %d AS doc_id" % (1000 * i), "id * %d AS h1" % (i + 1), "id AS h2"))
+    keys = spark.table(runs.runs()[0])
+    plan = runs.unseen(keys)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and "Exchange" not in plan
+    runs.close()
+
+
+def test_any_number_of_batches_gives_the_same(spark, small):
+    docs, want = spark.read.parquet(f"{small}/documents.parquet"), brute(read(small, "documents", "doc_id, text"))
+    for batches, fanout in ((1, 2), (5, 3)):
+        out, n = ld.kept_lines(docs, batches=batches, fanout=fanout)
+        assert by_id((r.doc_id, r[n["n_lines"]], r[n["n_dropped"]], sha(r[n["kept_text"]])) for r in out.collect()) == want

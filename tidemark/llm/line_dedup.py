@@ -1,13 +1,16 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
 A line's key is the line without white space at both ends, A-Z lower-cased; keys shorter than a limit are left alone.
-Each batch of documents adds one sorted run of (h1, h2, n_docs, last_doc) to level 0; as soon as a level holds
-``fanout`` runs they are merged into one run of the next level. A key that enough documents hold keeps its lines only in
-the document with the largest id.
+Documents come in batches. The distinct keys of a batch, (h1, h2, n_docs, last_doc), are merge-anti-joined with the runs:
+keys that no run holds become a new sorted run of level 0, so every key is in one run only; the others, which earlier
+batches have brought, are kept as repetitions. As soon as a level holds ``fanout`` runs, they are merged into one run of
+the next level. In the end repetitions add their counts to the runs' keys, and a key that enough documents hold keeps its
+lines only in the document with the largest id.
 
-Everything is DataFrame functions. Scale: keys are 128-bit hashes; counts combine before they are shuffled; the lines
-meet the merged runs in an anti-join of two plain exchanges, which AQE can split where one line is in a third of all
-documents; texts are shuffled once, to be put together from their kept lines.
+Everything is DataFrame functions. Scale: keys are 128-bit hashes; counts combine before they are shuffled. Runs are tables
+bucketed and sorted by key, in the shared folder, so that the anti-joins and merges are sort-merge joins which shuffle no
+run. The lines meet the frequent keys in an anti-join of two plain exchanges, which AQE can split where one line is in a
+third of all documents; texts are shuffled once, to be put together from their kept lines.
 
 Edge cases: a null or empty text is one empty line; a null doc_id counts as no document and never keeps a frequent line;
 repeated rows (same id, same text) count as one document and each get the same result; a tie is impossible as ids order;
@@ -27,6 +30,7 @@ MIN_KEY_CHARS, MIN_DOCS = 20, 3
 #: Batches that one pass over a table is added in, and runs that a level holds before they are merged.
 BATCHES, FANOUT = 4, 2
 BLANK = " \t\n\x0b\x0c\r"
+KEY = ["h1", "h2"]
 RUN = "h1 long, h2 long, n_docs long, last_doc long"
 
 
@@ -42,49 +46,86 @@ def split_lines(text: Column) -> Column:
 
 
 class LineRuns:
-    """The runs, as Parquet folders under `path`, known to one writer."""
+    """The runs, as bucketed tables with files under `path`, known to one writer; close() drops tables and files.
 
-    def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT):
+    buckets: into how many parts, and so tasks, the keys are cut; shuffle partitions of the session where not given."""
+
+    def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.path, self.fanout = spark, path, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
+        self.repeated: list[str] = []
 
-    def _write(self, counts: DataFrame, level: int) -> None:
-        run = f"{self.path}/level={level}/run-{uuid.uuid4().hex}"
-        counts.sortWithinPartitions("h1", "h2").write.parquet(run)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(run)
+    def _write(self, keys: DataFrame) -> str:
+        name = f"line_run_{uuid.uuid4().hex}"
+        keys.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{self.path}/{name}").saveAsTable(name)
+        return name
 
-    def _merged(self, runs: list[str]) -> DataFrame:
-        rows = self.spark.read.schema(RUN).parquet(*runs)
-        return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove_path(self.spark, f"{self.path}/{name}")
 
     def runs(self) -> list[str]:
         return [r for level in self.levels for r in level]
 
+    def unseen(self, keys: DataFrame) -> DataFrame:
+        """The rows whose keys no run holds."""
+        for run in self.runs():
+            keys = keys.join(self.spark.table(run).select(*KEY).hint("merge"), KEY, "left_anti")
+        return keys
+
     def add(self, lines: DataFrame) -> None:
         """Add a batch of (doc_id, h1, h2); a document belongs to one batch."""
-        held = lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
-        self._write(held.groupBy("h1", "h2").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc")), 0)
-        level = 0
-        while len(self.levels[level]) >= self.fanout:
+        held = lines.groupBy(*KEY, "doc_id").agg(F.lit(1).alias("one"))
+        counts = held.groupBy(*KEY).agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        batch = self._write(counts.repartition(self.buckets, *KEY))
+        if self.runs():
+            keys = self.spark.table(batch)
+            new = self._write(self.unseen(keys))
+            repeated = f"{self.path}/repeated-{uuid.uuid4().hex}"
+            keys.join(self.spark.table(new).select(*KEY).hint("merge"), KEY, "left_anti").write.parquet(repeated)
+            self.repeated.append(repeated)
+            self._drop([batch])
+        else:
+            new = batch
+        self._place(new, 0)
+
+    def _place(self, run: str, level: int) -> None:
+        if len(self.levels) == level:
+            self.levels.append([])
+        self.levels[level].append(run)
+        if len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
-            self._write(self._merged(old), level + 1)
-            for run in old:
-                remove_path(self.spark, run)
-            level += 1
+            merged = self.spark.table(old[0])
+            for other in old[1:]:  # a key is in one run only, so a merge has nothing to add up
+                a, b = merged.alias("a"), self.spark.table(other).hint("merge").alias("b")
+                merged = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in KEY], "full_outer").select(*(F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c) for c in a.columns))
+            new = self._write(merged)
+            self._drop(old)
+            self._place(new, level + 1)
 
     def frequent(self, min_docs: int) -> DataFrame:
         """(h1, h2, last_doc) of the keys that at least min_docs documents hold, over all runs; a table of its own."""
-        runs = self.runs()
-        if not runs:
-            return self.spark.createDataFrame([], "h1 long, h2 long, last_doc long")
-        return materialise(self._merged(runs).where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc"), "frequent-lines")
-
-    def unseen(self, lines: DataFrame) -> DataFrame:
-        """The lines of a batch that no run holds."""
-        runs = self.runs()
-        return lines.join(self.spark.read.schema(RUN).parquet(*runs), ["h1", "h2"], "left_anti") if runs else lines
+        out = self.spark.createDataFrame([], "h1 long, h2 long, last_doc long")
+        more = None
+        if self.repeated:
+            rows = self.spark.read.schema(RUN).parquet(*self.repeated)
+            more = self._write(rows.groupBy(*KEY).agg(F.sum("n_docs").alias("more_docs"), F.max("last_doc").alias("more_last")).repartition(self.buckets, *KEY))
+        for run in self.runs():
+            found, n, last = self.spark.table(run), F.col("n_docs"), F.col("last_doc")
+            if more:
+                found = found.join(self.spark.table(more).hint("merge"), KEY, "left")
+                n, last = n + F.coalesce("more_docs", F.lit(0)), F.greatest("last_doc", "more_last")
+            out = out.unionByName(found.where(n >= min_docs).select(*KEY, last.alias("last_doc")))
+        out = materialise(out, "frequent-lines")
+        self._drop([more] if more else [])
+        return out
+
+    def close(self) -> None:
+        self._drop(self.runs())
+        remove_path(self.spark, self.path)
+        self.levels, self.repeated = [], []
 
 
 def kept_lines(documents: DataFrame, min_chars: int = MIN_KEY_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
@@ -98,12 +139,13 @@ def kept_lines(documents: DataFrame, min_chars: int = MIN_KEY_CHARS, min_docs: i
     keyed = exploded.select("doc_id", "same", "at", line_key(F.col("line")).alias("key"))
     long = F.length("key") >= min_chars
     hashed = keyed.select("doc_id", "same", "at", F.when(long, F.xxhash64("key")).alias("h1"), F.when(long, F.xxhash64(F.lit(1), F.col("key"))).alias("h2"), F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch"))
-    lines = materialise(hashed, "line-hashes")
+    lines = materialise(hashed, "line-hashes", "batch")
 
     runs = LineRuns(documents.sparkSession, scratch(documents.sparkSession, "line-runs"), fanout)
     for batch in range(batches):
         runs.add(lines.where((F.col("batch") == batch) & F.col("h1").isNotNull()).select("doc_id", "h1", "h2"))
     f, n = runs.frequent(min_docs).alias("f"), lines.alias("n")
+    runs.close()
     gone = (F.col("n.h1") == F.col("f.h1")) & (F.col("n.h2") == F.col("f.h2")) & ~F.col("n.doc_id").eqNullSafe(F.col("f.last_doc"))
     kept = n.join(f, gone, "left_anti").groupBy("doc_id", "same").agg(F.array_sort(F.collect_set("at")).alias("kept"))
 
