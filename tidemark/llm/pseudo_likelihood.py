@@ -112,12 +112,22 @@ def contexts(unit: np.ndarray, first: np.ndarray, outside: int = UNITS) -> np.nd
     return np.stack(columns, axis=1) if len(unit) else np.zeros((0, 2 * SIDE), np.int64)
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    """Of each row, in place."""
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    return x
+def exponentials(x: np.ndarray, most: float) -> np.ndarray:
+    """exp(x) in place, each row times a number of its own where `most`, a bound of abs(x), is near float32's range."""
+    if not most < 60:
+        x -= x.max(axis=1, keepdims=True)
+    return np.exp(x, out=x)
+
+
+def bound(weights: np.ndarray, bias: np.ndarray) -> float:
+    """What h @ weights + bias can be at most, in absolute value, for h between -1 and 1."""
+    return float((np.abs(weights).sum(axis=-2) + np.abs(bias)).max())
+
+
+def of_classes(p: Parameters, h: np.ndarray) -> np.ndarray:
+    x = h @ p["classes"]
+    x += p["class_bias"]
+    return exponentials(x, bound(p["classes"], p["class_bias"]))
 
 
 def forward(p: Parameters, context: np.ndarray) -> np.ndarray:
@@ -133,12 +143,12 @@ def by_class(unit: np.ndarray, in_class: int) -> tuple[np.ndarray, list[tuple[in
 
 
 def within(p: Parameters, h: np.ndarray, slices: list[tuple[int, slice]]) -> np.ndarray:
-    """Probabilities within their class, of positions in the order by class."""
+    """Of positions in the order by class: what the units of their class have, up to a factor for each row."""
     x = np.empty((len(h), p["inner"].shape[2]), h.dtype)
     for k, own in slices:
         np.matmul(h[own], p["inner"][k], out=x[own])
         x[own] += p["inner_bias"][k]
-    return softmax(x)
+    return exponentials(x, bound(p["inner"], p["inner_bias"]))
 
 
 def log_probabilities(p: Parameters, context: np.ndarray, unit: np.ndarray) -> np.ndarray:
@@ -148,8 +158,8 @@ def log_probabilities(p: Parameters, context: np.ndarray, unit: np.ndarray) -> n
         u = unit[start : start + BATCH]
         order, slices = by_class(u, in_class)
         u, h, row = u[order], forward(p, context[start : start + BATCH][order]), np.arange(len(u))
-        chosen = softmax(h @ p["classes"] + p["class_bias"])[row, u // in_class] * within(p, h, slices)[row, u % in_class]
-        out[start + order] = np.log(np.maximum(chosen, np.finfo(np.float32).tiny))
+        for e, at in ((of_classes(p, h), u // in_class), (within(p, h, slices), u % in_class)):
+            out[start + order] += np.log(np.maximum(e[row, at] / e.sum(axis=1), np.finfo(np.float32).tiny))
     return out
 
 
@@ -171,13 +181,13 @@ class Trainer:
         u, context, row = u[order], context[order], np.arange(n)
         x = p["embedding"][context].reshape(n, -1)
         h = np.tanh(x @ p["hidden"] + p["bias"])
-        off = softmax(h @ p["classes"] + p["class_bias"])
-        off[row, u // in_class] -= 1
-        off /= n
+        off = of_classes(p, h)
+        off *= 1 / (n * off.sum(axis=1, keepdims=True))
+        off[row, u // in_class] -= 1 / n
         back = off @ p["classes"].T
         e = within(p, h, slices)
-        e[row, u % in_class] -= 1
-        e /= n
+        e *= 1 / (n * e.sum(axis=1, keepdims=True))
+        e[row, u % in_class] -= 1 / n
         inner = []
         for k, own in slices:
             back[own] += e[own] @ p["inner"][k].T
