@@ -1,22 +1,27 @@
 """Licence scans by canonical digests.
 
-A text is brought to a canonical form (case, punctuation, quotes, copyright lines, equivalent spellings) and hashed; the
-digest of the entire canonical text is joined to those of known licence texts and notices. Documents are looked up as a
-whole, and each of their lines as a text of its own, because a notice is usually a line.
+A text is brought to a canonical form (case, punctuation, comment markers, quotes and spaces of any kind, copyright lines,
+equivalent spellings) and hashed; the digest of the entire canonical text is joined to those of known licence texts and
+notices. Documents are looked up as a whole, and each of their lines as a text of its own, because a notice is usually a line.
 
-Everything is DataFrame functions. Scale: the known digests are a fixed list of a few dozen rows, so both joins are
-broadcast joins and only lines that matched are shuffled; documents are shuffled as (id, digests) without their texts.
+Everything is DataFrame functions. Scale: the known digests are a table, ours or the caller's, and broadcast if they are
+MAX_KNOWN at the most, by a count. A text can only match if it begins with a first word of a known one, or with one that a
+spelling makes such a word; lines are judged by that before they are brought to their canonical form. Only lines that
+matched are shuffled, and documents as (id, digests) without their texts.
 
 Edge cases: a null text, or one with nothing left in its canonical form, has the digest of "" and matches nothing;
-repeated rows each get their row; a null id gets its own matches; only doc_id and text are read.
+repeated rows each get their row; a null id gets its own matches; a digest that is known under several ids counts as the
+one that sorts first; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .common import materialise
 from .line_dedup import split_lines
 
+MAX_KNOWN = 100_000
 # Wording of public licences and of the usual notices.
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -54,35 +59,32 @@ KNOWN: list[tuple[str, str]] = [
     ("MIT", "The MIT License (MIT)\n" + MIT),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
     ("ISC", ISC),
     ("ISC", "ISC License\n" + ISC),
-    ("ISC", "SPDX-License-Identifier: ISC"),
     ("BSD-2-Clause", BSD2),
     ("BSD-2-Clause", "BSD 2-Clause License\n" + BSD2),
-    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
     ("BSD-3-Clause", BSD3),
     ("BSD-3-Clause", "BSD 3-Clause License\n" + BSD3),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("Zlib", ZLIB),
     ("Zlib", "zlib License\n" + ZLIB),
-    ("Zlib", "SPDX-License-Identifier: Zlib"),
     ("Apache-2.0", APACHE2_HEADER),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 ]
+#: Identifiers that the tag "SPDX-License-Identifier: <id>" is known with.
+SPDX = ["0BSD", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "EUPL-1.2", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-2.0", "PostgreSQL", "Python-2.0", "Unlicense", "WTFPL", "Zlib"]
+KNOWN += [(i, f"SPDX-License-Identifier: {i}") for i in SPDX]
 #: Spellings that count as the same, applied to lower-cased words.
 SPELLINGS: list[tuple[str, str]] = [
     ("licence", "license"),
     ("licenced", "licensed"),
     ("licences", "licenses"),
     ("sublicence", "sublicense"),
+    ("unlicence", "unlicense"),
     ("sub license", "sublicense"),
     ("acknowledgement", "acknowledgment"),
     ("merchantibility", "merchantability"),
@@ -96,8 +98,29 @@ SPELLINGS: list[tuple[str, str]] = [
 ]
 
 
-COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright[ \t]*(?:\(c\)|©|[0-9])|\(c\)|©)[^\n]*$"
-PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F‘’“”–—]+"
+#: Canonical digests of entire public licence texts, with the first word of their canonical form.
+DIGESTS: list[tuple[str, str, str]] = [
+    ("Apache-2.0", "apache", "7f01b5c5a6f1313d84dcc69200fddb49761bc32697840688f3efa623778bf175"),
+    ("Artistic-1.0-Perl", "the", "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"),
+    ("CC0-1.0", "creative", "891968ade68c0a40cc2b1974e64ce18e87b058a90c18b0d9449bbd898d172b1d"),
+    ("GFDL-1.2", "gnu", "02395196a0b448e79d55b684797cc614bb5f6ca535df9d119f57d6bd1f2ab275"),
+    ("GFDL-1.3", "gnu", "fff021fefd31950a459295f7fa5f56da2da92be592abe8bc82e43fa442b3895f"),
+    ("GPL-1.0", "gnu", "425b73aa435a1e84f0465aef53c1ffe5a26087ccdb3331b37dc650836af0e43d"),
+    ("GPL-2.0", "gnu", "7425a5ad1a86c0fb0ef86e24181a5b3ea1bd99195395cf95c18c028da0e8516c"),
+    ("GPL-3.0", "gnu", "5a281f634db6b415a4491779bb7121c752940f250ef622ab9ab829920e8cfbb6"),
+    ("LGPL-2.0", "gnu", "c76b4873e6b3cac1b9bd64b1bfc53fd0d45f19077cd10583549d96f864105e81"),
+    ("LGPL-2.1", "gnu", "beebb7d0f5ba0a4a1dea2ce270edee98c9ec8508ff67599a990066f5942a9d18"),
+    ("LGPL-3.0", "gnu", "dd538d15d532339d4a394323937d54825be6b2224b8e1985cf9c9e707c966d9c"),
+    ("MPL-1.1", "mozilla", "3e09f15d32dbcedcd46539cb8083a1a3c4ecbff60fea0310228072dbe6a57866"),
+    ("MPL-2.0", "mozilla", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+]
+#: White space and marks that count as punctuation beyond ASCII: spaces, quotes, dashes, bullets, the byte order mark.
+BEYOND = r"\x{85}\x{A0}\x{1680}\x{2000}-\x{200B}\x{2010}-\x{2015}\x{2018}-\x{201F}\x{2022}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+PUNCTUATION = rf"[\x00-\x2F\x3A-\x60\x7B-\x7F{BEYOND}]+"
+#: A line that, after comment markers and spaces, begins with "copyright" and has a sign or a year, or begins with the sign, or
+#: says no more than "all rights reserved".
+MARKERS = rf"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F{BEYOND}]*"
+COPYRIGHT_LINE = rf"(?:^|\n){MARKERS}(?:copyright{MARKERS}(?:\(c\)|©)[^\n]*|copyright[^\n]*(?:19|20)[0-9][0-9][^\n]*|\(c\){MARKERS}(?:[0-9]|copyright)[^\n]*|©[^\n]*|all rights reserved{MARKERS}(?:\n|$))"
 
 
 def _wide(words: str) -> str:
@@ -106,11 +129,9 @@ def _wide(words: str) -> str:
 
 
 def canonical(text: Column) -> Column:
-    """Canonical form: lower case, without copyright lines, words with single spaces, one spelling of each.
-
-    A copyright line starts with "copyright" and a year or sign, "(c)" or the sign; letters beyond ASCII are kept, so
-    that different texts stay different."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, " ")
+    """Canonical form: lower case, without copyright lines, words with single spaces, one spelling of each. Letters beyond
+    ASCII are kept, so that different texts stay different."""
+    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "\n")
     words = F.concat(F.lit(" "), F.regexp_replace(plain, PUNCTUATION, "  "), F.lit(" "))
     for seen, meant in SPELLINGS:
         words = F.replace(words, F.lit(_wide(seen)), F.lit(_wide(meant)))
@@ -121,33 +142,52 @@ def canonical_digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(license_id, digest) of a fixed list of texts, one row for each digest."""
-    rows = spark.createDataFrame(KNOWN if known is None else known, "license_id string, text string")
-    return rows.select("license_id", canonical_digest(F.col("text")).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+def first_word(text: Column) -> Column:
+    """The first word of a text as it stands, lower-cased."""
+    return F.regexp_extract(F.lower(text), rf"^(?:{PUNCTUATION})?([^\x00-\x2F\x3A-\x60\x7B-\x7F{BEYOND}]+)", 1)
+
+
+def beginnings(words: list[str]) -> list[str]:
+    """The first words that texts may have whose canonical form begins with one of these."""
+    out, new = set(words), True
+    while new:
+        new = {seen.split()[0] for seen, meant in SPELLINGS if meant.split()[0] in out} - out
+        out |= new
+    return sorted(out)
 
 
-def license_matches(texts: DataFrame, known: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows of texts whose entire canonical text is a known one, with its license_id."""
-    return texts.withColumn("digest", canonical_digest(F.col(text_col))).join(F.broadcast(known), "digest").drop("digest")
+def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
+    """(digest, license_id, word) of known texts, one row for each digest; word is the first one of the canonical text.
+    known: (license_id, text) of the caller's list, ours where not given."""
+    rows = spark.createDataFrame(KNOWN, "license_id string, text string") if known is None else known.select("license_id", "text")
+    out = rows.select("license_id", canonical(F.col("text")).alias("c")).where("license_id IS NOT NULL AND c <> ''").select("license_id", F.sha2("c", 256).alias("digest"), F.substring_index("c", " ", 1).alias("word"))
+    if known is None:
+        out = out.unionByName(spark.createDataFrame(DIGESTS, "license_id string, word string, digest string"))
+    return out.groupBy("digest").agg(F.min("license_id").alias("license_id"), F.min("word").alias("word"))
 
 
-def license_scan(documents: DataFrame) -> DataFrame:
+def license_scan(documents: DataFrame, known: DataFrame | None = None, max_known: int = MAX_KNOWN) -> DataFrame:
     """doc_id, text_sha256 (canonical digest), license_id (of the whole text, or null), notices (sorted distinct ids of
-    the lines that are notices, comma-joined), n_notices (such lines)."""
-    known = known_digests(documents.sparkSession)
+    the lines that are notices, comma-joined), n_notices (such lines). known: see known_digests."""
+    table = known_digests(documents.sparkSession, known)
+    words = [r.word for r in table.select("word").distinct().limit(1001).collect()]
+    table = table.select("digest", "license_id")
+    small = known is None or table.count() <= max_known
+    table = F.broadcast(table) if small else materialise(table, "known-licenses")
     own = F.xxhash64(F.coalesce("text", F.lit("")))
     lines = documents.select("doc_id", own.alias("same"), F.posexplode(split_lines(F.col("text"))).alias("at", "line"))
-    noticed = license_matches(lines, known, "line")
+    if len(words) <= 1000:
+        lines = lines.where(first_word(F.col("line")).isin(beginnings(words)))
+    noticed = lines.withColumn("digest", canonical_digest(F.col("line"))).join(table, "digest")
     notices = noticed.groupBy(F.col("doc_id").alias("n_doc"), F.col("same").alias("n_same")).agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"), F.size(F.collect_set("at")).alias("n_all"))
     digests = documents.select("doc_id", own.alias("same"), canonical_digest(F.col("text")).alias("digest"))
-    whole = digests.join(F.broadcast(known), "digest", "left").withColumnRenamed("digest", "text_sha256")
+    whole = digests.join(table, "digest", "left").withColumnRenamed("digest", "text_sha256")
     out = whole.join(notices, F.col("doc_id").eqNullSafe(F.col("n_doc")) & (F.col("same") == F.col("n_same")), "left")
     return out.select("doc_id", "text_sha256", "license_id", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_all", F.lit(0)).cast("long").alias("n_notices"))
 
 
 def _canonical_sql(text: str) -> str:
-    words = f"concat(' ', regexp_replace(regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT_LINE}', ' ', 'g'), '{PUNCTUATION}', '  ', 'g'), ' ')"
+    words = f"concat(' ', regexp_replace(regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT_LINE}', chr(10), 'g'), '{PUNCTUATION}', '  ', 'g'), ' ')"
     for seen, meant in SPELLINGS:
         words = f"replace({words}, '{_wide(seen)}', '{_wide(meant)}')"
     return f"trim(replace({words}, '  ', ' '))"
@@ -155,9 +195,13 @@ def _canonical_sql(text: str) -> str:
 
 def oracle() -> str:
     values = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in KNOWN)
+    digests = ", ".join(f"('{i}', '{d}')" for i, _, d in DIGESTS)
     return f"""
 WITH known AS (
-  SELECT sha256({_canonical_sql("t")}) AS digest, min(i) AS license_id FROM (VALUES {values}) v(i, t) GROUP BY 1
+  SELECT digest, min(i) AS license_id FROM (
+    SELECT i, sha256({_canonical_sql("t")}) AS digest FROM (VALUES {values}) v(i, t)
+    UNION ALL SELECT i, d FROM (VALUES {digests}) w(i, d)
+  ) GROUP BY 1
 ), lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents
 ), notices AS (
