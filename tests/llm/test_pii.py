@@ -108,3 +108,41 @@ def test_terms_at_a_distance_and_of_rare_entities(spark):
     assert all(got[i].n_term == 0 for i in range(5, 400))
     clean = {r.doc_id: r.text for r in pii.sanitise(documents(spark, docs)).collect()}
     assert "zebulon" not in clean[0].lower() and "quentin" not in clean[4].lower() and clean[5] == docs[5][1]
+
+
+def brute_terms(docs, threshold=pii.DISCLOSURE):
+    """Spans of disclosing terms by counting over all documents, pair by pair."""
+    import math
+    from collections import Counter
+
+    low = lambda t: [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", t)]
+    entities, n_e, n_t, n_et = [], Counter(), Counter(), Counter()
+    for _, text in docs:
+        own = set()
+        for kind, rule in RULES.items():
+            own |= {kind + ":" + m[0].lower() for m in re.finditer(rule, text) if holds(kind, m[0])}
+        words = {w for w, _, _ in low(text)}
+        entities.append(own)
+        n_e.update(own)
+        n_t.update(words)
+        n_et.update((e, w) for e in own for w in words)
+    out = {}
+    for (doc_id, text), own in zip(docs, entities, strict=True):
+        told = set()
+        for e in own:
+            p = n_e[e] / len(docs)
+            if p < 1:
+                told |= {w for w, _, _ in low(text) if math.log((n_et[e, w] + pii.PRIOR * p) / ((n_t[w] + pii.PRIOR) * p)) / -math.log(p) >= threshold}
+        masked = re.sub(RULES["email"], lambda m: "@" * len(m[0]), text)
+        out[doc_id] = [f"term:{a}:{b}" for w, a, b in low(masked) if w in told]
+    return out
+
+
+def test_terms_against_brute_force(spark, small):
+    """Whole documents, with entities of one document and of several, that share terms or are hot."""
+    docs = [(i, t) for i, t in read(small, "documents", "doc_id, text") if t and all(c.isascii() or c.isalpha() for c in t)]
+    docs += [(10_000 + i, f"Team{'ABC'[i % 3]} of Quorl meets ann{i % 5}@corp.example and +49 30 55512{i % 4}0 on day {i}, says {'Zorblat' if i % 5 == 1 else 'nobody'}") for i in range(60)]
+    docs += [(20_000 + i, f"hot@corp.example wrote line {i} of it") for i in range(len(docs) // 3)]
+    want = brute_terms(docs)
+    got = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("term")] for r in pii.personal_data(documents(spark, [(i, t, None) for i, t in docs])).collect()}
+    assert got == want and sum(map(bool, want.values())) > 20
