@@ -92,7 +92,8 @@ def token_counts(documents: DataFrame, cache_path: str, path: str | None = None,
     if n_wanted:
         counted = missing.mapInArrow(count, "content binary, n_tokens long").dropDuplicates(["content"])
         counted.select("content", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
-    known = read_cache(spark, cache_path, tokenizer)
+    # a table of its own, so that the last join reads plain exchanges, which can be split where a content is hot
+    known = materialise(rows.select("content").distinct().join(read_cache(spark, cache_path, tokenizer), "content"), "counts-of-contents")
     return rows.select("id", "content", F.octet_length("text").cast("long").alias("n_bytes")).join(known, "content").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
 
 
