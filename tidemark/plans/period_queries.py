@@ -21,44 +21,48 @@ LOCAL_HOUR = "hour(published_at AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Kyiv')"
 
 
 def _period(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A week of the messages of one sparse source, so that there are silences between them."""
+    """A week of the messages."""
     rows = B.archive(spark, sf_dir)
-    return rows.where(within(F.col("published_at"), P.start, P.end) & F.col("decision").isin(*A.ASSERTING) & (F.col("source_id") == "s3"))
+    return rows.where(within(F.col("published_at"), P.start, P.end) & F.col("decision").isin(*A.ASSERTING))
+
+
+#: Each source has its own timeline and its own silences.
+BY = ("source_id",)
 
 
 def timeline_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.timeline(_period(spark, sf_dir), P.bucket_minutes).withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("at", "first_at", "last_at")})
+    return V.timeline(_period(spark, sf_dir), P.bucket_minutes, BY).withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("at", "first_at", "last_at")})
 
 
 CLASSES = "CASE WHEN len(candidate_threat_types) > 0 THEN candidate_threat_types ELSE [coalesce(threat_type, 'unknown')] END"
 POINTS = f"""m AS (
-  SELECT *, time_bucket(INTERVAL '15 minutes', published_at, TIMESTAMP '2000-01-01') AS slot FROM mc WHERE {span("published_at", P.start, P.end)} AND decision IN {ASSERTING} AND source_id = 's3'
-), typed AS (SELECT slot, published_at, created_event, unnest({CLASSES}) AS threat_type FROM m), points AS (
-  SELECT slot, NULL::VARCHAR AS threat_type, count(*) AS messages, count(*) FILTER (WHERE created_event) AS events_raised, min(published_at) AS first_at, max(published_at) AS last_at FROM m GROUP BY slot
-  UNION ALL SELECT slot, threat_type, count(*), count(*) FILTER (WHERE created_event), min(published_at), max(published_at) FROM typed GROUP BY slot, threat_type
+  SELECT *, time_bucket(INTERVAL '15 minutes', published_at, TIMESTAMP '2000-01-01') AS slot FROM mc WHERE {span("published_at", P.start, P.end)} AND decision IN {ASSERTING}
+), typed AS (SELECT source_id, slot, published_at, created_event, unnest({CLASSES}) AS threat_type FROM m), points AS (
+  SELECT source_id, slot, NULL::VARCHAR AS threat_type, count(*) AS messages, count(*) FILTER (WHERE created_event) AS events_raised, min(published_at) AS first_at, max(published_at) AS last_at FROM m GROUP BY source_id, slot
+  UNION ALL SELECT source_id, slot, threat_type, count(*), count(*) FILTER (WHERE created_event), min(published_at), max(published_at) FROM typed GROUP BY source_id, slot, threat_type
 )"""
-TIMELINE = with_sql(MC, POINTS) + f"SELECT {stamp('slot')} AS \"at\", threat_type, messages, events_raised, {stamp('first_at')} AS first_at, {stamp('last_at')} AS last_at FROM points"
+TIMELINE = with_sql(MC, POINTS) + f"SELECT source_id, {stamp('slot')} AS \"at\", threat_type, messages, events_raised, {stamp('first_at')} AS first_at, {stamp('last_at')} AS last_at FROM points"
 
 
 def waves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.waves(V.timeline(_period(spark, sf_dir), P.bucket_minutes))
+    rows = V.waves(V.timeline(_period(spark, sf_dir), P.bucket_minutes, BY), keys=BY)
     return rows.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("started_at", "ended_at")})
 
 
-WAVE_PARTS = """s AS (SELECT *, coalesce(epoch(first_at) - epoch(lag(last_at) OVER (ORDER BY slot)) > 5400, true) AS begins FROM points WHERE threat_type IS NULL
-), n AS (SELECT *, sum(begins::INT) OVER (ORDER BY slot)::BIGINT AS wave FROM s
-), w AS (SELECT wave, min(first_at) AS started_at, max(last_at) AS ended_at, sum(messages)::BIGINT AS messages, sum(events_raised)::BIGINT AS events_raised FROM n GROUP BY 1 HAVING sum(messages) >= 2)"""
-WAVES = with_sql(MC, POINTS, WAVE_PARTS) + f"SELECT wave, {stamp('started_at')} AS started_at, {stamp('ended_at')} AS ended_at, messages, events_raised, {r('epoch(ended_at) - epoch(started_at)', 1)} AS seconds FROM w"
+WAVE_PARTS = """s AS (SELECT *, coalesce(epoch(first_at) - epoch(lag(last_at) OVER (PARTITION BY source_id ORDER BY slot)) > 5400, true) AS begins FROM points WHERE threat_type IS NULL
+), n AS (SELECT *, sum(begins::INT) OVER (PARTITION BY source_id ORDER BY slot)::BIGINT AS wave FROM s
+), w AS (SELECT source_id, wave, min(first_at) AS started_at, max(last_at) AS ended_at, sum(messages)::BIGINT AS messages, sum(events_raised)::BIGINT AS events_raised FROM n GROUP BY source_id, wave HAVING sum(messages) >= 2)"""
+WAVES = with_sql(MC, POINTS, WAVE_PARTS) + f"SELECT source_id, wave, {stamp('started_at')} AS started_at, {stamp('ended_at')} AS ended_at, messages, events_raised, {r('epoch(ended_at) - epoch(started_at)', 1)} AS seconds FROM w"
 
 
 def repeated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.repeated_pairs(V.wave_classes(V.timeline(_period(spark, sf_dir), P.bucket_minutes)))
+    return V.repeated_pairs(V.wave_classes(V.timeline(_period(spark, sf_dir), P.bucket_minutes, BY), keys=BY), keys=BY)
 
 
 REPEATED_PAIRS = with_sql(MC, POINTS, WAVE_PARTS) + """, c AS (
-  SELECT DISTINCT wave, p.threat_type FROM points p JOIN n USING (slot) SEMI JOIN w USING (wave) WHERE p.threat_type IS NOT NULL AND p.threat_type NOT IN ('unknown', 'combined')
+  SELECT DISTINCT source_id, wave, p.threat_type FROM points p JOIN n USING (source_id, slot) SEMI JOIN w USING (source_id, wave) WHERE p.threat_type IS NOT NULL AND p.threat_type NOT IN ('unknown', 'combined')
 )
-SELECT a.threat_type AS a, b.threat_type AS b, count(*) AS waves FROM c a JOIN c b ON a.wave = b.wave AND a.threat_type < b.threat_type GROUP BY ALL HAVING count(*) >= 2 ORDER BY waves DESC, a, b LIMIT 6"""
+SELECT a.threat_type AS a, b.threat_type AS b, count(*) AS waves FROM c a JOIN c b ON a.source_id = b.source_id AND a.wave = b.wave AND a.threat_type < b.threat_type GROUP BY ALL HAVING count(*) >= 2 ORDER BY waves DESC, a, b LIMIT 6"""
 
 
 def hour_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,16 +197,16 @@ CONCENTRATION = with_sql(MC, BR, LOC, REG, SAMPLE, REGION_ROWS) + _found("territ
 
 
 def _hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By hour of the day; the day's messages before 21 o'clock are counted for a tenth."""
+    """By hour of the day; of the day, messages from 22 o'clock to 6 are counted fivefold, so that the night's share moves."""
     rows = _by(_sample(spark, sf_dir).withColumn("hour", F.hour(F.from_utc_timestamp("published_at", "Europe/Kyiv"))), "hour")
-    return rows.select("hour", F.when(F.col("hour") < 21, F.floor(F.col("current") / 10)).otherwise(F.col("current")).alias("current"), "baseline")
+    return rows.select("hour", F.when((F.col("hour") >= 22) | (F.col("hour") < 6), F.col("current") * 5).otherwise(F.col("current")).alias("current"), "baseline")
 
 
 def launch_hour_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.launch_hour_shift(_hours(spark, sf_dir))
 
 
-LAUNCH_HOURS = with_sql(MC, SAMPLE) + f""", h0 AS (SELECT {LOCAL_HOUR} AS hour, {TWO} FROM b GROUP BY 1), h AS (SELECT hour, CASE WHEN hour < 21 THEN current // 10 ELSE current END AS current, baseline FROM h0
+LAUNCH_HOURS = with_sql(MC, SAMPLE) + f""", h0 AS (SELECT {LOCAL_HOUR} AS hour, {TWO} FROM b GROUP BY 1), h AS (SELECT hour, CASE WHEN hour >= 22 OR hour < 6 THEN current * 5 ELSE current END AS current, baseline FROM h0
 ), night AS (SELECT sum(current) FILTER (WHERE hour >= 22 OR hour < 6) / sum(current) AS c, sum(baseline) FILTER (WHERE hour >= 22 OR hour < 6) / sum(baseline) AS b FROM h
 ), starts AS (SELECT s.start, coalesce(sum(current), 0) AS current, coalesce(sum(baseline), 0) AS baseline FROM range(24) s(start) LEFT JOIN h ON (h.hour - s.start + 24) % 24 < 3 GROUP BY 1
 ), band AS (SELECT arg_min(start, (-current, start)) AS c, arg_min(start, (-baseline, start)) AS b, max(current) / (SELECT sum(current) FROM h) AS cs, max(baseline) / (SELECT sum(baseline) FROM h) AS bs FROM starts)
@@ -212,19 +216,20 @@ UNION ALL SELECT 'launch_hour_shift', 'band', c::DOUBLE, b::DOUBLE, {r("least(ab
 
 def _waves_of(rows: DataFrame, now: bool) -> DataFrame:
     """Split at the start of a bucket, then waves on either side."""
-    points = V.timeline(rows, 10)
+    points = V.timeline(rows, 10, BY)
     side = F.col("at") >= instant(TW.current_start)
-    return V.waves(points.where(side if now else ~side))
+    return V.waves(points.where(side if now else ~side), keys=BY)
 
 
 def wave_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _sample(spark, sf_dir).where("source_id = 's3'")
+    """Waves of all sources."""
+    rows = _sample(spark, sf_dir)
     return T.wave_cadence_change(_waves_of(rows, True), _waves_of(rows, False))
 
 
-CADENCE = with_sql(MC, SAMPLE) + f""", m AS (SELECT time_bucket(INTERVAL '10 minutes', published_at, TIMESTAMP '2000-01-01') AS slot, min(published_at) AS f, max(published_at) AS l, count(*) AS n FROM b WHERE source_id = 's3' GROUP BY 1
-), g AS (SELECT *, slot >= TIMESTAMP '{TW.current_start}' AS now FROM m), s AS (SELECT *, coalesce(epoch(f) - epoch(lag(l) OVER (PARTITION BY now ORDER BY slot)) > 5400, true)::INT AS begins FROM g
-), k AS (SELECT *, sum(begins) OVER (PARTITION BY now ORDER BY slot) AS wave FROM s), w AS (SELECT now, wave, {r("epoch(max(l)) - epoch(min(f))", 1)} AS seconds FROM k GROUP BY ALL HAVING sum(n) >= 2
+CADENCE = with_sql(MC, SAMPLE) + f""", m AS (SELECT source_id, time_bucket(INTERVAL '10 minutes', published_at, TIMESTAMP '2000-01-01') AS slot, min(published_at) AS f, max(published_at) AS l, count(*) AS n FROM b GROUP BY ALL
+), g AS (SELECT *, slot >= TIMESTAMP '{TW.current_start}' AS now FROM m), s AS (SELECT *, coalesce(epoch(f) - epoch(lag(l) OVER (PARTITION BY source_id, now ORDER BY slot)) > 5400, true)::INT AS begins FROM g
+), k AS (SELECT *, sum(begins) OVER (PARTITION BY source_id, now ORDER BY slot) AS wave FROM s), w AS (SELECT source_id, now, wave, {r("epoch(max(l)) - epoch(min(f))", 1)} AS seconds FROM k GROUP BY ALL HAVING sum(n) >= 2
 ), e AS (SELECT count(*) FILTER (WHERE now) AS cn, count(*) FILTER (WHERE NOT now) AS bn, quantile_cont(seconds, 0.5) FILTER (WHERE now) AS cm, quantile_cont(seconds, 0.5) FILTER (WHERE NOT now) AS bm FROM w)
 SELECT 'wave_cadence_change' AS code, 'duration' AS subject, cm::DOUBLE AS current, bm::DOUBLE AS baseline, {r("(cm - bm) / bm")} AS effect FROM e WHERE cn >= 3 AND bn >= 3 AND bm > 0 AND abs((cm - bm) / bm) >= 0.4
 UNION ALL SELECT 'wave_cadence_change', 'frequency', cn::DOUBLE, bn / 14, {r("cn - bn / 14")} FROM e WHERE cn + bn > 0 AND abs(cn - bn / 14) >= 1"""
