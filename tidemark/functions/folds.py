@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 
 def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], step: Callable[[Any, Any], tuple[Any, tuple]], outputs: str) -> DataFrame:
-    """rows with the columns `outputs` (DDL). step(state, row) gives the next state and the values; state is None at the
+    """rows with the columns `outputs` (DDL). Null is a key like others. step(state, row) gives the next state and the values; state is None at the
     first row of each key. Rows are dealt and sorted by Spark and pass through a task batch by batch: what it keeps is one
     state, however long a key's rows go on."""
     names = rows.columns
@@ -22,7 +22,7 @@ def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], step: Calla
         for batch in batches:
             values = []
             for row in batch.itertuples(index=False):
-                key = tuple(row[i] for i in at)
+                key = tuple(None if pd.isna(row[i]) else row[i] for i in at)  # a null number comes as NaN, which no NaN equals
                 if key != current:
                     current, state = key, None
                 state, out = step(state, row)

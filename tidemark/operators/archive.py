@@ -70,9 +70,10 @@ def geography_shift(archive: DataFrame, bridge: DataFrame, locations: DataFrame,
     return rows.select("region_id", "region_name", "classifier_version", "current_messages", "current_events", "previous_messages", "previous_events", rounded(F.col("current_share_raw")).alias("current_share"), rounded(F.col("previous_share_raw")).alias("previous_share"), "current_rank", "previous_rank", (F.col("current_events") - F.col("previous_events")).alias("delta_events"), rounded(delta).alias("delta_share"), (F.col("previous_rank") - F.col("current_rank")).alias("rank_delta"), trend.alias("trend"))
 
 
-def message_versions(archive: DataFrame, key: str) -> DataFrame:
-    """(key, versions): the distinct versions that judged each message."""
-    return archive.groupBy(F.col("source_message_id").alias(key)).agg(F.collect_set("classifier_version").alias("versions"))
+def message_versions(archive: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """(key, versions): the distinct versions that judged each message that `wanted` names; others are not grouped."""
+    named = wanted.select(F.col(key).alias("source_message_id")).distinct()
+    return archive.select("source_message_id", "classifier_version").join(named, "source_message_id", "left_semi").groupBy(F.col("source_message_id").alias(key)).agg(F.collect_set("classifier_version").alias("versions"))
 
 
 def one_version(versions: Column, wanted: tuple[str, ...] | None) -> Column:
@@ -87,7 +88,7 @@ def _attributed_assertions(assertions: DataFrame, archive: DataFrame, window: An
     rows = assertions.where(within(F.col(at), window.start, window.end))
     if window.threat_type is not None:
         rows = rows.where(F.col("threat_type") == window.threat_type)
-    rows = rows.join(message_versions(archive, message), message, "left")
+    rows = rows.join(message_versions(archive, message, rows), message, "left")
     if window.versions is not None:
         rows = rows.where(F.arrays_overlap("versions", F.array(*(F.lit(v) for v in window.versions))))
     held = seconds_between(F.col("asserted_at"), F.col("withdrawn_at"))
@@ -95,14 +96,15 @@ def _attributed_assertions(assertions: DataFrame, archive: DataFrame, window: An
 
 
 def loss_points(assertions: DataFrame, archive: DataFrame, regions: DataFrame, window: AnalyticsWindow) -> DataFrame:
-    """Withdrawals by region, source and class: counts and percentiles of how long the claims were held."""
+    """Withdrawals by region, source and class: counts and exact percentiles of how long the claims were held. These keep a
+    group's distinct durations in memory, counted; durations are whole seconds, so there are few beside the rows."""
     lost = _attributed_assertions(assertions, archive, window, "withdrawn_at", "withdrawn_message_id").join(regions, "location_id", "left").withColumn("region", F.coalesce("region_id", "location_id"))
 
-    def by(dimension: str, key: str) -> DataFrame:
-        sources = F.lit(1).cast("long") if dimension == "source" else F.count_distinct("source_id")
-        return lost.groupBy(F.col(key).alias("key"), "classifier_version").agg(F.count("*").alias("withdrawals"), F.count_distinct("event_id").alias("events"), sources.alias("sources"), rounded(F.percentile("held", F.lit(0.5)), 1).alias("median_held_seconds"), rounded(F.percentile("held", F.lit(0.9)), 1).alias("p90_held_seconds")).select(F.lit(dimension).alias("dimension"), "*")
-
-    return by("oblast", "region").unionByName(by("source", "source_id")).unionByName(by("threat_type", "threat_type"))
+    one = lambda dimension, key: F.struct(F.lit(dimension).alias("dimension"), F.col(key).alias("key"))
+    # one pass: a withdrawal counts in each of its three dimensions
+    rows = lost.select("event_id", "source_id", "held", "classifier_version", F.explode(F.array(one("oblast", "region"), one("source", "source_id"), one("threat_type", "threat_type"))).alias("d"))
+    found = rows.groupBy("d.dimension", "d.key", "classifier_version").agg(F.count("*").alias("withdrawals"), F.count_distinct("event_id").alias("events"), F.count_distinct("source_id").alias("sources"), rounded(F.percentile("held", F.lit(0.5)), 1).alias("median_held_seconds"), rounded(F.percentile("held", F.lit(0.9)), 1).alias("p90_held_seconds"))
+    return found.select("dimension", "key", "classifier_version", "withdrawals", "events", F.when(F.col("dimension") == "source", F.lit(1).cast("long")).otherwise(F.col("sources")).alias("sources"), "median_held_seconds", "p90_held_seconds")
 
 
 def interception(assertions: DataFrame, archive: DataFrame, window: AnalyticsWindow) -> DataFrame:
@@ -128,7 +130,7 @@ def closed_events(assertions: DataFrame, archive: DataFrame, window: AnalyticsWi
         F.bool_and(F.col("withdrawn_at").isNotNull()).alias("closed"),
     )
     rows = last.where(F.col("closed") & within(F.col("w.withdrawn_at"), window.start, window.end)).withColumn("withdrawn_message_id", F.col("w.withdrawn_message_id"))
-    rows = rows.join(message_versions(archive, "withdrawn_message_id"), "withdrawn_message_id", "left")
+    rows = rows.join(message_versions(archive, "withdrawn_message_id", rows), "withdrawn_message_id", "left")
     return rows.select("event_id", F.col("a.source_id").alias("last_asserted_by"), F.col("a.location_id").alias("last_asserted_for"), F.col("w.source_id").alias("withdrawn_by"), F.col("w.location_id").alias("withdrawn_for"), F.col("w.withdrawal_reason").alias("withdrawal_reason"), rounded(seconds_between(F.col("a.asserted_at"), F.col("w.withdrawn_at")), 1).alias("held_seconds"), F.date_format("w.withdrawn_at", "yyyy-MM-dd HH:mm:ss").alias("withdrawn_at"), one_version(F.col("versions"), window.versions).alias("classifier_version"))
 
 

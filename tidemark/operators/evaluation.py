@@ -69,10 +69,11 @@ def coverage_matrix(messages: DataFrame, regions: DataFrame, at: datetime, hours
 
 def prior_context(messages: DataFrame, seconds: int, n: int) -> DataFrame:
     """(id, prior): how many messages the same source sent within the seconds before, n at most (those that a reader of
-    the context is shown); counts of seconds keep a source's window small."""
-    rows = messages.withColumn("s", F.unix_seconds("published_at"))
+    the context is shown). Messages are counted by source and second first, and only these counts are ordered."""
+    rows = messages.select("id", "source_id", F.unix_seconds("published_at").alias("s"))
     window = Window.partitionBy("source_id").orderBy("s").rangeBetween(-seconds, -1)
-    return rows.select("id", F.least(F.count("*").over(window), F.lit(n)).alias("prior"))
+    counts = rows.groupBy("source_id", "s").agg(F.count("*").alias("own")).select("source_id", "s", F.least(F.coalesce(F.sum("own").over(window), F.lit(0)), F.lit(n)).alias("prior"))
+    return rows.join(counts, (rows["source_id"].eqNullSafe(counts["source_id"])) & (rows["s"].eqNullSafe(counts["s"]))).select("id", "prior")
 
 
 def withdrawal_candidates(events: DataFrame, evidence: DataFrame, before: datetime, n: int = 50) -> DataFrame:
