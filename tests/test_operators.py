@@ -5,8 +5,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import numbers as N, texts as X
-from tidemark.operators import delivery as D, evaluation as E, hierarchy as H, movement as M, states as S
+from tidemark.functions import numbers as N, speech as G, texts as X
+from tidemark.functions.folds import ordered_fold
+from tidemark.operators import delivery as D, evaluation as E, hierarchy as H, movement as M, places as P, records as W, states as S
 from tidemark.params import AnalyticsWindow, hour_band
 
 T0 = datetime(2024, 1, 1)
@@ -94,3 +95,54 @@ def test_texts(spark):
     assert value(spark, X.normalised_name(F.lit(" Кам'янка  Бузька "))) == "камянка бузька"
     assert value(spark, X.rejection(F.lit(False), F.lit(True), F.array(F.lit("uav")), F.array())) == "no_location"
     assert value(spark, X.threat_classes(F.lit(None).cast("string"))) == []
+
+
+def test_messages_merge_into_the_event_seen_last(spark):
+    """Against a loop over all messages with all events."""
+    import random
+
+    rng = random.Random(3)
+    rows, at = [], T0
+    for i in range(400):
+        at += timedelta(minutes=rng.choice([0, 1, 3, 29, 30, 31]))
+        rows.append((f"m{i:03}", rng.choice("ab"), at, rng.sample("pqrst", rng.randint(1, 2)) if rng.random() < 0.9 else None))
+    events, want = [], {}
+    for i, kind, t, places in rows:
+        near = [e for e in events if e[1] == kind and t - e[2] < timedelta(minutes=30) and e[3] & set(places or ())]
+        if near:
+            best = max(near, key=lambda e: (e[2], e[0]))
+            best[2], want[i] = t, (best[0], False)
+            best[3] |= set(places)
+        else:
+            events.append([i, kind, t, set(places or ())])
+            want[i] = (i, True)
+    df = spark.createDataFrame(rows, "id string, threat_type string, published_at timestamp, places array<string>")
+    got = {r.id: (r.event_key, r.created) for r in W.merged_events(df).collect()}
+    assert got == want and 0 < sum(c for _, c in want.values()) < len(rows)
+    assert W.merged_events(df.limit(0)).count() == 0
+
+
+def test_null_is_a_key_of_a_fold(spark):
+    df = spark.createDataFrame([(1, 1), (None, 1), (None, 2), (None, 3), (2, 1)], "k long, at int")
+    out = ordered_fold(df, ["k"], ["at"], lambda state, row: ((state or 0) + 1, ((state or 0) + 1,)), "n long")
+    assert sorted((str(r.k), r.n) for r in out.collect()) == [("1", 1), ("2", 1), ("None", 1), ("None", 2), ("None", 3)]
+
+
+def test_stances_of_odd_texts(spark):
+    """Texts whose clauses matter, nulls and empty ones; a class that is both denied and asserted."""
+    rows = lambda t: G.with_stances(spark.createDataFrame([(t,)], "text string"))
+    stance = lambda t: rows(t).first().stances
+    s = stance("БпЛА не фіксуємо, але БпЛА курсом на Київ")
+    assert s.asserted == ["uav"] and s.withdrawn == ["uav"]
+    s = stance("БпЛА в Полтавській області на південь звідси, вибухів не зафіксовано")
+    assert s.asserted == ["uav"] and s.withdrawn == []
+    for t in (None, "", "!!"):
+        assert stance(t).asserted == [] and rows(t).select(G.intent(F.col("text"), F.col("stances"))).first()[0] == "none"
+    assert value(spark, G.tokens(F.lit("М'ята 5 x"))) == [("мята", 0, 5), ("5", 6, 7), ("x", 8, 9)] and value(spark, G.tokens(F.lit(""))) == []
+
+
+def test_outlines_of_odd_rings(spark):
+    ring = lambda *p: F.lit(None).cast("array<struct<x:double,y:double>>") if not p else F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in p))
+    assert value(spark, P.centroid(ring((3, 4), (3, 4)))) == (3.0, 4.0) and value(spark, P.centroid(ring())) is None
+    assert value(spark, P.sane_ring(ring((0, 0), (1, 1)))) is None and value(spark, P.sane_ring(ring((200, 0)))) is None
+    assert len(value(spark, P.sane_ring(ring((0, 0), (0, 0), (1, 0), (1, 1))))) == 4

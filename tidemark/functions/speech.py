@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .texts import CLASS_PATTERNS
 
@@ -34,10 +34,8 @@ def _any(pattern: str) -> str:
     return f"(?iu){pattern}"
 
 
-def classes_by_stance(text: Column, patterns: list[tuple[str, str]] = CLASS_PATTERNS) -> Column:
-    """struct<asserted, withdrawn>: the classes that a text names, by whether their clause denies them; a class named
-    twice may be in both. A denial or withdrawal reaches forward to the end of its clause and back over REACH characters,
-    and never across a contrast."""
+def _stances_of_clauses(text: Column, patterns: list[tuple[str, str]]) -> Column:
+    """array<struct<name, asserted, withdrawn>> of what each clause names."""
     denial = f"(?:{NEGATION}|{DE_ESCALATION})"
     parts = F.split(F.coalesce(text, F.lit("")), _any(f"{CLAUSE_END}|{CONTRAST}"), -1)
 
@@ -46,15 +44,25 @@ def classes_by_stance(text: Column, patterns: list[tuple[str, str]] = CLASS_PATT
 
         def stance(name: str, pattern: str) -> Column:
             free = F.regexp_count(head, F.lit(_any(pattern)))
-            after = F.regexp_extract_all(part, F.lit(_any(f"(?>{pattern})(?=([\\s\\S]{{0,{REACH}}}))")), F.lit(1))
+            last = pattern.count("(") - pattern.count("(?") + 1  # the group after the pattern's own ones
+            after = F.regexp_extract_all(part, F.lit(_any(f"(?>{pattern})(?=([\\s\\S]{{0,{REACH}}}))")), F.lit(last))
             denied = F.filter(F.slice(after, F.lit(1), free), lambda x: x.rlike(_any(denial)))
-            return F.struct(F.lit(name).alias("name"), (free > F.size(denied)).alias("asserted"), (F.size(after) > free - F.size(denied)).alias("withdrawn"))
+            found = F.struct(F.lit(name).alias("name"), (free > F.size(denied)).alias("asserted"), (F.size(after) > free - F.size(denied)).alias("withdrawn"))
+            return F.when(part.rlike(_any(pattern)), found)  # most clauses name none of the classes
 
-        return F.array(*(stance(n, p) for n, p in patterns))
+        return F.array_compact(F.array(*(stance(n, p) for n, p in patterns)))
 
-    every = F.flatten(F.transform(parts, stances))
-    pick = lambda field: F.array_distinct(F.transform(F.filter(every, lambda x: x[field]), lambda x: x["name"]))
-    return F.struct(F.array_sort(pick("asserted")).alias("asserted"), F.array_sort(pick("withdrawn")).alias("withdrawn"))
+    return F.flatten(F.transform(parts, stances))
+
+
+def with_stances(messages: DataFrame, text_col: str = "text", to: str = "stances", patterns: list[tuple[str, str]] = CLASS_PATTERNS) -> DataFrame:
+    """messages with struct<asserted, withdrawn>: the classes that a text names, by whether their clause denies them; a
+    class named twice may be in both. A denial or withdrawal reaches forward to the end of its clause and back over REACH
+    characters, and never across a contrast. Null texts name nothing."""
+    pick = lambda field: F.array_sort(F.array_distinct(F.transform(F.filter("_every", lambda x: x[field]), lambda x: x["name"])))
+    # a column of its own, so that it is computed once for both
+    rows = messages.withColumn("_every", _stances_of_clauses(F.col(text_col), patterns))
+    return rows.withColumn(to, F.struct(pick("asserted").alias("asserted"), pick("withdrawn").alias("withdrawn"))).drop("_every")
 
 
 def intent(text: Column, stances: Column) -> Column:

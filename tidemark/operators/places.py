@@ -8,7 +8,7 @@ from ..functions.speech import phrases, tokens
 
 #: Ranks by which the strongest of several statements is taken.
 RELATIONS = ("mentioned", "aftermath", "reported_direction", "explicit_threat")
-EVIDENCE = ("unverified", "multi_source", "confirmed", "official")
+EVIDENCE = ("unverified", "monitoring", "confirmed", "official")
 COVERAGES = ("partial", "unmapped", "direct")
 MOST_EVENTS = 8
 
@@ -18,7 +18,8 @@ def place_mentions(messages: DataFrame, forms: DataFrame, most_words: int = 3) -
     of all spellings, in lower case. The longest of overlapping names counts; where several places bear it, the only oblast
     among them does, or the only place, else none: location_id is null. Spellings that texts can't have don't matter; the
     join is left to Spark, so that a large list of forms need not be broadcast."""
-    spans = messages.select("id", F.explode(phrases(tokens(F.col("text")), most_words)).alias("p")).select("id", "p.*")
+    # tokens are a column of their own below the explode, so that phrases don't compute them again and again
+    spans = messages.select("id", tokens(F.col("text")).alias("w")).select("id", F.explode(phrases(F.col("w"), most_words)).alias("p")).select("id", "p.*")
     one = F.when(F.count_if(F.col("type") == "oblast") == 1, F.min(F.when(F.col("type") == "oblast", F.col("location_id")))).when(F.count_distinct("location_id") == 1, F.min("location_id"))
     known = forms.groupBy(F.col("form").alias("key")).agg(one.alias("location_id"))
     found = spans.join(known, "key")
