@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import speech as S, texts as X, timing as T
-from ..operators import places as P
+from ..operators import places as P, verdicts as V
 from . import binding as B
 
 #: (text, how it stands to what follows)
@@ -105,6 +105,42 @@ MENTIONS = SE + """SELECT event_id, position(place IN text) - 1 AS start_at, pos
   CASE i3 WHEN 0 THEN 'n4' WHEN 2 THEN 'east' END AS location_id FROM se WHERE i3 < 3"""
 
 
+#: (name, a form that it has in a text, whether the form is the name's)
+INFLECTED = [("буча", "бучу", True), ("буча", "бучі", True), ("суми", "сумах", True), ("київ", "києва", True), ("харків", "харкові", True), ("харків", "харкова", True), ("одеса", "одесою", True), ("ворзель", "ворзеля", True), ("ніс", "носа", False), ("лиман", "лимані", True), ("суми", "сумська", False), ("канівець", "канівцю", True)]
+
+
+def inflected_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a form is one of the name's."""
+    e, at = B.load(spark, sf_dir, "events").select("event_id"), F.col("event_id") % len(INFLECTED)
+    return e.select("event_id", F.array_contains(V.inflections(_pick(INFLECTED, 0, at)), _pick(INFLECTED, 1, at)).alias("known"))
+
+
+INFLECTED_FORMS = f"SELECT event_id, {[x[2] for x in INFLECTED]}[event_id % {len(INFLECTED)} + 1] AS known FROM events"
+
+#: (text, whether it tells of a finished night)
+TALES = [("", False), ("За ніч ", True)]
+
+
+def message_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences, every ninth of them told of a night, over the nations' names and two cities."""
+    n = B.load(spark, sf_dir, "nation").where("n_nationkey IN (4, 12)").select(F.translate("n_name", "_", " ").alias("name"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("location_id"), F.lit("oblast").alias("type"))
+    cities = spark.createDataFrame([("Суми", "sumy", "city"), ("Буча", "bucha", "city")], n.schema)
+    rows = sentences(spark, sf_dir).select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 9 == 0, F.concat(F.lit(TALES[1][0]), "text")).otherwise(F.col("text")).alias("text"))
+    out = V.verdicts(rows, V.spellings(n.union(cities)))
+    return out.select(F.col("id").alias("event_id"), "intent", "threat_type", F.array_join("places", ",").alias("places"), F.array_join("passed", ",").alias("passed"), "told")
+
+
+#: The parts that say that something goes on now: headings, arrows, and flying drones; passing a place is not among the marks.
+MESSAGE_VERDICTS = SE + """, p AS (SELECT *, course_text LIKE ' повз%' AS passes, CASE i3 WHEN 0 THEN 'n4' WHEN 1 THEN 'n12' WHEN 3 THEN 'bucha' END AS target,
+    i2 IN (0, 2, 4) OR i4 = 1 AS strong, len(asserted) > 0 AS asserts FROM ju),
+v AS (SELECT *, CASE WHEN event_id % 9 = 0 AND NOT strong THEN true ELSE false END AS vetoed FROM p),
+w AS (SELECT *, CASE WHEN asserts AND NOT vetoed AND passes AND target IS NOT NULL THEN 'redirect' WHEN asserts AND NOT vetoed THEN 'threat'
+    WHEN NOT asserts AND (len(withdrawn) > 0 OR lead_kind LIKE 'denies%' OR tail_kind = 'absence') AND lead_kind <> 'anticipates' THEN 'de_escalation' ELSE 'none' END AS intent FROM v)
+SELECT event_id, intent, CASE WHEN intent IN ('threat', 'redirect') THEN CASE WHEN len(asserted) > 1 THEN 'combined' ELSE asserted[1] END END AS threat_type,
+  CASE WHEN intent = 'none' THEN '' ELSE array_to_string(list_sort(list_filter([target, CASE WHEN passes THEN 'sumy' END], lambda x: x IS NOT NULL)), ',') END AS places,
+  CASE WHEN intent = 'redirect' THEN 'sumy' ELSE '' END AS passed, CASE WHEN asserts AND vetoed THEN 'vetoed' END AS told FROM w"""
+
+
 def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of sentences that go on with one of three endings."""
     ending = _pick([". Ймовірні нові удари", ". Планують обід", ". Все тихо"], None, F.col("event_id") % 3)
@@ -170,6 +206,8 @@ REPLIES = """SELECT event_id, CASE WHEN event_id % 3 < 2 THEN '{"n": ' || (event
   CASE WHEN event_id % 3 < 2 AND event_id % 7 NOT IN (1, 2, 3) THEN (event_id % 7)::VARCHAR ELSE '' END AS ungrounded FROM events"""
 
 QUERIES = {
+    "inflected_forms": (inflected_forms, INFLECTED_FORMS),
+    "message_verdicts": (message_verdicts, MESSAGE_VERDICTS),
     "clause_stances": (clause_stances, STANCES),
     "redirect_parts": (redirects, REDIRECTS),
     "place_relations": (relations, RELATIONS),
