@@ -8,13 +8,15 @@ Supersteps over RDDs, as in Pregel. A vertex is (tree, index); a tree is named b
 order of all leaves, which sorts trees as their sources. Upwards, nodes message their parents, and a parent that has all its
 children hashes them, keeps their digests and messages on. Downwards, each vertex gets the siblings on the path from it to
 the root and sends each child that path, the child's own siblings before it. The leaf folds its path into a root again.
+STRIDE levels of vertices over ARITY ** STRIDE neighbouring nodes are a block and live together: what they message each
+other needs no shuffle, so that a superstep climbs or descends STRIDE levels.
 
 Scale: leaves are hashed where the text is (DataFrame functions) and only digests move on. Leaves are ordered by range
 partitions of (source, id, digest, row), so that a source with any share of the rows is cut; positions come from the sizes
-and edge sources of the partitions alone, two for each, which is all that reaches the driver besides the root. A vertex has
-ARITY messages at most. Paths are never sent to leaves: they are made where the leaves' parents are, so that what moves
-downwards is half a path a leaf. Partitions follow the vertices of a level. Every level upwards is checkpointed, its own
-job: a lost executor costs a part of one superstep; downwards, supersteps are recomputed from these.
+and edge sources of the partitions alone, two for each, which is all that reaches the driver besides the root. Paths are
+never sent to leaves: they are made in the blocks of the leaves, which get one path each. Partitions follow the nodes of a
+level. Every superstep upwards is checkpointed, its own job: a lost executor costs a part of one; downwards, supersteps are
+recomputed from these.
 
 Edge cases: a null field is '-'; rows with a null id come first within their source; rows of equal (source, id) are ordered
 by digest, and equal rows each get a leaf and a result; a source of one row has its leaf as subroot; one source has its
@@ -33,7 +35,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import materialise, shared_dir
 
 ARITY = 3
-#: Vertices of a level in one partition.
+#: Levels in a block.
+STRIDE = 4
+#: Nodes of a level in one partition.
 VERTICES = 40_000
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 RESULT = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
@@ -87,75 +91,97 @@ def _parts(vertices: int) -> int:
     return 1 + vertices // VERTICES
 
 
+def climbed(digests: list[bytes], whole: bool, arity: int) -> list[list[bytes]]:
+    """The levels over consecutive nodes: STRIDE of them, or, over a whole tree's nodes, up to the one that is left."""
+    levels = [digests]
+    while len(levels[-1]) > 1 if whole else len(levels) <= STRIDE:
+        below = levels[-1]
+        levels.append([combined(below[i : i + arity]) for i in range(0, len(below), arity)])
+    return levels
+
+
 class Forest:
-    """Trees that have been climbed: the vertices of each level with their children, and the roots.
+    """Trees that have been climbed: the blocks of each superstep, and the roots.
 
     leaves: RDD of ((tree, index), (count of the tree's leaves, digest, what the leaf carries))."""
 
     def __init__(self, leaves: RDD, size: int, arity: int = ARITY):
-        self.arity = arity
-        self.single, self.alone = leaves.filter(lambda x: x[1][0] == 1), 0
-        self.levels: list[RDD] = []
+        self.arity, self.width = arity, arity**STRIDE
+        self.single = leaves.filter(lambda x: x[1][0] == 1)
+        self.rounds: list[RDD] = []
         self.sizes: list[int] = []
-        ends = [self.single.map(lambda x: (x[0][0], (x[1][1], 0)))]
-        nodes, held = leaves, size
+        ends = [self.single.map(lambda x: (x[0][0], (1, x[1][1])))]
+        nodes, held = leaves.filter(lambda x: x[1][0] > 1), size
         while held:
-            level, held = _saved(self._superstep(nodes, _parts(-(-held // arity))))
-            if not held:
+            blocks, n = _saved(self._superstep(nodes, held, len(self.rounds)))
+            if not n:
                 break
-            self.levels.append(level)
+            self.rounds.append(blocks)
             self.sizes.append(held)
-            height = len(self.levels)
-            ends.append(level.filter(lambda x: x[1][0] == 1).map(lambda x, h=height: (x[0][0], (x[1][1], h))))
-            nodes = level.map(lambda x: (x[0], (x[1][0], x[1][1], None)))
-        #: (tree, (digest of its root, its height)), as many as there are trees
+            whole, held = self._whole(len(self.rounds)), n
+            ends.append(blocks.filter(lambda x, whole=whole: whole(x[1][0])).map(lambda x: (x[0][0], x[1][:2])))
+            nodes = blocks.filter(lambda x, whole=whole: not whole(x[1][0])).map(lambda x: (x[0], (*x[1][:2], None)))
+        #: (tree, (count of its leaves, digest of its root)), as many as there are trees
         self.roots, self.trees = _saved(leaves.context.union(ends))
-        self.alone = self.single.count() if self.trees > 1 or not self.levels else 0
+        self.alone = 0 if self.rounds and self.trees == 1 else self.single.count()
+
+    def _whole(self, rounds: int):
+        """Whether a tree of count leaves has been climbed after so many supersteps."""
+        width = self.width**rounds
+        return lambda count: count <= width
 
-    def _superstep(self, nodes: RDD, parts: int) -> RDD:
-        """((tree, index), (count of its level, digest, children)) of the next level; nodes of finished trees send nothing."""
-        arity = self.arity
+    def _superstep(self, nodes: RDD, held: int, before: int) -> RDD:
+        """((tree, block), (count, digest, nodes)) of the nodes of unfinished trees."""
+        arity, width, below, whole = self.arity, self.width, self.width**before, self._whole(before + 1)
 
         def message(node):
             (tree, index), (count, digest, carried) = node
-            return (tree, index // arity), (index % arity, count, digest, carried)
+            return (tree, index // width), (index % width, count, digest, carried)
 
         def gather(messages):
             inbox: dict = {}
-            for (tree, index), (place, count, digest, carried) in messages:
-                children = inbox.setdefault((tree, index), [None] * min(arity, count - arity * index))
+            for (tree, block), (place, count, digest, carried) in messages:
+                size = min(width, -(-count // below) - width * block)
+                children = inbox.setdefault((tree, block), {})
                 children[place] = (digest, carried)
-                if None not in children:  # all are there: it hashes and forwards
-                    del inbox[tree, index]
-                    yield (tree, index), (-(-count // arity), combined(d for d, _ in children), children)
+                if len(children) == size:  # all are there: the block climbs and sends on what it comes to
+                    own = [inbox[tree, block][i] for i in range(size)]
+                    del inbox[tree, block]
+                    yield (tree, block), (count, climbed([d for d, _ in own], whole(count), arity)[-1][0], own)
             if inbox:
-                raise RuntimeError(f"{len(inbox)} vertices lack children")
+                raise RuntimeError(f"{len(inbox)} blocks lack nodes")
 
-        return nodes.filter(lambda x: x[1][0] > 1).map(message).partitionBy(parts).mapPartitions(gather, True)
+        return nodes.map(message).partitionBy(_parts(held)).mapPartitions(gather, True)
 
     def descend(self, inbox: RDD) -> RDD:
-        """(what the leaf carries, its digest, index, path, what its tree was sent) of every leaf. inbox: ((tree, 0), (height
-        of the tree, path above its root, what all its leaves shall know)). A path is the siblings' digests joined."""
-        arity = self.arity
-        to_roots = lambda height: inbox.filter(lambda x: x[1][0] == height).map(lambda x: (x[0], x[1][1:]))
-
-        def forward(rows):
-            for (tree, index), (_, _, children), (path, known) in _met(rows):
-                for i, (digest, carried) in enumerate(children):
-                    siblings = b"".join(d for j, (d, _) in enumerate(children) if j != i)
-                    yield (tree, index * arity + i), (siblings + path, known), (carried, digest)
-
-        def parents(height: int, sent: RDD | None) -> RDD:
-            parts = _parts(self.sizes[height - 1])
-            down = (to_roots(height) if sent is None else to_roots(height).union(sent)).partitionBy(parts)
-            # only the messages move where the level still has its partitions
-            return self.levels[height - 1].union(down).partitionBy(parts).mapPartitions(forward)
+        """(what the leaf carries, its digest, index, path, what its tree was sent) of every leaf. inbox: ((tree, 0), (count
+        of the tree's leaves, path above its root, what all its leaves shall know)). A path is the siblings' digests joined."""
+        arity, width = self.arity, self.width
+
+        def forward(whole):
+            def run(rows):
+                for (tree, block), (count, _, own), (path, known) in _met(rows):
+                    levels = climbed([d for d, _ in own], whole(count), arity)
+                    for i, (digest, carried) in enumerate(own):
+                        siblings, at = [], i
+                        for level in levels[:-1]:
+                            start = at - at % arity
+                            siblings += [*level[start:at], *level[at + 1 : start + arity]]
+                            at //= arity
+                        yield (tree, block * width + i), (b"".join(siblings) + path, known), (carried, digest)
+
+            return run
 
         sent = None
-        for height in range(len(self.levels), 1, -1):
-            sent = parents(height, sent).map(lambda x: x[:2])
-        single = self.single.union(to_roots(0)).partitionBy(_parts(self.alone)).mapPartitions(lambda rows: ((v[2], v[1], 0, *m) for _, v, m in _met(rows)))
-        return single.union(parents(1, sent).map(lambda x: (*x[2], x[0][1], *x[1]))) if self.levels else single
+        for r in range(len(self.rounds), 0, -1):
+            whole, parts = self._whole(r), _parts(self.sizes[r - 1])
+            ends = inbox.filter(lambda x, done=whole, less=self._whole(r - 1): done(x[1][0]) and not less(x[1][0])).map(lambda x: (x[0], x[1][1:]))
+            down = (ends if sent is None else ends.union(sent.map(lambda x: x[:2]))).partitionBy(parts)
+            # only the messages move where the blocks still have their partitions
+            sent = self.rounds[r - 1].union(down).partitionBy(parts).mapPartitions(forward(whole))
+        ends = inbox.filter(lambda x: x[1][0] == 1).map(lambda x: (x[0], x[1][1:]))
+        single = self.single.union(ends).partitionBy(_parts(self.alone)).mapPartitions(lambda rows: ((v[2], v[1], 0, *m) for _, v, m in _met(rows)))
+        return single if sent is None else single.union(sent.map(lambda x: (*x[2], x[0][1], *x[1])))
 
 
 def _met(rows: Iterable) -> Iterator[tuple]:
@@ -182,10 +208,10 @@ class Manifest(NamedTuple):
 
     def proofs(self) -> RDD:
         """(what the leaf carries, its digest, (index, count) of its own tree and of the top tree, subroot, path)."""
-        heights = self.top.descend(self.top.roots.map(lambda x: ((x[0], 0), (x[1][1], b"", ()))))
         trees = self.trees
-        inbox = heights.map(lambda x: ((x[0][0], 0), (x[0][2], x[3], (x[1], x[0][1], x[2]))))
-        return self.leaves.descend(inbox).map(lambda x: (x[0], x[1], (x[2], x[4][1]), (x[4][2], trees), x[4][0], x[3]))
+        tops = self.top.descend(self.top.roots.map(lambda x: ((x[0], 0), (x[1][0], b"", ()))))
+        inbox = tops.map(lambda x: ((x[0][0], 0), (x[0][1], x[3], (x[1], x[2], x[0][1]))))
+        return self.leaves.descend(inbox).map(lambda x: (x[0], x[1], (x[2], x[4][2]), (x[4][1], trees), x[4][0], x[3]))
 
     def verified(self) -> RDD:
         """Rows of RESULT. A leaf carries its id and the digest of the row as it is now, None where that is the leaf."""
@@ -199,8 +225,9 @@ class Manifest(NamedTuple):
         return self.proofs().map(verify)
 
 
-def _positions(ordered: RDD) -> RDD:
-    """((tree, index), (count, digest, carried)) of rows (source, doc_id, leaf, now), which are in order of their sources."""
+def _positions(ordered: RDD) -> tuple[RDD, int]:
+    """((tree, index), (count, digest, carried)) of rows (source, doc_id, leaf, now), which are in order of their sources, and
+    how many rows there are."""
 
     def runs(part, rows):
         n, first, last = 0, None, None
@@ -239,7 +266,7 @@ def _positions(ordered: RDD) -> RDD:
         if run:
             yield from out()
 
-    return ordered.mapPartitionsWithIndex(placed)
+    return ordered.mapPartitionsWithIndex(placed), at
 
 
 def build(leaves: DataFrame, arity: int = ARITY) -> Manifest:
@@ -252,17 +279,16 @@ def build(leaves: DataFrame, arity: int = ARITY) -> Manifest:
     order = [F.col("source").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), F.col("leaf").asc(), F.col("row").asc()]
     ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("source", "doc_id", "leaf", "now")
     ordered, _ = _saved(ordered.rdd.map(tuple))
-    nodes, n = _saved(_positions(ordered))
+    nodes, n = _positions(ordered)
     if not n:
         return Manifest(None, 0, 0, None, None)
     forest = Forest(nodes, n, arity)
-    counts = nodes.filter(lambda x: x[0][1] == 0).map(lambda x: (x[0][0], x[1][0]))
-    roots, trees = _saved(forest.roots.join(counts, _parts(forest.trees)).map(lambda x: (x[0], x[1])))
-    ranked = roots.sortByKey(numPartitions=_parts(trees)).zipWithIndex()
-    # one tree of all subroots; each carries its tree's name, count and height
-    subroots, _ = _saved(ranked.map(lambda x: ((0, x[1]), (trees, x[0][1][0][0], (x[0][0], x[0][1][1], x[0][1][0][1])))))
+    trees = forest.trees
+    ranked = forest.roots.sortByKey(numPartitions=_parts(trees)).zipWithIndex()
+    # one tree of all subroots; each carries its tree's name and count
+    subroots, _ = _saved(ranked.map(lambda x: ((0, x[1]), (trees, x[0][1][1], (x[0][0], x[0][1][0])))))
     top = Forest(subroots, trees, arity)
-    return Manifest(top.roots.first()[1][0], n, trees, forest, top)
+    return Manifest(top.roots.first()[1][1], n, trees, forest, top)
 
 
 def manifest_rows(documents: DataFrame, now_col: str = "text") -> DataFrame:
