@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, line_dedup, merkle, ranked
+from . import licenses, line_dedup, merkle, ranked, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,10 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_vptree, op2_decontaminate, op3_licenses, op4_bpe, op5_pii, op6_simhash, op7_pseudo_likelihood, op8_language_id, op9_token_counts, op10_line_dedup, op11_merkle_manifest, op12_ranked_search)}
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
 
-ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses.oracle(), "op10_line_dedup": line_dedup.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_ranked_search": ranked.ORACLE}
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_vptree, op2_decontaminate, op3_licenses, op4_bpe, op5_pii, op6_simhash, op7_pseudo_likelihood, op8_language_id, op9_token_counts, op10_line_dedup, op11_merkle_manifest, op12_ranked_search, op13_warc)}
+
+ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses.oracle(), "op10_line_dedup": line_dedup.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_ranked_search": ranked.ORACLE, "op13_warc": warc.ORACLE}
