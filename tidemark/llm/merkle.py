@@ -15,8 +15,8 @@ Scale: leaves are hashed where the text is (DataFrame functions) and only digest
 partitions of (source, id, digest, row), so that a source with any share of the rows is cut; positions come from the sizes
 and edge sources of the partitions alone, two for each, which is all that reaches the driver besides the root. Paths are
 never sent to leaves: they are made in the blocks of the leaves, which get one path each. Partitions follow the nodes of a
-level. Every superstep upwards is checkpointed, its own job: a lost executor costs a part of one; downwards, supersteps are
-recomputed from these.
+level. The order of the leaves and the subroots are checkpointed; supersteps between them rest on their shuffle files, and a
+lost executor's part of these is made again from the checkpoint, a few steps away.
 
 Edge cases: a null field is '-'; rows with a null id come first within their source; rows of equal (source, id) are ordered
 by digest, and equal rows each get a leaf and a result; a source of one row has its leaf as subroot; one source has its
@@ -78,13 +78,13 @@ def fold(digest: bytes, path: bytes, *trees: tuple[int, int], arity: int = ARITY
     return digest
 
 
-def _saved(rdd: RDD) -> tuple[RDD, int]:
-    """The RDD, checkpointed in the shared folder, and its size. It is kept on disk until the checkpoint has read it."""
+def _saved(rdd: RDD) -> RDD:
+    """The RDD, checkpointed in the shared folder; it is kept on disk until the checkpoint has read it."""
     rdd.persist(StorageLevel.DISK_ONLY)
     rdd.checkpoint()
-    n = rdd.count()
+    rdd.count()
     rdd.unpersist()
-    return rdd, n
+    return rdd
 
 
 def _parts(vertices: int) -> int:
@@ -101,38 +101,26 @@ def climbed(digests: list[bytes], whole: bool, arity: int) -> list[list[bytes]]:
 
 
 class Forest:
-    """Trees that have been climbed: the blocks of each superstep, and the roots.
+    """Trees that have been climbed: the blocks of each superstep, of which the last has the roots.
 
-    leaves: RDD of ((tree, index), (count of the tree's leaves, digest, what the leaf carries))."""
+    leaves: RDD of ((tree, index), (count of the tree's leaves, digest, what the leaf carries)); size: how many there are;
+    largest: leaves of the largest tree. A tree that is done passes its root on as it is."""
 
-    def __init__(self, leaves: RDD, size: int, arity: int = ARITY):
+    def __init__(self, leaves: RDD, size: int, largest: int, arity: int = ARITY):
         self.arity, self.width = arity, arity**STRIDE
-        self.single = leaves.filter(lambda x: x[1][0] == 1)
         self.rounds: list[RDD] = []
-        self.sizes: list[int] = []
-        ends = [self.single.map(lambda x: (x[0][0], (1, x[1][1])))]
-        nodes, held = leaves.filter(lambda x: x[1][0] > 1), size
-        while held:
-            blocks, n = _saved(self._superstep(nodes, held, len(self.rounds)))
-            if not n:
-                break
-            self.rounds.append(blocks)
-            self.sizes.append(held)
-            whole, held = self._whole(len(self.rounds)), n
-            ends.append(blocks.filter(lambda x, whole=whole: whole(x[1][0])).map(lambda x: (x[0][0], x[1][:2])))
-            nodes = blocks.filter(lambda x, whole=whole: not whole(x[1][0])).map(lambda x: (x[0], (*x[1][:2], None)))
-        #: (tree, (count of its leaves, digest of its root)), as many as there are trees
-        self.roots, self.trees = _saved(leaves.context.union(ends))
-        self.alone = 0 if self.rounds and self.trees == 1 else self.single.count()
-
-    def _whole(self, rounds: int):
-        """Whether a tree of count leaves has been climbed after so many supersteps."""
-        width = self.width**rounds
-        return lambda count: count <= width
-
-    def _superstep(self, nodes: RDD, held: int, before: int) -> RDD:
-        """((tree, block), (count, digest, nodes)) of the nodes of unfinished trees."""
-        arity, width, below, whole = self.arity, self.width, self.width**before, self._whole(before + 1)
+        self.parts: list[int] = []
+        nodes = leaves
+        while not self.rounds or largest > self.width ** len(self.rounds):
+            self.parts.append(_parts(-(-size // self.width ** len(self.rounds))))
+            self.rounds.append(self._superstep(nodes, self.parts[-1], len(self.rounds)))
+            nodes = self.rounds[-1].map(lambda x: (x[0], (*x[1][:2], None)))
+        #: ((tree, 0), (count of its leaves, digest of its root, None))
+        self.roots = nodes
+
+    def _superstep(self, nodes: RDD, parts: int, before: int) -> RDD:
+        """((tree, block), (count, digest, nodes)) of all blocks; nodes is None for a tree that was done before."""
+        arity, width, below = self.arity, self.width, self.width**before
 
         def message(node):
             (tree, index), (count, digest, carried) = node
@@ -141,27 +129,33 @@ class Forest:
         def gather(messages):
             inbox: dict = {}
             for (tree, block), (place, count, digest, carried) in messages:
+                if before and count <= below:
+                    yield (tree, block), (count, digest, None)
+                    continue
                 size = min(width, -(-count // below) - width * block)
                 children = inbox.setdefault((tree, block), {})
                 children[place] = (digest, carried)
                 if len(children) == size:  # all are there: the block climbs and sends on what it comes to
-                    own = [inbox[tree, block][i] for i in range(size)]
+                    own = [children[i] for i in range(size)]
                     del inbox[tree, block]
-                    yield (tree, block), (count, climbed([d for d, _ in own], whole(count), arity)[-1][0], own)
+                    yield (tree, block), (count, climbed([d for d, _ in own], count <= below * width, arity)[-1][0], own)
             if inbox:
                 raise RuntimeError(f"{len(inbox)} blocks lack nodes")
 
-        return nodes.map(message).partitionBy(_parts(held)).mapPartitions(gather, True)
+        return nodes.map(message).partitionBy(parts).mapPartitions(gather, True)
 
     def descend(self, inbox: RDD) -> RDD:
-        """(what the leaf carries, its digest, index, path, what its tree was sent) of every leaf. inbox: ((tree, 0), (count
-        of the tree's leaves, path above its root, what all its leaves shall know)). A path is the siblings' digests joined."""
+        """(what the leaf carries, its digest, index, path, what its tree was sent) of every leaf. inbox: ((tree, 0), (path
+        above the tree's root, what all its leaves shall know)). A path is the siblings' digests joined."""
         arity, width = self.arity, self.width
 
-        def forward(whole):
+        def forward(below):
             def run(rows):
-                for (tree, block), (count, _, own), (path, known) in _met(rows):
-                    levels = climbed([d for d, _ in own], whole(count), arity)
+                for (tree, block), (count, digest, own), (path, known) in _met(rows):
+                    if own is None:
+                        yield (tree, block), (path, known), None
+                        continue
+                    levels = climbed([d for d, _ in own], count <= below * width, arity)
                     for i, (digest, carried) in enumerate(own):
                         siblings, at = [], i
                         for level in levels[:-1]:
@@ -172,16 +166,11 @@ class Forest:
 
             return run
 
-        sent = None
-        for r in range(len(self.rounds), 0, -1):
-            whole, parts = self._whole(r), _parts(self.sizes[r - 1])
-            ends = inbox.filter(lambda x, done=whole, less=self._whole(r - 1): done(x[1][0]) and not less(x[1][0])).map(lambda x: (x[0], x[1][1:]))
-            down = (ends if sent is None else ends.union(sent.map(lambda x: x[:2]))).partitionBy(parts)
+        for r in range(len(self.rounds) - 1, -1, -1):
             # only the messages move where the blocks still have their partitions
-            sent = self.rounds[r - 1].union(down).partitionBy(parts).mapPartitions(forward(whole))
-        ends = inbox.filter(lambda x: x[1][0] == 1).map(lambda x: (x[0], x[1][1:]))
-        single = self.single.union(ends).partitionBy(_parts(self.alone)).mapPartitions(lambda rows: ((v[2], v[1], 0, *m) for _, v, m in _met(rows)))
-        return single if sent is None else single.union(sent.map(lambda x: (*x[2], x[0][1], *x[1])))
+            met = self.rounds[r].union(inbox.partitionBy(self.parts[r])).partitionBy(self.parts[r]).mapPartitions(forward(width**r))
+            inbox = met.map(lambda x: x[:2])
+        return met.map(lambda x: (*x[2], x[0][1], *x[1]))
 
 
 def _met(rows: Iterable) -> Iterator[tuple]:
@@ -209,8 +198,8 @@ class Manifest(NamedTuple):
     def proofs(self) -> RDD:
         """(what the leaf carries, its digest, (index, count) of its own tree and of the top tree, subroot, path)."""
         trees = self.trees
-        tops = self.top.descend(self.top.roots.map(lambda x: ((x[0], 0), (x[1][0], b"", ()))))
-        inbox = tops.map(lambda x: ((x[0][0], 0), (x[0][1], x[3], (x[1], x[2], x[0][1]))))
+        tops = self.top.descend(self.top.roots.map(lambda x: (x[0], (b"", ()))))
+        inbox = tops.map(lambda x: ((x[0][0], 0), (x[3], (x[1], x[2], x[0][1]))))
         return self.leaves.descend(inbox).map(lambda x: (x[0], x[1], (x[2], x[4][2]), (x[4][1], trees), x[4][0], x[3]))
 
     def verified(self) -> RDD:
@@ -225,30 +214,34 @@ class Manifest(NamedTuple):
         return self.proofs().map(verify)
 
 
-def _positions(ordered: RDD) -> tuple[RDD, int]:
-    """((tree, index), (count, digest, carried)) of rows (source, doc_id, leaf, now), which are in order of their sources, and
-    how many rows there are."""
+def _positions(ordered: RDD) -> tuple[RDD, int, int, int]:
+    """((tree, index), (count, digest, carried)) of rows (source, doc_id, leaf, now), which are in order of their sources; the
+    number of rows and of trees, and the rows of the largest tree."""
 
     def runs(part, rows):
-        n, first, last = 0, None, None
+        n, trees, most, first, last = 0, 0, 0, None, None
         for row in rows:
             if last is None or row[0] != last[0]:
-                last = [row[0], 0, n]
+                last, trees = [row[0], 0, n], trees + 1
                 first = first or last
             last[1] += 1
-            n += 1
-        yield part, n, [] if first is None else [first] if first is last else [first, last]
+            n, most = n + 1, max(most, last[1])
+        yield part, n, trees, most, [] if first is None else [first] if first is last else [first, last]
 
     start: dict = {}
     total: dict = {}
-    offsets, at = {}, 0
+    offsets, at, trees, largest = {}, 0, 0, 0
     # two sources of each partition at most, whatever the rows
-    for part, n, edges in sorted(ordered.mapPartitionsWithIndex(runs).collect()):
+    for part, n, own, most, edges in sorted(ordered.mapPartitionsWithIndex(runs).collect()):
         offsets[part] = at
-        for source, count, before in edges:
+        trees, largest = trees + own, max(largest, most)
+        for k, (source, count, before) in enumerate(edges):
+            if k == 0 and source in total:
+                trees -= 1
             start.setdefault(source, at + before)
             total[source] = total.get(source, 0) + count
         at += n
+    largest = max([largest, *total.values()])
 
     def placed(part, rows):
         at, run = offsets[part], []
@@ -266,7 +259,7 @@ def _positions(ordered: RDD) -> tuple[RDD, int]:
         if run:
             yield from out()
 
-    return ordered.mapPartitionsWithIndex(placed), at
+    return ordered.mapPartitionsWithIndex(placed), at, trees, largest
 
 
 def build(leaves: DataFrame, arity: int = ARITY) -> Manifest:
@@ -278,17 +271,17 @@ def build(leaves: DataFrame, arity: int = ARITY) -> Manifest:
     parts = _parts(rows.count())
     order = [F.col("source").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), F.col("leaf").asc(), F.col("row").asc()]
     ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("source", "doc_id", "leaf", "now")
-    ordered, _ = _saved(ordered.rdd.map(tuple))
-    nodes, n = _positions(ordered)
+    ordered = _saved(ordered.rdd.map(tuple))
+    nodes, n, trees, largest = _positions(ordered)
     if not n:
         return Manifest(None, 0, 0, None, None)
-    forest = Forest(nodes, n, arity)
-    trees = forest.trees
-    ranked = forest.roots.sortByKey(numPartitions=_parts(trees)).zipWithIndex()
+    forest = Forest(nodes, n, largest, arity)
+    ranked = forest.roots.map(lambda x: (x[0][0], x[1][:2])).sortByKey(numPartitions=_parts(trees)).zipWithIndex()
     # one tree of all subroots; each carries its tree's name and count
-    subroots, _ = _saved(ranked.map(lambda x: ((0, x[1]), (trees, x[0][1][1], (x[0][0], x[0][1][0])))))
-    top = Forest(subroots, trees, arity)
-    return Manifest(top.roots.first()[1][1], n, trees, forest, top)
+    subroots = _saved(ranked.map(lambda x: ((0, x[1]), (trees, x[0][1][1], (x[0][0], x[0][1][0])))))
+    top = Forest(subroots, trees, trees, arity)
+    ((_, (_, root, _)),) = top.roots.collect()  # one row
+    return Manifest(root, n, trees, forest, top)
 
 
 def manifest_rows(documents: DataFrame, now_col: str = "text") -> DataFrame:
