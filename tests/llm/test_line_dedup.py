@@ -79,3 +79,15 @@ def test_any_number_of_batches_gives_the_same(spark, small):
     for batches, fanout in ((1, 2), (5, 3)):
         out, n = ld.kept_lines(docs, batches=batches, fanout=fanout)
         assert by_id((r.doc_id, r[n["n_lines"]], r[n["n_dropped"]], sha(r[n["kept_text"]])) for r in out.collect()) == want
+
+
+def test_a_text_of_many_lines_takes_time_in_proportion(spark):
+    """200,000 lines, half of them dropped; splitting the text for each line would take hours."""
+    import time
+
+    text = "\n".join(f"a line that other documents hold too, number {i // 2}" if i % 2 else f"own {i}" for i in range(200_000))
+    docs = [(1, text, "en"), (2, text.replace("own", "any"), "en"), (3, text.replace("own", "some"), "en")]
+    want = brute([d[:2] for d in docs])
+    began = time.perf_counter()
+    assert rows(ld.line_dedup(documents(spark, docs))) == want
+    assert time.perf_counter() - began < 60

@@ -13,7 +13,8 @@ run. The lines meet the frequent keys in an anti-join of two plain exchanges, wh
 third of all documents; texts are shuffled once, to be put together from their kept lines.
 
 Edge cases: a null or empty text is one empty line; a null doc_id counts as no document and never keeps a frequent line;
-repeated rows (same id, same text) count as one document and each get the same result; a tie is impossible as ids order;
+repeated rows (same id, same text) count as one document and each get the same result; a tie is impossible as ids order; a
+long text takes time in proportion to its length;
 only doc_id and text are read, so other columns cannot clash.
 """
 
@@ -131,11 +132,13 @@ class LineRuns:
 def kept_lines(documents: DataFrame, min_chars: int = MIN_KEY_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
     """documents with n_lines, n_dropped and kept_text, and the names that these columns got."""
     names: dict[str, str] = {}
-    for name in ("n_lines", "n_dropped", "kept_text", "same", "kept"):
+    for name in ("n_lines", "n_dropped", "kept_text", "same", "kept", "lines"):
         names[name] = fresh(name, [*documents.columns, *names.values()])
     text = F.coalesce(F.col(text_col), F.lit(""))
     same = F.xxhash64(text)
-    exploded = documents.select(F.col(id_col).cast("long").alias("doc_id"), same.alias("same"), F.posexplode(split_lines(F.col(text_col))).alias("at", "line"))
+    # hashed and split below the generator, so once for each text and not for each line
+    split = documents.select(F.col(id_col).cast("long").alias("doc_id"), same.alias("same"), split_lines(F.col(text_col)).alias("lines"))
+    exploded = split.select("doc_id", "same", F.posexplode("lines").alias("at", "line"))
     keyed = exploded.select("doc_id", "same", "at", line_key(F.col("line")).alias("key"))
     long = F.length("key") >= min_chars
     hashed = keyed.select("doc_id", "same", "at", F.when(long, F.xxhash64("key")).alias("h1"), F.when(long, F.xxhash64(F.lit(1), F.col("key"))).alias("h2"), F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch"))
@@ -151,7 +154,9 @@ def kept_lines(documents: DataFrame, min_chars: int = MIN_KEY_CHARS, min_docs: i
 
     d, k = documents.withColumn(names["same"], same), kept.select(F.col("doc_id").alias(f"k_{names['same']}"), F.col("same").alias(f"s_{names['same']}"), F.col("kept").alias(names["kept"])).hint("shuffle_hash")
     joined = d.join(k, F.col(id_col).cast("long").eqNullSafe(k[f"k_{names['same']}"]) & (F.col(names["same"]) == k[f"s_{names['same']}"]), "left")
-    all_lines, numbers = split_lines(F.col(text_col)), F.coalesce(F.col(names["kept"]), F.array().cast("array<int>"))
+    # the lines are a column of their own, so that they are split once and not for each number
+    joined = joined.withColumn(names["lines"], split_lines(F.col(text_col)))
+    all_lines, numbers = F.col(names["lines"]), F.coalesce(F.col(names["kept"]), F.array().cast("array<int>"))
     whole = F.size(numbers) == F.size(all_lines)
     rebuilt = F.when(whole, text).otherwise(F.array_join(F.transform(numbers, lambda i: F.get(all_lines, i)), "\n"))
     out = joined.select(*(F.col(c) for c in documents.columns), F.size(all_lines).cast("long").alias(names["n_lines"]), (F.size(all_lines) - F.size(numbers)).cast("long").alias(names["n_dropped"]), rebuilt.alias(names["kept_text"]))
