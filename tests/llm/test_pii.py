@@ -146,3 +146,24 @@ def test_terms_against_brute_force(spark, small):
     want = brute_terms(docs)
     got = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("term")] for r in pii.personal_data(documents(spark, [(i, t, None) for i, t in docs])).collect()}
     assert got == want and sum(map(bool, want.values())) > 20
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    """200,000 words, half of the different ones told, and as many base spans as a text can hold."""
+    import time
+
+    words = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    text = "x@corp.example " + " ".join(("told" if i % 2 else "other") + words(i % 20_000) for i in range(200_000))
+    told = [f"told{words(i)}" for i in range(1, 20_000, 2)]
+    rows_ = spark.createDataFrame([(1, text, told)], "id int, masked string, told array<string>")
+    began = time.perf_counter()
+    (row,) = pii._with_occurrences(rows_).select(__import__("pyspark").sql.functions.size("found_terms").alias("n"), "found_terms").collect()
+    assert time.perf_counter() - began < 40
+    assert row.n == 100_000 and all(text[s.start : s.end].startswith("told") for s in row.found_terms[::997])
+    dense = "write a.b@corp.example or 10.0.0.1 now, " * 20_000
+    began = time.perf_counter()
+    docs = documents(spark, [(1, dense, None), (2, "a clean one", None)])
+    check(pii.personal_data(docs).collect(), {1: dense, 2: "a clean one"})
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean == {1: re.sub("10.0.0.1", "[IP]", dense.replace("a.b@corp.example", "[EMAIL]")), 2: "a clean one"}
+    assert time.perf_counter() - began < 90

@@ -15,7 +15,8 @@ joins read tables of their own, which AQE can split where an entity or a term is
 
 Edge cases: null text counts as empty; repeated rows count as documents of their own and get the same spans; a null id
 is an id like others; an entity in every document discloses nothing (IC = 0); terms inside e-mail addresses are no spans
-of their own; long texts need no recursion, as the patterns are possessive; only doc_id and text are read.
+of their own; long texts need no recursion, as the patterns are possessive, and time in
+proportion to their words; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -40,16 +41,32 @@ PATTERNS = {
 }
 IP_VALUE = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})){3}$"
 BLOCK = 128
+#: Characters of a block of text.
+TEXT_BLOCK = 4096
 
 
-def _sum(numbers: Column) -> Column:
-    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+def _with_running(rows: DataFrame, numbers: str, to: str, step=lambda a, x: a + x) -> DataFrame:
+    """rows with the array column `to`: for each of the numbers, and at the end, what step makes of those before it, from 0.
 
+    In proportion to the numbers: blocks of BLOCK run on their own, then the blocks' ends in blocks, then the ends of these.
+    Each array is a column of its own, so that no lambda computes it anew."""
+    run = lambda values: F.aggregate(values, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(step(F.element_at(a, -1), x))))
+    blocks = lambda values: F.when(F.size(values) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda b: run(F.slice(values, b * BLOCK + 1, BLOCK))))
+    ends = lambda runs: F.transform(runs, lambda r: F.element_at(r, -1))
+    one, two, three, last = (f"{to}_{i}" for i in ("one", "two", "three", "last"))
+    rows = rows.withColumn(one, blocks(F.col(numbers))).withColumn(last, ends(F.col(one))).withColumn(two, blocks(F.col(last)))
+    rows = rows.withColumn(three, run(ends(F.col(two))))
+    before = lambda i: step(F.get(F.col(three), F.floor(i / BLOCK).cast("int")), F.get(F.get(F.col(two), F.floor(i / BLOCK).cast("int")), i % BLOCK))
+    all_but_ends = F.flatten(F.transform(one, lambda r, i: F.transform(F.slice(r, 1, F.size(r) - 1), lambda x: step(before(i), x))))
+    total = F.element_at(F.col(three), -1)
+    rows = rows.withColumn(to, F.when(F.size(numbers) > 0, F.concat(all_but_ends, F.array(total))).when(F.size(numbers) == 0, F.array(F.lit(0))))
+    return rows.drop(one, two, three, last)
 
-def _sums_before(numbers: Column, i: Column) -> Column:
-    """For each index of the array i: the sum of the numbers before it; within blocks of BLOCK, and of whole blocks."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / BLOCK).cast("int")), lambda b: _sum(F.slice(numbers, b * BLOCK + 1, BLOCK)))
-    return F.transform(i, lambda k: _sum(F.slice(blocks, 1, F.floor(k / BLOCK).cast("int"))) + _sum(F.slice(numbers, (k - k % BLOCK) + 1, k % BLOCK)))
+
+def _among(word: Column, sorted_words: Column, powers: Column) -> Column:
+    """Whether the sorted words hold word; powers: of two, downwards, up to their number."""
+    at = F.aggregate(powers, F.lit(0), lambda a, p: F.when((a + p <= F.size(sorted_words)) & (F.get(sorted_words, a + p - 1) <= word), a + p).otherwise(a))
+    return F.when(F.size(sorted_words) <= 16, F.array_contains(sorted_words, word)).otherwise(F.get(sorted_words, at - 1) == word)
 
 
 def _luhn(digits: Column) -> Column:
@@ -88,14 +105,15 @@ def _with_occurrences(rows: DataFrame) -> DataFrame:
     some = F.col("told").isNotNull()
     rows = rows.withColumn("words", F.when(some, F.regexp_extract_all("masked", F.lit(WORD), F.lit(0)))).withColumn("gaps", F.when(some, F.split("masked", WORD, -1)))
     rows = rows.withColumn("advance", F.zip_with(F.slice(gaps, 1, F.size(words)), words, lambda g, w: F.length(g) + F.length(w)))
-    rows = rows.withColumn("numbers", F.when(F.size(words) > 0, F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda k: F.array_contains("told", F.lower(F.get(words, k))))))
-    rows = rows.withColumn("word_at", F.when(F.size(numbers) > 0, _sums_before(F.col("advance"), numbers)))
+    rows = rows.withColumn("sorted_told", F.array_sort("told")).withColumn("powers", F.filter(F.array(*(F.lit(1 << i) for i in range(30, -1, -1))), lambda p: p <= F.size("told")))
+    rows = rows.withColumn("numbers", F.when(F.size(words) > 0, F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda k: _among(F.lower(F.get(words, k)), F.col("sorted_told"), F.col("powers")))))
+    rows = _with_running(rows, "advance", "word_at")
 
-    def span(k: Column, at: Column) -> Column:
-        start = at + F.length(F.get(gaps, k))
+    def span(k: Column) -> Column:
+        start = F.get(F.col("word_at"), k) + F.length(F.get(gaps, k))
         return F.struct(F.lit(TERM).alias("kind"), start.alias("start"), (start + F.length(F.get(words, k))).alias("end"))
 
-    return rows.withColumn("found_terms", F.zip_with(numbers, "word_at", span)).drop("words", "gaps", "advance", "numbers", "word_at")
+    return rows.withColumn("found_terms", F.transform(numbers, span)).drop("words", "gaps", "advance", "sorted_told", "powers", "numbers", "word_at")
 
 
 def _with_spans(rows: DataFrame, number: int, kind: str) -> DataFrame:
@@ -105,7 +123,7 @@ def _with_spans(rows: DataFrame, number: int, kind: str) -> DataFrame:
     advance = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
     rows = rows.withColumn(f"{kind}_gaps", F.when(some, F.split("text", PATTERNS[kind], -1)))
     rows = rows.withColumn(f"{kind}_advance", F.when(some, advance))
-    rows = rows.withColumn(f"{kind}_at", F.when(some, _sums_before(F.col(f"{kind}_advance"), F.sequence(F.lit(0), F.size(found) - 1))))
+    rows = _with_running(rows, f"{kind}_advance", f"{kind}_at")
 
     def span(k: Column) -> Column:
         value = F.get(found, k)
@@ -189,12 +207,23 @@ def sanitise(documents: DataFrame, threshold: float = DISCLOSURE, id_col: str =
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("f_same")))
     mark = lambda kind: reduce(lambda c, x: c.when(kind == x[0], F.lit(f"[{x[1].upper()}]")), enumerate(KINDS), F).otherwise(F.lit(""))
-
-    def step(a: Column, s: Column) -> Column:
-        fresh_part = F.substring("text", a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
-        return F.struct(F.concat(a["out"], fresh_part, F.when(s["start"] >= a["at"], mark(s["kind"])).otherwise(F.lit(""))).alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
-
-    done = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda a: F.concat(a["out"], F.substring("text", a["at"] + 1, F.length("text"))))
+    # the text in blocks, so that no part of it is sought from its beginning
+    joined = joined.withColumn("ends", F.transform("spans", lambda s: s["end"])).withColumn("blocks", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{TEXT_BLOCK}}}"), F.lit(0)))
+    joined = _with_running(joined, "ends", "reached", F.greatest)
+    blocks = F.col("blocks")
+
+    def cut(start: Column, end: Column) -> Column:
+        first, last = F.floor(start / TEXT_BLOCK).cast("int"), F.floor((end - 1) / TEXT_BLOCK).cast("int")
+        head, tail = F.substring(F.get(blocks, first), start % TEXT_BLOCK + 1, F.least(end - start, F.lit(TEXT_BLOCK))), F.substring(F.get(blocks, last), F.lit(1), end - last * TEXT_BLOCK)
+        more = F.when(last > first, F.concat(F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), tail)).otherwise(F.lit(""))
+        return F.when(end > start, F.concat(head, more)).otherwise(F.lit(""))
+
+    def piece(s: Column, i: Column) -> Column:
+        before = F.get(F.col("reached"), i)
+        return F.concat(cut(before, s["start"]), F.when(s["start"] >= before, mark(s["kind"])).otherwise(F.lit("")))
+
+    rest = cut(F.element_at(F.col("reached"), -1), F.length("text"))
+    done = F.concat(F.array_join(F.transform("spans", piece), ""), rest)
     return joined.select("doc_id", F.when(F.col("text").isNotNull(), done).alias("text"))
 
 
