@@ -138,7 +138,19 @@ def test_stances_of_odd_texts(spark):
     assert s.asserted == ["uav"] and s.withdrawn == []
     for t in (None, "", "!!"):
         assert stance(t).asserted == [] and rows(t).select(G.intent(F.col("text"), F.col("stances"))).first()[0] == "none"
-    assert value(spark, G.tokens(F.lit("М'ята 5 x"))) == [("мята", 0, 5), ("5", 6, 7), ("x", 8, 9)] and value(spark, G.tokens(F.lit(""))) == []
+    tokens = lambda t: [tuple(x) for x in G.with_tokens(spark.createDataFrame([(t,)], "text string")).first().tokens]
+    assert tokens("М'ята 5 x") == [("мята", 0, 5), ("5", 6, 7), ("x", 8, 9)] and tokens("") == tokens(None) == []
+    assert tokens("Південно-західний, Івано-Франківськ- -о Зазим´я") == [("південно-західний", 0, 17), ("івано-франківськ", 19, 35), ("о", 38, 39), ("зазимя", 40, 47)]
+
+
+def test_tokens_of_a_long_text_take_time_in_proportion(spark):
+    import time
+
+    text = "слово-друге  it's " * 100_000
+    began = time.perf_counter()
+    (row,) = G.with_tokens(spark.createDataFrame([(text,)], "text string")).select("tokens").collect()
+    assert time.perf_counter() - began < 40 and len(row.tokens) == 200_000 and all(t.end - t.start == len(t.key) + (t.key == "its") for t in row.tokens[-4:])
+    assert text[row.tokens[-1].start : row.tokens[-1].end] == "it's"
 
 
 def test_outlines_of_odd_rings(spark):

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import values as V
+from .folds import with_running_sums
 from .texts import CLASS_PATTERNS
 
 # Denials, withdrawals, absence, anticipation, contrast.
@@ -110,24 +110,30 @@ def commentary_fault(text: Column, facts: Column, classes: Column, known_classes
     return F.coalesce(*(F.when(x.isNotNull(), F.concat(F.lit(f"{kind}: "), x)) for kind, x in (("number", number), ("forecast", lexeme), ("class", odd_class), ("place", odd_place))))
 
 
-def tokens(text: Column) -> Column:
-    """array<struct<key, start, end>>: runs of letters and digits (apostrophes within them belong to them), keys without
-    apostrophes in lower case, places in characters."""
-    word = r"[\p{L}\p{N}]+(?:['’ʼ`][\p{L}\p{N}]+)*"
-    found, gaps = F.regexp_extract_all(text, F.lit(word), F.lit(0)), F.split(text, word, -1)
-    sizes = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, w: F.struct(F.length(g).alias("gap"), F.length(w).alias("word"), w.alias("raw")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<key:string,start:int,end:int>>").alias("out"))
+def token_keys(text: Column) -> Column:
+    """The words of a text in lower case, without apostrophes; hyphens within words belong to them."""
+    return F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(V.WORD), F.lit(0)), lambda w: F.translate(w, V.APOSTROPHES, ""))
+
+
+def with_tokens(messages: DataFrame, text_col: str = "text", to: str = "tokens") -> DataFrame:
+    """messages with array<struct<key, start, end>>: the words of a text, as token_keys gives them, and their places in
+    characters of the lower-case text. Null and empty texts have none; a long text takes time in proportion to it."""
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    rows = messages.withColumn("_words", F.regexp_extract_all(low, F.lit(V.WORD), F.lit(0))).withColumn("_gaps", F.split(low, V.WORD, -1))
+    rows = rows.withColumn("_steps", F.zip_with(F.slice("_gaps", 1, F.size("_words")), "_words", lambda g, w: F.length(g) + F.length(w)))
+    rows = with_running_sums(rows, "_steps", "_at")
 
-    def step(a: Column, x: Column) -> Column:
-        begin = a["at"] + x["gap"]
-        key = F.translate(F.lower(x["raw"]), "'’ʼ`", "")
-        return F.struct((begin + x["word"]).alias("at"), F.concat(a["out"], F.array(F.struct(key.alias("key"), begin.alias("start"), (begin + x["word"]).alias("end")))).alias("out"))
+    def token(word: Column, i: Column) -> Column:
+        end = F.get(F.col("_at"), i + 1)
+        return F.struct(F.translate(word, V.APOSTROPHES, "").alias("key"), (end - F.length(word)).alias("start"), end.alias("end"))
 
-    return F.when(F.size(found) > 0, F.aggregate(sizes, start, step, lambda a: a["out"])).otherwise(F.array().cast("array<struct<key:string,start:int,end:int>>"))
+    return rows.withColumn(to, F.transform("_words", token)).drop("_words", "_gaps", "_steps", "_at")
 
 
-def phrases(words: Column, most: int = 3) -> Column:
-    """array<struct<key, start, end>>: the runs of 1 to `most` tokens in a row, their keys joined by spaces."""
-    of = lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.struct(F.array_join(F.transform(F.slice(words, i, n), lambda w: w["key"]), " ").alias("key"), F.get(words, i - 1)["start"].alias("start"), F.get(words, i + n - 2)["end"].alias("end")))
-    none = F.array().cast("array<struct<key:string,start:int,end:int>>")
-    return reduce(lambda a, b: F.concat(a, b), (F.when(F.size(words) >= n, of(n)).otherwise(none) for n in range(1, most + 1)))
+def with_spans(rows: DataFrame, most: int, tokens: str = "tokens", to: str = "span") -> DataFrame:
+    """A row for each token, its number n and the array of it and those after it, `most` in all at the most; a text without
+    tokens has a row of nulls."""
+    # spans are cut below the generator, which would else copy all tokens for each; outer, as an inner one has the optimiser ask
+    # below all projections whether there are any, and so compute the nested arrays anew
+    cut = rows.withColumn("_spans", F.transform(tokens, lambda t, i: F.slice(F.col(tokens), i + 1, most))).drop(tokens)
+    return cut.select(*[c for c in cut.columns if c != "_spans"], F.posexplode_outer("_spans").alias("n", to))

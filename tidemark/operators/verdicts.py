@@ -48,8 +48,7 @@ def inflections(word: Column) -> Column:
 def spellings(names: DataFrame, most_words: int = 3) -> DataFrame:
     """(form, location_id, type) of (name, location_id, type): every word of a name in each of its forms. A table to be
     built once, so that texts meet names by equality; names of more words are kept as they are."""
-    words = F.transform(S.tokens(F.col("name")), lambda t: t["key"])
-    rows = names.select("location_id", "type", words.alias("_w")).where(F.size("_w") > 0)
+    rows = names.select("location_id", "type", S.token_keys(F.col("name")).alias("_w")).where(F.size("_w") > 0)
     few = rows.where(F.size("_w") <= most_words).withColumn("form", F.lit(""))
     for i in range(most_words):
         word = F.get("_w", F.lit(i))
@@ -59,7 +58,8 @@ def spellings(names: DataFrame, most_words: int = 3) -> DataFrame:
 
 
 def verdicts(messages: DataFrame, forms: DataFrame) -> DataFrame:
-    """(id, intent, threat_type, places, passed, told) of (id, text): intent threat, redirect, de_escalation or none.
+    """(id, intent, threat_type, places, passed, told) of (id, text): intent threat, redirect, de_escalation or none. Without
+    indicators and scope; scoped.scoped_verdicts has these.
 
     A text that asserts a class is a threat (combined, if it asserts several), or a redirect if it names a place that is
     passed and one that comes next; one that only withdraws is a de-escalation. A threat that is told of a finished night

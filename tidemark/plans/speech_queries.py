@@ -174,12 +174,13 @@ ESTIMATES = r"""SELECT doc_id, coalesce(ceil(c / 2.8 + l / 4 + (n - c - l) / 1.5
 
 def token_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many tokens the texts of conversations have, and the sum of their ends."""
-    t = S.tokens(F.col("text"))
-    return B.load(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(t).alias("tokens"), F.aggregate(t, F.lit(0).cast("long"), lambda a, x: a + x["end"]).alias("ends"))
+    rows = S.with_tokens(B.load(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
+    return rows.select("conv_id", "turn", F.size("tokens").alias("tokens"), F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x["end"]).alias("ends"))
 
 
+#: A word goes on while letters and digits do, over one apostrophe or hyphen at a time.
 TOKENS = r"""SELECT conv_id, turn, len(w)::INT AS tokens, coalesce(list_sum(list_transform(range(1, len(w) + 1), lambda k: list_sum(list_transform(w[1:k], lambda x: length(x))) + list_sum(list_transform(g[1:k], lambda x: length(x))))), 0)::BIGINT AS ends
-FROM (SELECT conv_id, turn, regexp_extract_all(text, '[\p{L}\p{N}]+(?:[''’ʼ`][\p{L}\p{N}]+)*') AS w, regexp_split_to_array(text, '[\p{L}\p{N}]+(?:[''’ʼ`][\p{L}\p{N}]+)*') AS g FROM conversations)"""
+FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+([''‘’ʼ`´-][\p{L}\p{Nd}]+)*') AS w, regexp_split_to_array(lower(text), '[\p{L}\p{Nd}]+([''‘’ʼ`´-][\p{L}\p{Nd}]+)*') AS g FROM conversations)"""
 
 
 def name_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
