@@ -13,10 +13,13 @@ NATIONAL = "ua"
 
 
 def attributed(base: DataFrame, bridge: DataFrame, regions: DataFrame) -> DataFrame:
-    """base with region_id: one row for each message and region it names, `ua` for a national message without places."""
-    placed = bridge.where(F.col("role") == "asserted").join(regions, "location_id", "left").select(F.col("classification_id").alias("id"), F.col("region_id").alias("placed_region"))
-    region = F.coalesce("placed_region", F.when(F.col("national_scope"), F.lit(NATIONAL)))
-    return base.join(placed, "id", "left").select(*(F.col(c) for c in base.columns), region.alias("region_id")).distinct()
+    """base with region_id: one row for each message (of an id of its own) and region it names, `ua` for a national message
+    that names a place without a region or none. Regions of a message meet as a set, so that no wide row is made distinct."""
+    placed = bridge.where(F.col("role") == "asserted").join(regions, "location_id", "left")
+    sets = placed.groupBy(F.col("classification_id").alias("id")).agg(F.collect_set(F.coalesce("region_id", F.lit(""))).alias("_regions"))
+    rows = base.join(sets, "id", "left").select(*(F.col(c) for c in base.columns), F.explode_outer("_regions").alias("_region"))
+    region = F.coalesce(F.when(F.col("_region") != "", F.col("_region")), F.when(F.col("national_scope"), F.lit(NATIONAL)))
+    return rows.select(*(F.col(c) for c in base.columns), region.alias("region_id"))
 
 
 def threat_dynamics(archive: DataFrame, bridge: DataFrame, locations: DataFrame, regions: DataFrame, window: AnalyticsWindow) -> DataFrame:
@@ -215,13 +218,13 @@ def version_safety(archive: DataFrame, window: AnalyticsWindow) -> DataFrame:
     return rows.select(F.array_join("versions", ",").alias("versions"), (F.size("versions") <= 1).alias("comparable"), "unattributed")
 
 
-def strategic_overview(tables: dict[str, DataFrame], window: AnalyticsWindow) -> dict[str, DataFrame]:
-    """The slices that a reader of the whole archive asks for together."""
+def strategic_overview(tables: dict[str, DataFrame], window: AnalyticsWindow, losses: AnalyticsWindow | None = None) -> dict[str, DataFrame]:
+    """The slices that a reader of the whole archive asks for together; losses: a window of their own for loss points."""
     t = tables
     return {
         "threat_dynamics": threat_dynamics(t["archive"], t["bridge"], t["locations"], t["regions"], window),
         "geography_shift": geography_shift(t["archive"], t["bridge"], t["locations"], t["regions"], window),
-        "loss_points": loss_points(t["assertions"], t["archive"], t["regions"], window),
+        "loss_points": loss_points(t["assertions"], t["archive"], t["regions"], losses or window),
         "source_performance": source_performance(t["archive"], t["sources"], window),
         "composition_share": composition_share(t["archive"], window),
         "archive_coverage": archive_coverage(t["archive"]),

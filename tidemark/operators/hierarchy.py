@@ -1,7 +1,8 @@
 """The place tree as a closure table (ancestor, descendant, depth), and what is asked of it.
 
-The closure is built level by level over the places with children, as deep as the tree is (eight at most), each level kept
-for the next one and for the union; it is a few rows a place. Joins with it are left to Spark, which broadcasts a side that its statistics prove small."""
+The closure climbs the places with children up to eight levels, all in one lazy plan whose joins share one exchange of these
+places' parents; it is a few rows a place. Joins with it are left to Spark, which broadcasts a side that its statistics prove
+small."""
 
 from __future__ import annotations
 
@@ -14,18 +15,16 @@ TERMINAL = ("oblast", "special_city", "country")
 def closure(locations: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
     """(descendant_id, ancestor_id, depth); depth 0 is the place itself. A path that comes back to a place ends there.
 
-    Only places with children are climbed level by level; the many leaves then take their parent's rows in one join."""
+    Only places with children are climbed, in one chain of joins with their parents; the many leaves then take their parent's
+    rows in one join. Nothing runs before the result is asked for."""
     parents = locations.where(F.col("parent_id").isNotNull()).select(F.col("id").alias("child"), "parent_id")
-    inner = parents.select(F.col("parent_id").alias("id")).distinct()
-    steps = inner.join(parents, F.col("id") == F.col("child")).select("child", "parent_id").persist()
-    level = inner.select(F.col("id").alias("inner_id"), F.col("id").alias("top_id"), F.array("id").alias("path"))
-    climbed = level.select("inner_id", "top_id", F.lit(0).alias("up"))
-    for up in range(1, most_depth):
-        level = level.join(steps, F.col("top_id") == F.col("child")).where(~F.array_contains("path", F.col("parent_id")))
-        level = level.select("inner_id", F.col("parent_id").alias("top_id"), F.concat("path", F.array("parent_id")).alias("path")).persist()
-        if level.isEmpty():
-            break
-        climbed = climbed.unionByName(level.select("inner_id", "top_id", F.lit(up).alias("up")))
+    inner = parents.select(F.col("parent_id").alias("inner_id")).distinct()
+    steps = parents.join(inner, F.col("child") == F.col("inner_id"), "left_semi").select(F.col("child").alias("below"), F.col("parent_id").alias("next"))
+    paths = inner.select("inner_id", F.col("inner_id").alias("top"), F.array("inner_id").alias("path"))
+    for _ in range(1, most_depth):
+        met = paths.join(steps, (F.col("top") == F.col("below")) & ~F.array_contains("path", F.col("next")), "left")
+        paths = met.select("inner_id", F.col("next").alias("top"), F.when(F.col("next").isNotNull(), F.concat("path", F.array("next"))).otherwise(F.col("path")).alias("path"))
+    climbed = paths.select("inner_id", F.posexplode_outer("path").alias("up", "top_id"))
     above = parents.join(climbed, F.col("parent_id") == F.col("inner_id")).where(F.col("child") != F.col("top_id"))
     own = locations.select(F.col("id").alias("descendant_id"), F.col("id").alias("ancestor_id"), F.lit(0).alias("depth"))
     return own.unionByName(above.select(F.col("child").alias("descendant_id"), F.col("top_id").alias("ancestor_id"), (F.col("up") + 1).alias("depth")))

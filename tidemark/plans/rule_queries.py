@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -12,7 +13,7 @@ from ..operators import archive as A, delivery as Q, evaluation as E, hierarchy
 from ..params import AnalyticsWindow, hour_band
 from ..sources import feeds
 from ..streaming import messages as L
-from . import binding as B
+from . import archive_queries, binding as B
 from .binding import ARCHIVE_SQL as MC, LOCATIONS_SQL as LOC, TREE_SQL as TREE, r, stamp, with_sql
 from .record_queries import EV, _events, _id
 
@@ -239,16 +240,20 @@ def notification_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.threat_decisions(rows, "tie").groupBy("chat_id", "action").agg(F.count("*").alias("times"))
 
 
+#: A count of each slice that is added up.
+MEASURES = {"threat_dynamics": "messages", "geography_shift": "current_messages", "loss_points": "withdrawals", "source_performance": "messages", "composition_share": "messages", "archive_coverage": "messages"}
+
+
 def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many rows each slice of the strategic overview has."""
+    """Rows of each slice of the strategic overview, and the sum of one of its counts."""
     places = B.locations(spark, sf_dir)
-    window = AnalyticsWindow.resolve(datetime(2024, 1, 30), datetime(2024, 1, 15), datetime(2024, 1, 25))
     tables = {"archive": B.archive(spark, sf_dir), "bridge": B.bridge(spark, sf_dir), "locations": places, "regions": H.rollup(places, H.closure(places)), "assertions": B.assertions(spark, sf_dir), "sources": B.sources(spark, sf_dir)}
-    slices = [rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("slice"), (F.col("n") > 0).alias("some")) for name, rows in A.strategic_overview(tables, window).items()]
-    out = slices[0]
-    for x in slices[1:]:
-        out = out.unionByName(x)
-    return out
+    slices = A.strategic_overview(tables, B.WINDOW, B.LOSS_WINDOW)
+    counted = [rows.agg(F.count("*").alias("rows"), F.sum(MEASURES[name]).cast("long").alias("total")).select(F.lit(name).alias("slice"), "rows", "total") for name, rows in slices.items()]
+    return reduce(DataFrame.unionByName, counted)
+
+
+OVERVIEW = " UNION ALL ".join(f"SELECT '{name}' AS slice, count(*) AS rows, sum({measure})::BIGINT AS total FROM ({archive_queries.QUERIES[name][1]})" for name, measure in MEASURES.items())
 
 
 QUERIES = {
@@ -272,5 +277,5 @@ QUERIES = {
     "feed_maps": (feed_maps, MAPS),
     "layer_outlines": (layer_outlines, LAYERS),
     "notification_actions": (notification_actions, None),
-    "overview": (overview, None),
+    "overview": (overview, OVERVIEW),
 }
