@@ -158,3 +158,21 @@ def test_outlines_of_odd_rings(spark):
     assert value(spark, P.centroid(ring((3, 4), (3, 4)))) == (3.0, 4.0) and value(spark, P.centroid(ring())) is None
     assert value(spark, P.sane_ring(ring((0, 0), (1, 1)))) is None and value(spark, P.sane_ring(ring((200, 0)))) is None
     assert len(value(spark, P.sane_ring(ring((0, 0), (0, 0), (1, 0), (1, 1))))) == 4
+
+
+def test_hot_keys_are_cut(spark):
+    """One class in most rows: stretches by slots as by one window over the class; the newest events of a territory are
+    limited before they are shuffled."""
+    from pyspark.sql import Window
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).when(F.col("id") % 7 > 0, F.concat(F.lit("t"), F.col("id") % 5)).alias("threat_type"), ((F.col("id") * F.col("id") * 7919) % 90_000_000).alias("us_at"), F.col("id").cast("string").alias("id"))
+    order = Window.partitionBy("threat_type").orderBy("us_at", "id")
+    new = F.coalesce(F.col("us_at") - F.lag("us_at").over(order) >= 60_000, F.lit(True))
+    want = rows.withColumn("n", F.when(new, 1).otherwise(0)).withColumn("stretch", F.sum("n").over(order)).select("id", "stretch")
+    got = W._with_stretches(rows, 60_000, 1_000_000).select("id", "stretch")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.select("stretch").distinct().count() > 50
+    threats = spark.createDataFrame([(f"e{i}", "c", "uav", "mentioned", "official", None, T0 + timedelta(minutes=i)) for i in range(40)], "event_id string, location_id string, threat_type string, relation string, evidence string, direction string, observed_at timestamp")
+    tree = spark.createDataFrame([("c", "c", 0), ("c", "ua", 1)], "descendant_id string, ancestor_id string, depth int")
+    state = P.territory_state(threats, tree)
+    assert state._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
+    assert [(r.territory_id, r.events, r.event_ids[0], len(r.event_ids)) for r in state.orderBy("territory_id").collect()] == [("c", 40, "e39", 8), ("ua", 40, "e39", 8)]

@@ -34,35 +34,35 @@ def _any(pattern: str) -> str:
     return f"(?iu){pattern}"
 
 
-def _stances_of_clauses(text: Column, patterns: list[tuple[str, str]]) -> Column:
-    """array<struct<name, asserted, withdrawn>> of what each clause names."""
-    denial = f"(?:{NEGATION}|{DE_ESCALATION})"
-    parts = F.split(F.coalesce(text, F.lit("")), _any(f"{CLAUSE_END}|{CONTRAST}"), -1)
-
-    def stances(part: Column) -> Column:
-        head = F.get(F.split(part, _any(denial), 2), F.lit(0))  # no denial stands before what is named here
-
-        def stance(name: str, pattern: str) -> Column:
+def with_stances(messages: DataFrame, text_col: str = "text", to: str = "stances", patterns: list[tuple[str, str]] = CLASS_PATTERNS) -> DataFrame:
+    """messages with struct<asserted, withdrawn>: the classes that a text names, by whether their clause denies them; a
+    class named twice may be in both. A denial or withdrawal reaches forward to the end of its clause and back over REACH
+    characters, and never across a contrast. Null texts name nothing. Clauses are read for the classes alone that a text
+    holds at all."""
+    denial = _any(f"(?:{NEGATION}|{DE_ESCALATION})")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    held = [text.rlike(_any(p)) for _, p in patterns]
+    # columns of their own, so that they are computed once; no denial stands before what a clause's head names
+    rows = messages.withColumn("_held", F.array(*held))
+    rows = rows.withColumn("_parts", F.when(F.array_contains("_held", True), F.split(text, _any(f"{CLAUSE_END}|{CONTRAST}"), -1)))
+    rows = rows.withColumn("_heads", F.transform("_parts", lambda part: F.get(F.split(part, denial, 2), F.lit(0))))
+
+    def stances(name: str, pattern: str) -> Column:
+        last = pattern.count("(") - pattern.count("(?") + 1  # the group after the pattern's own ones
+
+        def stance(part: Column, head: Column) -> Column:
             free = F.regexp_count(head, F.lit(_any(pattern)))
-            last = pattern.count("(") - pattern.count("(?") + 1  # the group after the pattern's own ones
             after = F.regexp_extract_all(part, F.lit(_any(f"(?>{pattern})(?=([\\s\\S]{{0,{REACH}}}))")), F.lit(last))
-            denied = F.filter(F.slice(after, F.lit(1), free), lambda x: x.rlike(_any(denial)))
+            denied = F.filter(F.slice(after, F.lit(1), free), lambda x: x.rlike(denial))
             found = F.struct(F.lit(name).alias("name"), (free > F.size(denied)).alias("asserted"), (F.size(after) > free - F.size(denied)).alias("withdrawn"))
-            return F.when(part.rlike(_any(pattern)), found)  # most clauses name none of the classes
+            return F.when(part.rlike(_any(pattern)), found)
 
-        return F.array_compact(F.array(*(stance(n, p) for n, p in patterns)))
+        return F.array_compact(F.zip_with("_parts", "_heads", stance))
 
-    return F.flatten(F.transform(parts, stances))
-
-
-def with_stances(messages: DataFrame, text_col: str = "text", to: str = "stances", patterns: list[tuple[str, str]] = CLASS_PATTERNS) -> DataFrame:
-    """messages with struct<asserted, withdrawn>: the classes that a text names, by whether their clause denies them; a
-    class named twice may be in both. A denial or withdrawal reaches forward to the end of its clause and back over REACH
-    characters, and never across a contrast. Null texts name nothing."""
+    every = F.flatten(F.array_compact(F.array(*(F.when(F.get("_held", F.lit(i)), stances(n, p)) for i, (n, p) in enumerate(patterns)))))
+    rows = rows.withColumn("_every", every)
     pick = lambda field: F.array_sort(F.array_distinct(F.transform(F.filter("_every", lambda x: x[field]), lambda x: x["name"])))
-    # a column of its own, so that it is computed once for both
-    rows = messages.withColumn("_every", _stances_of_clauses(F.col(text_col), patterns))
-    return rows.withColumn(to, F.struct(pick("asserted").alias("asserted"), pick("withdrawn").alias("withdrawn"))).drop("_every")
+    return rows.withColumn(to, F.struct(pick("asserted").alias("asserted"), pick("withdrawn").alias("withdrawn"))).drop("_held", "_parts", "_heads", "_every")
 
 
 def intent(text: Column, stances: Column) -> Column:

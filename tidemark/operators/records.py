@@ -102,16 +102,31 @@ def backoff_seconds(failures: Column, base: int, most: int) -> Column:
     return F.least(F.lit(base) * F.pow(F.lit(2), F.least(failures, F.lit(30))), F.lit(most)).cast("long")
 
 
-def merged_events(messages: DataFrame, live_seconds: int = 1800) -> DataFrame:
+def _with_stretches(rows: DataFrame, gap: int, slot: int) -> DataFrame:
+    """rows (threat_type, us_at, id) with stretch: a number for each run of a class without a silence of gap microseconds.
+
+    Within slots of time, which no class fills alone; what goes from slot to slot is one row for each."""
+    key, same = ["threat_type", "slot"], F.col("r.threat_type").eqNullSafe(F.col("s.threat_type")) & (F.col("r.slot") == F.col("s.slot"))
+    rows = rows.withColumn("slot", F.floor(F.col("us_at") / slot))
+    by_slot = Window.partitionBy("threat_type").orderBy("slot")
+    slots = rows.groupBy(*key).agg(F.max("us_at").alias("last_at")).select(*key, F.lag("last_at").over(by_slot).alias("before_at"))
+    in_slot = Window.partitionBy(*key).orderBy("us_at", "id")
+    met = rows.alias("r").join(slots.alias("s"), same).select("r.*", "before_at")
+    since = F.col("us_at") - F.coalesce(F.lag("us_at").over(in_slot), F.col("before_at"))
+    begun = met.withColumn("begins", F.when(F.coalesce(since >= gap, F.lit(True)), 1).otherwise(0)).drop("before_at")
+    earlier = begun.groupBy(*key).agg(F.sum("begins").alias("own")).select(*key, F.coalesce(F.sum("own").over(by_slot.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    numbered = begun.withColumn("within", F.sum("begins").over(in_slot)).alias("r").join(earlier.alias("s"), same).select("r.*", "earlier")
+    return numbered.withColumn("stretch", F.col("earlier") + F.col("within")).drop("slot", "begins", "within", "earlier")
+
+
+def merged_events(messages: DataFrame, live_seconds: int = 1800, slot_seconds: int = 21_600) -> DataFrame:
     """messages with event_key and created: a message joins the live event of its class that was seen last among those
     which share a place with it and were seen within live_seconds, else it makes one, whose key is its id. messages: (id,
     threat_type, published_at, places array). After a silence of live_seconds in a class nothing is live, so each stretch
-    between silences is folded on its own; what a fold keeps are the live events of one stretch. Messages without places
-    make events that nothing joins."""
-    order = Window.partitionBy("threat_type").orderBy("published_at", "id")
-    new = F.unix_micros("published_at") - F.unix_micros(F.lag("published_at").over(order)) >= live_seconds * 1_000_000
-    rows = messages.withColumn("us_at", F.unix_micros("published_at")).withColumn("begins_stretch", F.when(F.coalesce(new, F.lit(True)), 1).otherwise(0))
-    rows = rows.withColumn("stretch", F.sum("begins_stretch").over(order))
+    between silences is folded on its own, wherever a class may have a third of all messages; what a fold keeps are the live
+    events of one stretch. A class that is never silent is one stretch, as each of its messages may depend on all before.
+    Messages without places make events that nothing joins."""
+    rows = _with_stretches(messages.withColumn("us_at", F.unix_micros("published_at")), live_seconds * 1_000_000, slot_seconds * 1_000_000)
 
     def step(live: Any, row: Any) -> tuple[Any, tuple]:
         places = set(row.places) if row.places is not None else set()
@@ -124,4 +139,4 @@ def merged_events(messages: DataFrame, live_seconds: int = 1800) -> DataFrame:
         return [*live, (row.us_at, best[1], best[2] | places)], (best[1], False)
 
     folded = ordered_fold(rows, ["threat_type", "stretch"], ["published_at", "id"], step, "event_key string, created boolean")
-    return folded.drop("us_at", "begins_stretch", "stretch")
+    return folded.drop("us_at", "stretch")

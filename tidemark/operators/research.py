@@ -88,12 +88,14 @@ def movement_facts(evidence: DataFrame, n: int = 12) -> DataFrame:
     return one.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n)
 
 
-def recommended_channels(channels: DataFrame, near: DataFrame) -> DataFrame:
+def recommended_channels(channels: DataFrame, near: DataFrame, chunks: int = 64) -> DataFrame:
     """(location_id, channel_id): channels of the whole country and those of a related place, for each place that `near`
-    (root_id, location_id) relates. The channels of the country are a few rows, each of them beside every place."""
+    (root_id, location_id) relates. Those of the country are beside every place: they are dealt to chunks, which meet the
+    places by their numbers, so that no row holds all of them and none must be broadcast."""
     local = channels.where(F.col("location_id").isNotNull()).join(near, "location_id").select(F.col("root_id").alias("location_id"), "channel_id")
-    everywhere = channels.where(F.col("location_id").isNull()).agg(F.collect_set("channel_id").alias("all"))
-    national = near.select(F.col("root_id").alias("location_id")).distinct().join(F.broadcast(everywhere), F.lit(True)).select("location_id", F.explode("all").alias("channel_id"))
+    everywhere = channels.where(F.col("location_id").isNull()).groupBy(F.pmod(F.xxhash64("channel_id"), F.lit(chunks)).alias("chunk")).agg(F.collect_set("channel_id").alias("some"))
+    places = near.select(F.col("root_id").alias("location_id")).distinct().select("location_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"))
+    national = places.join(everywhere, "chunk").select("location_id", F.explode("some").alias("channel_id"))
     return local.unionByName(national).distinct()
 
 
