@@ -38,28 +38,90 @@ def test_numerals_and_marks_are_no_letters(spark):
     assert got[60] == got[61] == "und" and (got[62] == "und") == (not "ªº".isalpha())
 
 
+def sampled(spark, rows, *bounds):
+    return [(r.text, r.kind) for r in li.sample(documents(spark, rows), "doc_id", "text", "lang", *bounds).collect()]
+
+
 def test_sample_is_bounded_and_whole_below_the_bound(spark):
     rows = [(i, f"text number {i}", "a" if i % 10 else "b") for i in range(3000)]
-    got = li.sample(documents(spark, rows), "doc_id", "text", "lang", 50)
+    got = sampled(spark, rows, 50)
     assert [x[1] for x in got].count("a") == 50 and len(got) == 100
-    assert len({tuple(p) for p, _ in li.sample(documents(spark, rows[:40]), "doc_id", "text", "lang", 50)}) == 40
+    assert len({p for p, _ in sampled(spark, rows[:40], 50)}) == 40
     equal = [(1, "the same row", "a")] * 500 + [(2, "another", "b")]
-    assert sorted(x[1] for x in li.sample(documents(spark, equal), "doc_id", "text", "lang", 5)) == ["a"] * 5 + ["b"]
+    assert sorted(x[1] for x in sampled(spark, equal, 5)) == ["a"] * 5 + ["b"]
 
 
 def test_every_label_is_learned(spark):
-    """Far more labels than there were once allowed, each of one row; over the bound they are an error."""
-    rows = [(i, f"text of label {i}", f"l{i}") for i in range(600)]
-    assert {x[1] for x in li.sample(documents(spark, rows), "doc_id", "text", "lang", 400, 600)} == {f"l{i}" for i in range(600)}
-    with pytest.raises(ValueError):
-        li.sample(documents(spark, rows), "doc_id", "text", "lang", 400, 599)
+    """Any number of labels, over the sample's bound too; what the driver holds is the model and sums of its size."""
+    syllable = lambda i: "".join("bcdfghjklm"[int(c)] + "aeiou"[int(c) % 5] for c in f"{i:03}")
+    rows = [(i * 4 + j, " ".join(f"{syllable(i)}{syllable(i * 7 % 500)}{x}" for x in range(j, j + 12)), f"l{i}") for i in range(500) for j in range(4)]
+    assert {x[1] for x in sampled(spark, rows, 400, 499)} == {f"l{i}" for i in range(500)} and len(sampled(spark, rows, 400, 499)) == 500
+    model = li.fit(li.sample(documents(spark, rows), "doc_id", "text", "lang"))
+    assert len(model.languages) == 500 and model.weights.nbytes < 60e6
+    best = model.margins([t.encode() for _, t, _ in rows[::17]]).argmax(axis=1)
+    assert np.mean([model.languages[b] == r[2] for b, r in zip(best, rows[::17])]) > 0.9
 
 
-def test_pieces_come_from_the_whole_text(spark):
+def test_sampled_texts_are_whole(spark):
     text = "".join(chr(0x4E00 + i) for i in range(20_000))
-    ((pieces, _),) = li.sample(documents(spark, [(1, text, "zh")]), "doc_id", "text", "lang")
-    assert len(pieces) == li.PIECES and pieces[0] == text[: li.PIECE_BYTES] and pieces[-1] == text[-li.PIECE_BYTES :]
-    assert len({text.index(x) for x in pieces}) == li.PIECES and all(x in text for x in pieces)
+    assert sampled(spark, [(1, text, "zh")]) == [(text, "zh")]
+    pieces = li.landmark_pieces(li.sample(documents(spark, [(1, text, "zh")]), "doc_id", "text", "lang"), 5)
+    assert len(pieces) == 5 and text.encode().find(pieces[0][1]) >= 0
+
+
+def test_sums_of_tasks_are_the_regression_over_all_pieces(spark, small):
+    """Against one dense solution over all pieces, with targets spelled out."""
+    rows = [(i, t, lang) for i, t, lang in read(small, "documents", "doc_id, text, lang") if t and lang and any(c.isalpha() for c in t)]
+    picked = li.sample(documents(spark, rows), "doc_id", "text", "lang").repartition(7)
+    model = li.fit(picked, 40)
+    pieces = [(p, r.kind) for r in picked.collect() for p in li.cut_pieces(r.text.encode())]
+    marks = li.presence([p for _, p in li.landmark_pieces(picked, 40 // len(model.languages))])
+    values, vectors = np.linalg.eigh((marks @ marks.T).astype(float))
+    keep = values > 1e-6 * values[-1]
+    z = (li.presence([p for p, _ in pieces]) @ marks.T).astype(float) @ (vectors[:, keep] / np.sqrt(values[keep]))
+    t = np.array([[1.0 if k == name else -1.0 for name in model.languages] for _, k in pieces])
+    n = {name: sum(k == name for _, k in pieces) for name in model.languages}
+    w = np.array([len(pieces) / (n[k] * len(n)) for _, k in pieces])
+    zm, tm = np.average(z, axis=0, weights=w), np.average(t, axis=0, weights=w)
+    beta = np.linalg.solve(((z - zm) * w[:, None]).T @ (z - zm) + li.RIDGE * len(pieces) * np.eye(z.shape[1]) / z.shape[1], ((z - zm) * w[:, None]).T @ (t - tm))
+    got = li.presence([p for p, _ in pieces]) @ model.weights + model.bias
+    assert np.abs(got - ((z - zm) @ beta + tm)).max() < 1e-3
+
+
+def test_predictions_against_a_plain_product(spark, small):
+    """Every document of the query by dictionaries of n-grams and the model's weights, one at a time."""
+    df = spark.read.parquet(f"{small}/documents.parquet")
+    model = li.trained(df)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in li.language_id(df).collect()}
+    starts = np.cumsum([0, *(1 << b for b in li.BITS)])
+
+    def margins(text):
+        out, size = np.zeros(len(model.languages)), 0
+        for piece in li.cut_pieces(text.encode()):
+            low = bytes(c + 32 if 65 <= c <= 90 else c for c in piece)
+            row = model.bias.copy()
+            for n, b in enumerate(li.BITS, 1):
+                places = set()
+                for i in range(len(low) - n + 1):
+                    code = 0
+                    for c in low[i : i + n]:
+                        code = (code * 257 + c + 1) % 2**32
+                    places.add((code * 2654435761 % 2**32) >> (32 - b))
+                row += sum(model.weights[starts[n - 1] + p].astype(float) for p in sorted(places)) / np.sqrt(max(len(places), 1) * len(li.BITS)) if places else 0
+            out += row * len(piece)
+            size += len(piece)
+        return out / max(size, 1)
+
+    for doc_id, text in read(small, "documents", "doc_id, text"):
+        if not text or not li.LETTER.search(text):
+            assert got[doc_id] == ("und", 0)
+            continue
+        m = margins(text)
+        e = np.exp(4 * (m - m.max()))
+        top = np.sort(e / e.sum())[::-1]
+        if len(top) < 2 or top[0] - top[1] > 1e-4:
+            assert got[doc_id][0] == model.languages[m.argmax()]
+        assert got[doc_id][1] == pytest.approx(top[0], abs=1e-4)
 
 
 def test_leads_do_not_depend_on_the_number_of_languages():

@@ -7,14 +7,15 @@ Landmark texts span a Nyström feature space; a one-versus-rest kernel ridge reg
 of labelled rows. As the classifier is linear in the kernel values, landmarks and coefficients are multiplied once, and a
 batch of texts is scored by one product of its presence matrix with that.
 
-Scale: the model is fitted once, on ROWS_PER_LANGUAGE rows of each language, fewer where there are so many languages that
-these would be over SAMPLE_ROWS, and PIECES pieces of each text, spread from its beginning to its end. One pass counts the
-labels, a second one takes the rows with the smallest hashes. No language is left out. The model is a few MB for a few
-languages and grows with their number alone; the corpus is then scored, whole texts, in one pass without a shuffle.
+Scale: the model is fitted once, on whole texts of ROWS_PER_LANGUAGE rows of each language, fewer where there are so many
+languages that these would be over SAMPLE_ROWS, but one at least. One pass counts the labels, a second one takes the rows
+with the smallest hashes into a table; tasks add up its normal equations. No language is left out, and landmarks follow the
+languages. The model is a few MB for a few languages and grows with their number alone (about 85 kB each); the corpus is then
+scored, whole texts, in one pass without a shuffle.
 
 Edge cases: a null text, or one without a letter, gets ``und`` and score 0; without any labelled row every text does;
 null labels are not learned from; ties go to the language that sorts first; repeated rows each get their row; only the
-id, the text and, for fitting, the label are read. More than SAMPLE_ROWS labels are an error.
+id, the text and, for fitting, the label are read.
 """
 
 from __future__ import annotations
@@ -27,11 +28,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .common import fresh, sliced
+from .common import fresh, materialise, sliced
 
-#: Bounds of the sample that the classifier is fitted on, and pieces taken of each sampled text.
-ROWS_PER_LANGUAGE, SAMPLE_ROWS, PIECES = 400, 40_000, 8
-LANDMARKS, RIDGE = 192, 1e-2
+#: Bounds of the sample of labelled rows that the classifier is fitted on.
+ROWS_PER_LANGUAGE, SAMPLE_ROWS = 400, 40_000
+#: Landmarks in all, and of each language at least.
+LANDMARKS, LEAST_LANDMARKS, RIDGE = 192, 2, 1e-2
+#: Labels whose limits are broadcast to the tasks that sample.
+MAX_BROADCAST = 100_000
 #: n-grams of 1, 2, 3, 4 bytes are hashed into 2^b places.
 BITS = (9, 12, 13, 13)
 #: A text is cut into pieces of so many bytes whose scores are averaged: presence says less the longer a text is.
@@ -110,73 +114,104 @@ def leads(margin: np.ndarray) -> np.ndarray:
     return best - (margin.sum(axis=1) - best) / (n - 1) if n > 1 else np.full(len(margin), np.inf)
 
 
-def fit(rows: list[tuple[list[str], str]], landmarks: int = LANDMARKS, ridge: float = RIDGE, seed: int = 11) -> Model | None:
-    """rows: (pieces of a text, language), few enough for one process."""
-    pieces, labels = [], []
-    for parts, language in rows:
-        for part in parts:
-            if LETTER.search(part):
-                own = cut_pieces(part.encode())
-                pieces += own
-                labels += [language] * len(own)
-    if not pieces:
-        return None
-    languages = sorted(set(labels))
-    y = np.array([languages.index(v) for v in labels])
-    rng = np.random.default_rng(seed)
-    chosen = np.concatenate([rng.permutation(np.flatnonzero(y == c))[: max(1, landmarks // len(languages))] for c in range(len(languages))])
-    marks = presence([pieces[i] for i in chosen])
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(float))
-    keep = values > 1e-6 * values[-1]
-    whiten = vectors[:, keep] / np.sqrt(values[keep])
-    kernel = np.concatenate([presence(pieces[i : i + 256]) @ marks.T for i in range(0, len(pieces), 256)])
-    z = kernel.astype(float) @ whiten
-    target = np.where(y[:, None] == np.arange(len(languages)), 1.0, -1.0)
-    share = np.bincount(y, minlength=len(languages)) / len(y)
-    row_weight = 1 / (share[y] * len(languages))
-    mean_z, mean_t = np.average(z, axis=0, weights=row_weight), np.average(target, axis=0, weights=row_weight)
-    zc, tc = (z - mean_z) * np.sqrt(row_weight)[:, None], (target - mean_t) * np.sqrt(row_weight)[:, None]
-    beta = np.linalg.solve(zc.T @ zc + ridge * len(y) * np.eye(zc.shape[1]) / zc.shape[1], zc.T @ tc)
-    return Model(languages, marks.T @ (whiten @ beta).astype(np.float32), mean_t - mean_z @ beta)
-
-
-def spread_pieces(text: Column, pieces: int = PIECES, size: int = PIECE_BYTES) -> Column:
-    """The whole text as one piece if it is short, else that many pieces at even distances, the first at the beginning and
-    the last at the end."""
-    step = (F.length(text) - size) / F.lit(pieces - 1)
-    cut = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(text, F.floor(i * step).cast("int") + 1, F.lit(size)))
-    return F.when(F.length(text) <= pieces * size, F.array(text)).otherwise(cut)
-
-
-def sample(labelled: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = ROWS_PER_LANGUAGE, most: int = SAMPLE_ROWS) -> list[tuple[list[str], str]]:
-    """(pieces, label) of the rows with the smallest hashes of id and text, at most `rows` of each label and about `most`
-    in all, but one of each label at least."""
+def sample(labelled: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = ROWS_PER_LANGUAGE, most: int = SAMPLE_ROWS) -> DataFrame:
+    """(kind, text) of the rows with the smallest hashes of id and text, whole: at most `rows` of each label and about `most`
+    in all, but one of each label at least, however many there are. A table of its own."""
     usable = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).alias("kind"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("o"), F.col(text_col).alias("text"))
-    counts = {r[0]: r[1] for r in usable.groupBy("kind").count().orderBy("kind").limit(most + 1).collect()}
-    if len(counts) > most:
-        raise ValueError(f"over {most} different labels")
+    spark = labelled.sparkSession
+    counts = {r[0]: r[1] for r in usable.groupBy("kind").count().collect()}  # a row for each label
     if not counts:
-        return []
+        return spark.createDataFrame([], "kind string, text string")
     each = max(1, min(rows, most // len(counts)))
-    spark = labelled.sparkSession
 
-    def smallest(wanted: dict[str, int]) -> list:
+    def smallest(wanted: dict[str, int]) -> DataFrame:
         """The rows with the smallest hashes among those with hashes up to a limit for each label."""
-        limits = F.broadcast(spark.createDataFrame(list(wanted.items()), "kind string, most long"))
-        low = usable.join(limits, "kind").where(F.col("o") <= F.col("most")).select("kind", "o", spread_pieces(F.col("text")).alias("pieces"))
-        rank = F.row_number().over(Window.partitionBy("kind").orderBy("o", "pieces"))
-        return low.withColumn("rank", rank).where(F.col("rank") <= each).select("kind", "pieces").collect()
+        limits = spark.createDataFrame(list(wanted.items()), "kind string, most long")
+        low = usable.join(F.broadcast(limits) if len(wanted) <= MAX_BROADCAST else limits, "kind").where(F.col("o") <= F.col("most"))
+        rank = F.row_number().over(Window.partitionBy("kind").orderBy("o", "text"))
+        return materialise(low.withColumn("rank", rank).where(F.col("rank") <= each).select("kind", "text"), "language-sample")
 
     # about 4 times as many hashes as are wanted lie below these limits, so that tasks sort and send few rows
     limit = lambda n: 2**63 - 1 if n <= 4 * each else int(-(2**63) + 2**64 * (4 * each / n))
     picked = smallest({k: limit(n) for k, n in counts.items()})
-    got = dict.fromkeys(counts, 0)
-    for r in picked:
-        got[r.kind] += 1
-    short = {k: 2**63 - 1 for k, n in counts.items() if got[k] < min(each, n)}  # many equal rows, whose hashes are equal
+    got = {r[0]: r[1] for r in picked.groupBy("kind").count().collect()}
+    short = {k: 2**63 - 1 for k, n in counts.items() if got.get(k, 0) < min(each, n)}  # many equal rows, whose hashes are equal
     if short:
-        picked = [r for r in picked if r.kind not in short] + smallest(short)
-    return sorted((list(r.pieces), r.kind) for r in picked)
+        again = smallest(short)
+        picked = picked.join(again.select("kind").distinct(), "kind", "left_anti").unionByName(again)
+    return picked
+
+
+def landmark_pieces(rows: DataFrame, each: int) -> list[tuple[str, bytes]]:
+    """(label, piece): about `each` pieces of every label, from as many of its rows as there are, spread over each text."""
+    by_kind = Window.partitionBy("kind")
+    ranked = rows.withColumn("n", F.row_number().over(by_kind.orderBy(F.xxhash64("text"), "text"))).where(F.col("n") <= each)
+    wanted = ranked.select("kind", "text", F.ceil(F.lit(each) / F.count("*").over(by_kind)).cast("long").alias("wanted"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, text, n in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                own = cut_pieces(text.encode())
+                own = [own[len(own) * i // n] for i in range(n)] if n < len(own) else own
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(own)), pa.array(own, pa.binary())], ["kind", "piece"])
+
+    found: dict[str, list[bytes]] = {}
+    for r in wanted.mapInArrow(run, "kind string, piece binary").collect():
+        found.setdefault(r.kind, []).append(bytes(r.piece))
+    return [(k, p) for k in sorted(found) for p in sorted(found[k])[:each]]
+
+
+def fit(rows: DataFrame, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
+    """A model of the labelled rows (kind, text), all pieces of which count.
+
+    The ridge regression's normal equations are sums over pieces: tasks add up landmarks x landmarks and languages x
+    landmarks of theirs, and a tree of sums brings one of each to the driver; targets are never spelled out."""
+    spoken = rows.where(F.col("text").rlike(r"\p{L}"))
+    pieces = F.greatest(F.ceil(F.octet_length("text") / F.lit(PIECE_BYTES)), F.lit(1))
+    counts = {r[0]: int(r[1]) for r in spoken.groupBy("kind").agg(F.sum(pieces)).collect()}
+    if not counts:
+        return None
+    languages, total = sorted(counts), sum(counts.values())
+    marks = presence([p for _, p in landmark_pieces(spoken, max(landmarks // len(languages), LEAST_LANDMARKS))])
+    values, vectors = np.linalg.eigh((marks @ marks.T).astype(float))
+    keep = values > 1e-6 * values[-1]
+    whiten = vectors[:, keep] / np.sqrt(values[keep])
+    shared = rows.sparkSession.sparkContext.broadcast((marks, whiten, {k: (i, total / (counts[k] * len(languages))) for i, k in enumerate(languages)}))
+
+    def sums(labelled: Iterator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        own_marks, own_whiten, known = shared.value
+        square, by_language = np.zeros((own_whiten.shape[1],) * 2), np.zeros((len(known), own_whiten.shape[1]))
+        held: list[bytes] = []
+        which: list[int] = []
+        weight: list[float] = []
+
+        def add() -> None:
+            z = (presence(held) @ own_marks.T).astype(float) @ own_whiten
+            weighted = z * np.array(weight)[:, None]
+            square[:] += z.T @ weighted
+            np.add.at(by_language, which, weighted)
+            held.clear()
+            which.clear()
+            weight.clear()
+
+        for kind, text in labelled:
+            for piece in cut_pieces(text.encode()):
+                held.append(piece)
+                which.append(known[kind][0])
+                weight.append(known[kind][1])
+                if len(held) == 256:
+                    add()
+        if held:
+            add()
+        yield square, by_language
+
+    square, by_language = spoken.select("kind", "text").rdd.mapPartitions(sums).treeReduce(lambda x, y: (x[0] + y[0], x[1] + y[1]))
+    every = by_language.sum(axis=0)
+    mean_z, mean_t = every / total, 2 / len(languages) - 1
+    centred = square - total * np.outer(mean_z, mean_z)
+    towards = 2 * by_language.T - every[:, None] - total * mean_z[:, None] * mean_t
+    beta = np.linalg.solve(centred + ridge * total * np.eye(len(mean_z)) / len(mean_z), towards)
+    return Model(languages, marks.T @ (whiten @ beta).astype(np.float32), mean_t - mean_z @ beta)
 
 
 def predict(documents: DataFrame, model: Model | None, text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
