@@ -113,3 +113,25 @@ def test_crowds_of_equal_vectors(spark):
     df = spark.range(2000).selectExpr("id AS vec_id", "array(1d, double(id % 2)) AS embedding")
     got = by_query(vptree.nearest(df, df.where("vec_id IN (0, 21)"), k=3))
     assert [i for i, _ in got[0]] == [1, 2, 3] and [i for i, _ in got[21]] == [1, 3, 5]
+
+
+def test_shards_are_bounded_in_bytes(spark):
+    """Wide vectors make more and smaller shards, and the same neighbours."""
+    assert vptree.rows_within(vptree.SHARD_BYTES, 64) == vptree.SHARD_ROWS and vptree.rows_within(vptree.SHARD_BYTES, 4096) == 1024 and vptree.rows_within(8, 100) == 1
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=512)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, vptree.every_20th(df).collect()))
+    before = vptree.SHARD_BYTES, vptree.QUERY_BYTES
+    vptree.SHARD_BYTES, vptree.QUERY_BYTES = 40 * 512 * 8, 3 * 512 * 8
+    try:
+        assert sorted(map(tuple, vptree.nearest(df, df.where("vec_id % 20 = 0"), factor=1.0).collect())) == sorted(map(tuple, vptree.nearest(df, df.where("vec_id % 20 = 0"), factor=1.0, shard_rows=1 << 16).collect()))
+        got = sorted(map(tuple, vptree.nearest(df, df.where("vec_id % 20 = 0"), factor=1.0).collect()))
+    finally:
+        vptree.SHARD_BYTES, vptree.QUERY_BYTES = before
+    exact = np.array([r[1] for r in rows])
+    scores = exact[::20] @ exact.T
+    for q, row in zip(range(0, 300, 20), scores):
+        row[q] = -np.inf
+        assert [r[2] for r in got if r[0] == q] == np.argsort(-row)[:20].tolist()
+    assert len(want) == len(got) == 300

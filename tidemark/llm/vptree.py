@@ -8,7 +8,7 @@ exact search, larger factors prune more.
 
 Scale: rows are dealt to shards by a hash of their id, so a vector that a third of the rows share is spread; within a
 shard equal vectors are one point with several ids. A task reads its shard's rows, builds the tree, and then streams the
-queries past it in batches: memory is one shard and one batch. Each shard returns its best k for a query, and a window
+queries past it in batches: memory is one shard and one batch, both bounded in bytes whatever the number of components. Each shard returns its best k for a query, and a window
 keeps the best of those. No row is sampled away: every valid row is in a tree.
 
 Edge cases: null or empty vectors, those that hold a null, NaN or infinity, and zero vectors take no part, nor do null
@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 NEIGHBOURS, FACTOR = 20, 2.0
 #: Rows of a shard at the most, and at the least where SHARDS tasks can share the rows; points of a leaf.
 SHARD_ROWS, LEAST_ROWS, SHARDS, LEAF_POINTS = 1 << 16, 1 << 11, 16, 64
+#: Bytes of a shard's vectors at the most, of which a task holds a few copies, and of one batch of queries.
+SHARD_BYTES, QUERY_BYTES = 32 << 20, 1 << 20
 
 
 class Tree:
@@ -137,6 +139,11 @@ def shards_of(rows: int, shard_rows: int = SHARD_ROWS, least_rows: int = LEAST_R
     return max(1, -(-rows // shard_rows), min(SHARDS, rows // min(least_rows, shard_rows)))
 
 
+def rows_within(size: int, width: int) -> int:
+    """Vectors of so many components that size bytes hold, one at least."""
+    return max(1, size // (8 * max(width, 1)))
+
+
 def usable(vector: Column) -> Column:
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
@@ -146,7 +153,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, factor:
     """(query_id, rank, vec_id, score): for each row of queries the k rows of vectors with the largest inner products."""
     take = lambda df: df.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows, wanted = take(vectors), take(queries).groupBy("id").agg(F.min("v").alias("v"))
-    shards = shards_of(rows.count(), shard_rows)
+    held = rows.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("width")).first()
+    shards = shards_of(held.n, min(shard_rows, rows_within(SHARD_BYTES, held.width)))
     shard = lambda n: F.xxhash64(F.size("v"), n)
     dealt = rows.select(shard(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).alias("shard"), F.lit(0).alias("query"), "id", "v")
     asked = wanted.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("n")).select(shard(F.col("n")).alias("shard"), F.lit(1).alias("query"), "id", "v")
@@ -169,8 +177,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, factor:
                     continue
                 if held:
                     tree, held = Tree(np.concatenate([m for _, m in held]), np.concatenate([i for i, _ in held]), k, factor), []
-                for start in range(0, len(ids) if tree else 0, 2048):
-                    found = tree.neighbours(ids[start : start + 2048], matrix[start : start + 2048])
+                some = rows_within(QUERY_BYTES, matrix.shape[1])
+                for start in range(0, len(ids) if tree else 0, some):
+                    found = tree.neighbours(ids[start : start + some], matrix[start : start + some])
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
 
     found = dealt.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "query").mapInArrow(run, "query_id long, vec_id long, score double")
