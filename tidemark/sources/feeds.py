@@ -66,8 +66,43 @@ def name_map(bodies: DataFrame, body_col: str = "body") -> DataFrame:
     return bodies.select(F.explode(F.from_json(body_col, "map<string, string>")).alias("name", "_v")).select("name", F.lower("_v").isin(*ACTIVE_WORDS).alias("active"))
 
 
+#: Types of alerts from the air, and levels of a region array.
+AIR_TYPES = ("AIR", "AIR_RAID")
+ARRAY_LEVELS = ("State", "District", "Community")
+
+
+def region_array(bodies: DataFrame, body_col: str = "body", stamp_col: str = "cached_at") -> DataFrame:
+    """(checksum, name, level, changed_at) of the regions of a feed's array `raw` with an alert from the air.
+
+    A region begins with the earliest stamp of its alerts, an alert's own or else the region's; one whose first alert has
+    neither counts from the body's own stamp at the latest. A name that comes twice, in whatever case, is one region: the
+    first one's name and level, the earliest beginning. Entries without a name or a list of alerts are left out, as are bodies
+    without the array. The parsed shape is the whole of what is read, so more fields don't matter."""
+    body, text = F.col(body_col), lambda c, path: F.get_json_object(c, path)
+    entries = bodies.select(F.sha2(body, 256).alias("checksum"), F.col(stamp_col).alias("_stamp"), F.posexplode(_array(text(body, "$.raw"))).alias("_i", "_e"))
+    alerts = _array(text(F.col("_e"), "$.activeAlerts"))
+    name = F.btrim(F.regexp_replace(text(F.col("_e"), "$.regionName"), r"\s+", " "))
+    rows = entries.select("*", name.alias("_name"), alerts.alias("_alerts")).where((F.col("_name") != "") & F.col("_alerts").isNotNull())
+    air = F.filter("_alerts", lambda a: F.upper(F.trim(text(a, "$.type"))).isin(*AIR_TYPES))
+    stamps = F.transform(air, lambda a: F.coalesce(F.try_to_timestamp(text(a, "$.lastUpdate")), F.try_to_timestamp(text(F.col("_e"), "$.lastUpdate"))))
+    rows = rows.withColumn("_at", stamps).where(F.size("_at") > 0)
+    first = F.when(F.get("_at", F.lit(0)).isNull(), F.col("_stamp"))
+    level = text(F.col("_e"), "$.regionType")
+    each = rows.select("checksum", "_i", "_name", F.when(level.isin(*ARRAY_LEVELS), level).otherwise("other").alias("_level"), F.array_min(F.concat("_at", F.array(first))).alias("_began"))
+    whole = each.groupBy("checksum", F.lower("_name").alias("_key")).agg(F.min_by("_name", "_i").alias("name"), F.min_by("_level", "_i").alias("level"), F.min("_began").alias("changed_at"))
+    return whole.select("checksum", "name", "level", "changed_at")
+
+
+def snapshot_body(regions: DataFrame, rollup: bool = False) -> DataFrame:
+    """(checksum, body) of regions (checksum, name, level, changed_at): a body that alert_snapshot reads, regions by name. Of a
+    feed that rolls up, a region of level State is an error: it would declare what nobody has declared."""
+    refused = F.when(F.lit(rollup) & (F.col("level") == "State"), F.raise_error(F.concat(F.lit("a rollup may not assert a state: "), "name")).cast("string"))
+    state = F.struct(F.coalesce(refused, F.col("name")).alias("regionName"), F.lit(True).alias("active"), F.date_format("changed_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("startedAt"))
+    return regions.groupBy("checksum").agg(F.to_json(F.struct(F.array_sort(F.collect_list(state)).alias("states"))).alias("body"))
+
+
 #: Parsers by the name of their feed.
-PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {"snapshot": alert_snapshot, "region_map": region_map, "name_map": name_map}
+PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {"snapshot": alert_snapshot, "region_array": region_array, "region_map": region_map, "name_map": name_map}
 
 
 def fresh_bodies(bodies: DataFrame, at: datetime, stale_seconds: int, stamp_col: str = "cached_at") -> DataFrame:
