@@ -40,6 +40,10 @@ MAX_BROADCAST = 100_000
 BITS = (9, 12, 13, 13)
 #: A text is cut into pieces of so many bytes whose scores are averaged: presence says less the longer a text is.
 PIECE_BYTES = 1024
+#: Bytes of the blocks in which sums meet.
+SUM_BYTES = 1 << 20
+#: Pieces whose presence matrix (84 kB each) is held at once.
+BATCH = 64
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 LOWER = np.arange(256, dtype=np.uint8)
@@ -94,7 +98,7 @@ class Model:
             for piece in cut_pieces(text):
                 owners.append(i)
                 pieces.append(piece)
-                if len(pieces) == 128:
+                if len(pieces) == BATCH:
                     add()
         add()
         return margin / np.maximum(weight, 1)[:, None]
@@ -165,7 +169,8 @@ def fit(rows: DataFrame, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Mo
     """A model of the labelled rows (kind, text), all pieces of which count.
 
     The ridge regression's normal equations are sums over pieces: tasks add up landmarks x landmarks and languages x
-    landmarks of theirs, and a tree of sums brings one of each to the driver; targets are never spelled out."""
+    landmarks of theirs, blocks of these meet and are added up, and the driver gets one of each; targets are never spelled
+    out."""
     spoken = rows.where(F.col("text").rlike(r"\p{L}"))
     pieces = F.greatest(F.ceil(F.octet_length("text") / F.lit(PIECE_BYTES)), F.lit(1))
     counts = {r[0]: int(r[1]) for r in spoken.groupBy("kind").agg(F.sum(pieces)).collect()}
@@ -178,9 +183,13 @@ def fit(rows: DataFrame, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Mo
     whiten = vectors[:, keep] / np.sqrt(values[keep])
     shared = rows.sparkSession.sparkContext.broadcast((marks, whiten, {k: (i, total / (counts[k] * len(languages))) for i, k in enumerate(languages)}))
 
-    def sums(labelled: Iterator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    width = whiten.shape[1]
+    lines = max(1, SUM_BYTES // (8 * width))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of one task: landmarks x landmarks above languages x landmarks, in blocks of lines."""
         own_marks, own_whiten, known = shared.value
-        square, by_language = np.zeros((own_whiten.shape[1],) * 2), np.zeros((len(known), own_whiten.shape[1]))
+        stacked = np.zeros((width + len(known), width))
         held: list[bytes] = []
         which: list[int] = []
         weight: list[float] = []
@@ -188,24 +197,43 @@ def fit(rows: DataFrame, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Mo
         def add() -> None:
             z = (presence(held) @ own_marks.T).astype(float) @ own_whiten
             weighted = z * np.array(weight)[:, None]
-            square[:] += z.T @ weighted
-            np.add.at(by_language, which, weighted)
+            stacked[:width] += z.T @ weighted
+            np.add.at(stacked, which, weighted)
             held.clear()
             which.clear()
             weight.clear()
 
-        for kind, text in labelled:
-            for piece in cut_pieces(text.encode()):
-                held.append(piece)
-                which.append(known[kind][0])
-                weight.append(known[kind][1])
-                if len(held) == 256:
-                    add()
+        for batch in batches:
+            for kind, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for piece in cut_pieces(text.as_py().encode()):
+                    held.append(piece)
+                    which.append(width + known[kind][0])
+                    weight.append(known[kind][1])
+                    if len(held) == BATCH:
+                        add()
         if held:
             add()
-        yield square, by_language
+        for block, start in enumerate(range(0, len(stacked), lines)):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([stacked[start : start + lines].tobytes()], pa.binary())], ["block", "sums"])
 
-    square, by_language = spoken.select("kind", "text").rdd.mapPartitions(sums).treeReduce(lambda x, y: (x[0] + y[0], x[1] + y[1]))
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The blocks of all tasks, added up as they come in order of their numbers."""
+        current, total_of = None, None
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(data.as_py())
+                if block != current and current is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([total_of.tobytes()], pa.binary())], ["block", "sums"])
+                total_of = own + total_of if block == current else own
+                current = block
+        if current is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([total_of.tobytes()], pa.binary())], ["block", "sums"])
+
+    parts = spoken.select("kind", "text").mapInArrow(sums, "block int, sums binary").repartition("block").sortWithinPartitions("block")
+    # one of each block: as much as the model's own fit needs
+    blocks = sorted((r.block, bytes(r.sums)) for r in parts.mapInArrow(added, "block int, sums binary").collect())
+    stacked = np.frombuffer(b"".join(d for _, d in blocks)).reshape(-1, width)
+    square, by_language = stacked[:width], stacked[width:]
     every = by_language.sum(axis=0)
     mean_z, mean_t = every / total, 2 / len(languages) - 1
     centred = square - total * np.outer(mean_z, mean_z)
