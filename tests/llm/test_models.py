@@ -256,3 +256,48 @@ def test_units_grow_with_the_vocabulary():
     p = pl.initial(in_class=128)
     q = pl.unpacked(pl.packed(p))
     assert all(np.array_equal(p[k], q[k]) for k in p)
+
+
+def test_scores_of_all_documents_by_a_plain_loop(spark, small):
+    """The whole query against words by a pattern, counts by a dictionary and a softmax in double precision, one position at
+    a time, with the model that the query learns."""
+    import re
+    from collections import Counter
+
+    df = spark.read.parquet(f"{small}/documents.parquet")
+    units, model = pl.train(df)
+    p, hasher = {k: v.astype(float) for k, v in pl.unpacked(model).items()}, SpanHasher(pl.BASE)
+    docs = read(small, "documents", "doc_id, text")
+    said = {i: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for i, t in docs}
+    n = Counter(w for words in said.values() for w in words)
+    names = sorted(n)
+    number = dict(zip(names, units(pa.array([w.encode() for w in names], pa.binary()), hasher)[0].tolist()))
+    frequent = {w for w, _ in sorted(n.items(), key=lambda x: -x[1])[: len(units.hashes)]}
+    own = Counter(number[w] for w in names)
+    least = min(n[w] for w in frequent)
+    # words of shared units: those that have no unit of their own; a unit of its own has one word
+    alone = {w for w in names if own[number[w]] == 1 and n[w] >= least and number[w] % units.in_class < (units.units - units.shared) // pl.CLASSES}
+    shared = {u: (sum(n[w] for w in names if number[w] == u and w not in alone), sum(number[w] == u and w not in alone for w in names)) for u in {number[w] for w in names if w not in alone}}
+    got = {r.doc_id: r for r in pl.pseudo_likelihood(df).collect()}
+    assert len(alone) == len(units.hashes) and len(got) == len(docs)
+
+    def log_softmax(x):
+        return x - x.max() - np.log(np.exp(x - x.max()).sum())
+
+    checked = 0
+    for doc_id, words in said.items():
+        assert got[doc_id].n_words == len(words)
+        if len(words) > 400:
+            continue
+        total, unit = 0.0, [number[w] for w in words]
+        for i, w in enumerate(words):
+            around = [unit[j] if 0 <= j < len(unit) else units.units for j in (i - 2, i - 1, i + 1, i + 2)]
+            h = np.tanh(np.concatenate([p["embedding"][u] for u in around]) @ p["hidden"] + p["bias"])
+            c, k = divmod(unit[i], units.in_class)
+            total += log_softmax(h @ p["classes"] + p["class_bias"])[c] + log_softmax(h @ p["inner"][c] + p["inner_bias"][c])[k]
+            if w not in alone:
+                held, different = shared[unit[i]]
+                total += np.log((n[w] + pl.PRIOR) / (held + pl.PRIOR * 2 * different))
+        assert got[doc_id].log_prob == pytest.approx(total, rel=1e-3, abs=1e-3)
+        checked += 1
+    assert checked > 50
