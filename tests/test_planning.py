@@ -70,3 +70,20 @@ def test_plans_of_nulls_and_nothing(spark):
 def test_queries_at_a_larger_scale(spark, medium):
     for query, sql in QUERIES.values():
         same(query, sql, spark, medium)
+
+
+def test_cones_of_many_equal_sectors_and_points(spark):
+    """20,000 events of one sector and 20,000 places at one point are no pairs of all; a sector over the date line, and an
+    event of two sectors."""
+    import time
+
+    began = time.perf_counter()
+    sector = {"lat0": 48.0, "lon0": 179.5, "towards": 90.0, "horizon_km": 100.0, "half_angle": 30.0, "speed_kmh": 100.0}
+    constant = lambda df, values: df.select("*", *(F.lit(v).alias(c) for c, v in values.items()))
+    crowd = constant(spark.range(20_000).select(F.concat(F.lit("p"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("id")), {"type": "city", "lat": 48.1, "lon": -179.3})
+    others = spark.createDataFrame([("o", "oblast", 48.1, -179.3), ("far", "city", 48.0, -170.0), ("near", "city", 48.0, -179.2), ("west", "city", 48.0, 178.2)], "id string, type string, lat double, lon double")
+    origins = constant(spark.range(20_000).select(F.col("id").alias("event_id")), sector)
+    both = origins.unionByName(constant(spark.createDataFrame([(0,)], "event_id long"), {**sector, "towards": 270.0}))
+    out = P.cone_candidates(both, crowd.unionByName(others))
+    got = out.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("x")).groupBy(F.transform("x", lambda r: r["id"]).alias("ids")).agg(F.count("*").alias("n"), F.min("event_id").alias("first")).collect()
+    assert sorted((r.n, r.first, r.ids) for r in got) == [(1, 0, ["west", "near", "p00000"]), (19_999, 1, ["near", "p00000"])] and time.perf_counter() - began < 60

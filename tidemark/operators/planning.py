@@ -142,21 +142,35 @@ def cone_ring(lat: Column, lon: Column, towards: Column, horizon_km: Column, hal
 def cone_candidates(origins: DataFrame, places: DataFrame) -> DataFrame:
     """Of (event_id, lat0, lon0, towards, horizon_km, half_angle, speed_kmh) and (id, type, lat, lon): the six places of each
     sector that are least off its course, the most specific of those at one point: (event_id, rank, id, off, km, minutes,
-    within). Places are met by degree of latitude, so each origin reads its own band only."""
+    within). Events of the same sectors are searched once, and so are places at the same point, of which the most specific
+    alone can count; sectors meet points by cells of a degree both ways."""
+    sector = F.struct("lat0", "lon0", "towards", "horizon_km", "half_angle", "speed_kmh")
+    cones = origins.groupBy("event_id").agg(F.array_sort(F.collect_set(sector)).alias("cone"))
+    kind = F.coalesce(F.nullif(F.array_position(F.array(*(F.lit(s) for s in SPECIFIC)), F.col("type")), F.lit(0)), F.lit(10))
+    points = places.groupBy("lat", "lon").agg(F.min(F.struct(kind.alias("kind"), "id")).alias("_p")).select("lat", "lon", "_p.*")
     reach = F.col("horizon_km") * (1 + ALONG_TRACK) * 1.15
-    degrees = F.ceil(reach / 111.0)
-    band = F.floor("lat0")
-    banded = origins.withColumn("_band", F.explode(F.sequence((band - degrees).cast("int"), (band + degrees).cast("int"))))
-    met = banded.join(places.withColumn("_band", F.floor("lat").cast("int")), "_band")
+    # a degree of latitude is 111.19 km on this sphere; one of longitude is shorter by the cosine of the latitude, and near a
+    # pole a sector may reach around it
+    degrees = reach / 111.0
+    aside = F.asin(F.sin(F.radians(degrees)) / F.cos(F.radians("lat0")))
+    wide = F.when((F.abs("lat0") + degrees < 89) & (degrees < 89), F.degrees(aside) + 0.01).otherwise(F.lit(180.0))
+    cells = lambda at, by: F.sequence(F.floor(at - by).cast("int"), F.floor(at + by).cast("int"))
+    turned = F.array_distinct(F.transform(cells(F.col("lon0"), wide), lambda x: F.pmod(x, F.lit(360))))
+    # a cone goes by one of its events; few and small rows make many pairs, so they are dealt to a fixed number of tasks
+    owners = cones.groupBy("cone").agg(F.min("event_id").alias("owner"))
+    n = int(origins.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = owners.repartition(n, "owner").select("owner", F.explode("cone").alias("_s")).select("owner", "_s.*")
+    dealt = each.where(degrees >= 0).withColumn("_y", F.explode(cells(F.col("lat0"), degrees))).withColumn("_x", F.explode(turned))
+    met = dealt.join(points.withColumns({"_y": F.floor("lat").cast("int"), "_x": F.pmod(F.floor("lon").cast("int"), F.lit(360))}), ["_y", "_x"])
     here = F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon")
-    met = met.withColumns({"km": distance_km(*here), "off": F.abs(angle_between(bearing(*here), F.col("towards")))})
-    least = F.greatest(F.lit(1.0), F.col("horizon_km") * (1 - ALONG_TRACK) * 0.6)
-    met = met.where((F.col("km") >= least) & (F.col("km") <= reach) & (F.col("off") <= F.col("half_angle") * 1.5))
-    kind = F.coalesce(F.nullif(F.array_position(F.array(*(F.lit(s) for s in SPECIFIC)), F.col("type")), F.lit(0)), F.lit(10))
+    met = met.where((F.abs(F.col("lat") - F.col("lat0")) <= degrees) & (F.abs(angle_between(F.col("lon"), F.col("lon0"))) <= wide))
+    met = met.withColumn("km", distance_km(*here)).where((F.col("km") >= F.greatest(F.lit(1.0), F.col("horizon_km") * (1 - ALONG_TRACK) * 0.6)) & (F.col("km") <= reach))
+    met = met.withColumn("off", F.abs(angle_between(bearing(*here), F.col("towards")))).where(F.col("off") <= F.col("half_angle") * 1.5)
     point = [rounded(F.col("lon"), 4), rounded(F.col("lat"), 4)]
-    one = met.withColumn("_r", F.row_number().over(Window.partitionBy("event_id", *point).orderBy(kind, "off", "km", "id"))).where("_r = 1")
-    ranked = one.withColumn("rank", F.row_number().over(Window.partitionBy("event_id").orderBy("off", "km", "id"))).where(F.col("rank") <= MOST_CANDIDATES)
-    return ranked.select("event_id", "rank", "id", rounded(F.col("off"), 1).alias("off"), rounded(F.col("km"), 1).alias("km"), rounded(F.col("km") / F.col("speed_kmh") * 60, 1).alias("minutes"), (F.col("off") <= F.col("half_angle")).alias("within"))
+    one = met.withColumn("_r", F.row_number().over(Window.partitionBy("owner", *point).orderBy("kind", "off", "km", "id"))).where("_r = 1")
+    ranked = one.withColumn("rank", F.row_number().over(Window.partitionBy("owner").orderBy("off", "km", "id"))).where(F.col("rank") <= MOST_CANDIDATES)
+    out = cones.join(owners.join(ranked.withColumnRenamed("owner", "_owner"), F.col("owner").eqNullSafe(F.col("_owner"))), "cone")
+    return out.select("event_id", "rank", "id", rounded(F.col("off"), 1).alias("off"), rounded(F.col("km"), 1).alias("km"), rounded(F.col("km") / F.col("speed_kmh") * 60, 1).alias("minutes"), (F.col("off") <= F.col("half_angle")).alias("within"))
 
 
 def checked_report(intervals: Column, rate: Column, chances: Column) -> Column:
