@@ -160,6 +160,17 @@ def test_outlines_of_odd_rings(spark):
     assert len(value(spark, P.sane_ring(ring((0, 0), (0, 0), (1, 0), (1, 1))))) == 4
 
 
+def test_outlines_of_long_rings_take_time_in_proportion(spark):
+    """A ring that is an expression is computed once, not for each of its points."""
+    import time
+
+    n, began = 4000, time.perf_counter()
+    angle = lambda i: i * 2 * 3.141592653589793 / n
+    ring = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(F.cos(angle(i)).alias("x"), F.sin(angle(i)).alias("y")))
+    row = spark.range(1, 2).select(P.ring_area(ring).alias("a"), P.centroid(ring).alias("c"), F.size(P.sane_ring(ring)).alias("n"), P.bounds_overlap(P.bounds(ring), P.bounds(ring)).alias("o")).first()
+    assert abs(row.a - 3.1415913) < 1e-5 and abs(row.c.x) < 1e-9 and row.n == n + 1 and row.o and time.perf_counter() - began < 20
+
+
 def test_hot_keys_are_cut(spark):
     """One class in most rows: stretches by slots as by one window over the class; the newest events of a territory are
     limited before they are shuffled."""

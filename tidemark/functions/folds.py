@@ -36,6 +36,12 @@ def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], step: Calla
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, f"{schema}, {outputs}")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is computed once for all its mentions; an expression in a lambda is else computed anew for
+    each mention and each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def with_running_sums(rows: DataFrame, numbers: str, to: str) -> DataFrame:
     """rows with the array column `to`: the sum of the numbers before each one, and, last, of all; null for null.
 

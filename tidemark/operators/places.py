@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.folds import once
 from ..functions.speech import with_spans, with_tokens
 
 #: Ranks by which the strongest of several statements is taken.
@@ -62,8 +63,12 @@ def subscribers_by_region(subscriptions: DataFrame, regions: DataFrame) -> DataF
 
 def _crosses(ring: Column) -> Column:
     """Of a ring of points (x, y): struct(cross, a, b) of each side, the one back to the first point included."""
-    n = F.size(ring)
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((F.get(ring, (i + n - 1) % n)["x"] * F.get(ring, i)["y"] - F.get(ring, i)["x"] * F.get(ring, (i + n - 1) % n)["y"]).alias("cross"), (F.get(ring, (i + n - 1) % n)["x"] + F.get(ring, i)["x"]).alias("x"), (F.get(ring, (i + n - 1) % n)["y"] + F.get(ring, i)["y"]).alias("y")))
+
+    def side(a: Column, b: Column) -> Column:
+        return F.struct((a["x"] * b["y"] - b["x"] * a["y"]).alias("cross"), (a["x"] + b["x"]).alias("x"), (a["y"] + b["y"]).alias("y"))
+
+    before = lambda points: F.concat(F.slice(points, -1, 1), F.slice(points, F.lit(1), F.size(points) - 1))
+    return once(ring, lambda points: F.zip_with(before(points), points, side))
 
 
 def _total(values: Column, value) -> Column:
@@ -72,30 +77,36 @@ def _total(values: Column, value) -> Column:
 
 def ring_area(ring: Column) -> Column:
     """Signed shoelace area of a ring of points (x, y); 0 for none."""
-    return F.when(F.size(ring) > 0, _total(_crosses(ring), lambda v: v["cross"]) / 2).otherwise(F.lit(0.0))
+    return once(ring, lambda r: F.when(F.size(r) > 0, _total(_crosses(r), lambda v: v["cross"]) / 2).otherwise(F.lit(0.0)))
 
 
 def centroid(ring: Column) -> Column:
     """struct<x, y>: the centroid of a ring, its first point where it has no area, null where it has no points."""
-    area = ring_area(ring)
-    mean = lambda axis: _total(_crosses(ring), lambda v: v[axis] * v["cross"]) / (6 * area)
-    whole = F.struct(mean("x").alias("x"), mean("y").alias("y"))
-    first = F.struct(F.get(ring, F.lit(0))["x"].alias("x"), F.get(ring, F.lit(0))["y"].alias("y"))
-    return F.when(F.size(ring) > 0, F.when(area != 0, whole).otherwise(first))
+
+    def of(r: Column, crosses: Column, area: Column) -> Column:
+        mean = lambda axis: _total(crosses, lambda v: v[axis] * v["cross"]) / (6 * area)
+        whole = F.struct(mean("x").alias("x"), mean("y").alias("y"))
+        first = F.struct(F.get(r, F.lit(0))["x"].alias("x"), F.get(r, F.lit(0))["y"].alias("y"))
+        return F.when(area != 0, whole).otherwise(first)
+
+    each = lambda r: once(_crosses(r), lambda c: once(_total(c, lambda v: v["cross"]) / 2, lambda area: of(r, c, area)))
+    return once(ring, lambda r: F.when(F.size(r) > 0, each(r)))
 
 
 def sane_ring(ring: Column) -> Column:
     """The ring's points within the degrees of the globe, each of a run of equal ones once, closed; null under 4 points."""
     inside = F.filter(ring, lambda p: p["x"].between(-180, 180) & p["y"].between(-90, 90))
-    runs = F.filter(inside, lambda p, i: (i == 0) | (p != F.get(inside, i - 1)))
-    closed = F.when(F.get(runs, F.lit(0)) == F.element_at(runs, -1), runs).otherwise(F.concat(runs, F.slice(runs, 1, 1)))
-    return F.when(F.size(runs) > 0, F.when(F.size(closed) >= 4, closed))
+    runs = lambda points: F.filter(points, lambda p, i: (i == 0) | (p != F.get(points, i - 1)))
+    closed = lambda r: F.when(F.get(r, F.lit(0)) == F.element_at(r, -1), r).otherwise(F.concat(r, F.slice(r, 1, 1)))
+    whole = lambda r: once(closed(r), lambda c: F.when(F.size(c) >= 4, c))
+    return once(once(inside, runs), lambda r: F.when(F.size(r) > 0, whole(r)))
 
 
 def bounds(ring: Column) -> Column:
-    axis = lambda a: F.transform(ring, lambda p: p[a])
-    return F.struct(*(f(axis(a)).alias(f"{n}_{a}") for a in ("x", "y") for n, f in (("least", F.array_min), ("most", F.array_max))))
+    axis = lambda r, a: F.transform(r, lambda p: p[a])
+    return once(ring, lambda r: F.struct(*(f(axis(r, a)).alias(f"{n}_{a}") for a in ("x", "y") for n, f in (("least", F.array_min), ("most", F.array_max)))))
 
 
 def bounds_overlap(a: Column, b: Column) -> Column:
-    return (a["least_x"] <= b["most_x"]) & (b["least_x"] <= a["most_x"]) & (a["least_y"] <= b["most_y"]) & (b["least_y"] <= a["most_y"])
+    meet = lambda a, b: (a["least_x"] <= b["most_x"]) & (b["least_x"] <= a["most_x"]) & (a["least_y"] <= b["most_y"]) & (b["least_y"] <= a["most_y"])
+    return once(a, lambda one: once(b, lambda other: meet(one, other)))
