@@ -81,3 +81,17 @@ def test_a_night_that_is_told_publishes_nothing(spark, catalogue):
     rows = spark.createDataFrame([(1, "За ніч шахеди атакували Київ"), (2, "За ніч тихо")], "id int, text string")
     got = {r.id: r for r in C.scoped_verdicts(rows, catalogue).collect()}
     assert (got[1].intent, got[1].told, got[1].places, got[1].threat_types) == ("none", "vetoed", [], ["uav"]) and got[1].indicators and got[2].told is None
+
+
+def test_texts_are_never_broadcast_and_meet_names_once(spark):
+    """Words are more than any estimate of their messages, so neither side of texts is a broadcast; all that follows a match
+    is shuffled by message once."""
+    from tidemark.operators import places as P, verdicts as V
+
+    messages = spark.range(50).selectExpr("id", "'Миколаїв та Мена' AS text")
+    many = spark.range(1000).selectExpr("concat('name', id) AS name", "concat('p', id) AS location_id", "'city' AS type")
+    plan = P.place_mentions(messages, V.spellings(many))._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+    places = spark.createDataFrame([(*row, i) for i, row in enumerate(CATALOGUE)], "location_id string, name string, aliases array<string>, type string, oblast_id string, geocoded boolean, ord int")
+    plan = G.linked_places(messages, places, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and plan.count("BroadcastHashJoin") == 1 and plan.count("hashpartitioning(id") == 1 and "SortMergeJoin" not in plan

@@ -12,19 +12,27 @@ RELATIONS = ("mentioned", "aftermath", "reported_direction", "explicit_threat")
 EVIDENCE = ("unverified", "monitoring", "confirmed", "official")
 COVERAGES = ("partial", "unmapped", "direct")
 MOST_EVENTS = 8
+#: Rows of names that are broadcast, some 10 MB.
+MOST_BROADCAST = 20_000
+
+
+def beside_texts(names: DataFrame) -> DataFrame:
+    """names, to be joined with the words of texts: broadcast if they are few, which is counted, else merged. Left to itself,
+    Spark takes words for fewer than names, as it doesn't know how many a text has, and broadcasts them."""
+    return names.hint("broadcast" if names.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else "merge")
 
 
 def place_mentions(messages: DataFrame, forms: DataFrame, most_words: int = 3) -> DataFrame:
     """(id, start, end, location_id) of the places that texts name. messages: (id, text); forms: (form, location_id, type)
     of all spellings, in lower case. The longest of overlapping names counts; where several places bear it, the only oblast
     among them does, or the only place, else none: location_id is null. Spellings that texts can't have don't matter; words
-    meet the first words of spellings, so that no phrase is made that begins with no name. The join is left to Spark, so that
-    a large list of forms need not be broadcast."""
+    meet the first words of spellings, so that no phrase is made that begins with no name. Forms are broadcast while they are
+    few, texts never."""
     one = F.when(F.count_if(F.col("type") == "oblast") == 1, F.min(F.when(F.col("type") == "oblast", F.col("location_id")))).when(F.count_distinct("location_id") == 1, F.min("location_id"))
     known = forms.groupBy("form").agg(one.alias("location_id")).select(F.split("form", " ").alias("words"), "location_id")
     known = known.select(F.get("words", F.lit(0)).alias("first"), "words", "location_id").where(F.size("words") <= most_words)
     spans = with_spans(with_tokens(messages.select("id", "text")).drop("text"), most_words).withColumn("first", F.get("span", F.lit(0))["key"])
-    met = spans.join(known, "first").where(F.transform(F.slice("span", F.lit(1), F.size("words")), lambda t: t["key"]) == F.col("words"))
+    met = spans.join(beside_texts(known), "first").where(F.transform(F.slice("span", F.lit(1), F.size("words")), lambda t: t["key"]) == F.col("words"))
     found = met.select("id", F.get("span", F.lit(0))["start"].alias("start"), F.get("span", F.size("words") - 1)["end"].alias("end"), "location_id")
     # the names of one message are few; each is kept unless a longer one lies over it
     per = found.groupBy("id").agg(F.collect_list(F.struct("start", "end", "location_id")).alias("s"))
