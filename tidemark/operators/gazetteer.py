@@ -3,12 +3,11 @@ several places bear."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import values as V
 from ..functions.speech import token_keys, with_spans, with_tokens
+from .places import beside_texts
 from .verdicts import inflections
 
 #: Tokens back from a head noun that an adjective may stand.
@@ -41,19 +40,22 @@ def _candidates(messages: DataFrame, names: DataFrame, units: DataFrame, longest
     declined = F.col("first") != F.get("words", F.lit(0))
     blocked = (F.size("words") == 1) & declined & (F.col("first").rlike(V.COMPASS) | F.col("first").isin(*V.NEVER_A_PLACE))
     whole = F.forall(F.sequence(F.lit(0), F.size("words") - 1), lambda o: F.array_contains(F.get("forms", o), at(o)["key"]))
-    met = tokens.join(names, "first").where((F.size("words") <= F.size("span")) & ~blocked).where(whole)
-    named = met.select("id", "n", F.size("words").alias("words"), at(F.lit(0))["start"].alias("start"), at(F.size("words") - 1)["end"].alias("end"), *PLACE)
+    known = names.withColumn("kind", F.lit(None).cast("string")).unionByName(units.withColumnRenamed("form", "first"), allowMissingColumns=True)
+    is_name = F.col("kind").isNull()
+    fits = (F.size("words") <= F.size("span")) & ~blocked & whole
+    met = tokens.join(beside_texts(known), "first").where(F.when(is_name, F.coalesce(fits, F.lit(False))).otherwise(F.lit(True)))
+    count = F.when(is_name, F.size("words")).otherwise(F.lit(1))
+    # one shuffle, by message, for all that follows here and in linked_places
+    met = met.select("id", "n", "kind", count.alias("words"), at(F.lit(0))["start"].alias("start"), at(count - 1)["end"].alias("end"), F.when(~is_name, F.col("span")).alias("span"), *PLACE).repartition("id")
 
     # adjectives, licensed by a head noun after them: between the two are adjectives of the same kind and connectors alone
-    adjectives = tokens.join(units, tokens["first"] == units["form"])
     near = Window.partitionBy("id", "kind").orderBy("n").rangeBetween(0, CHAIN)
-    adjectives = adjectives.withColumn("near", F.collect_set("n").over(near))
+    met = met.withColumn("near", F.collect_set(F.when(~is_name, F.col("n"))).over(near))
     is_head = lambda key: F.when(F.col("kind") == "oblast", key.isin(*V.REGION_HEADS)).otherwise(key.isin(*V.DISTRICT_HEADS))
     linked = lambda o: at(o)["key"].isin(*V.CONNECTORS) | F.array_contains("near", F.col("n") + o)
     first_gap = lambda d: F.forall(F.slice(F.array(*(F.lit(i) for i in range(1, CHAIN + 1))), F.lit(1), d - 1), linked)
     licensed = F.exists(F.array(*(F.lit(d) for d in range(1, CHAIN + 1))), lambda d: (d < F.size("span")) & F.coalesce(is_head(at(d)["key"]), F.lit(False)) & first_gap(d))
-    chained = adjectives.where(licensed).select("id", "n", F.lit(1).alias("words"), at(F.lit(0))["start"].alias("start"), at(F.lit(0))["end"].alias("end"), *PLACE)
-    return named.unionByName(chained)
+    return met.where(F.when(is_name, F.lit(True)).otherwise(licensed)).select("id", "n", "words", "start", "end", *PLACE)
 
 
 def _narrowed(rows: DataFrame, kept: str, by: Column, window) -> DataFrame:
@@ -72,7 +74,7 @@ def linked_places(messages: DataFrame, places: DataFrame, longest: int | None =
     counts where it stands outside. longest: words of the longest name; counted where not given.
 
     Words meet names by equality, so that a large catalogue needs no broadcast; all that follows has the few spans of names
-    alone, by message or by message and word. Null and empty texts name nothing; equal ids count as one message."""
+    alone, which are shuffled by message once. Null and empty texts name nothing; equal ids count as one message."""
     names, units = place_index(places)
     if longest is None:
         longest = names.agg(F.coalesce(F.max(F.size("words")), F.lit(1))).first()[0]
@@ -90,9 +92,9 @@ def linked_places(messages: DataFrame, places: DataFrame, longest: int | None =
     clear = clear.withColumn("_l", longest_span).withColumn("rank", F.struct((-F.col("_l.words")).alias("words"), (-F.col("_l.length")).alias("length"), "ord"))
     clear = clear.select("id", "n", "words", "start", "end", "location_id", "rank")
     # a span meets those that cover its first word, so there is no pair of all spans of a text
-    over = clear.select("id", F.explode(F.sequence(F.col("n"), F.col("n") + F.col("words") - 1)).alias("n"), F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.col("rank").alias("o_rank"))
-    c, o = clear.alias("c"), over.alias("o")
-    covered = [F.col("c.id") == F.col("o.id"), F.col("c.n") == F.col("o.n"), F.col("o_start") <= F.col("c.start"), F.col("o_end") >= F.col("c.end"), F.col("o_rank") < F.col("c.rank")]
-    free = c.join(o, reduce(lambda a, b: a & b, covered), "left_anti")
+    words = clear.select("*", F.posexplode(F.sequence(F.col("n"), F.col("n") + F.col("words") - 1)).alias("_o", "_word"))
+    over = words.withColumn("_over", F.collect_set(F.struct("start", "end", "rank")).over(Window.partitionBy("id", "_word")))
+    covers = lambda o: (o["start"] <= F.col("start")) & (o["end"] >= F.col("end")) & (o["rank"] < F.col("rank"))
+    free = over.where((F.col("_o") == 0) & ~F.exists("_over", covers))
     first = F.min(F.struct((F.col("start") - F.col("end")).alias("length"), "start", "end"))
     return free.groupBy("id", "location_id").agg(first.alias("f")).select("id", "location_id", F.col("f.start").alias("start"), F.col("f.end").alias("end"))

@@ -91,7 +91,7 @@ ENDINGS = [("", [], []), (" → далі", ["рух цілі за напрямк
 
 def message_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences put together from the parts above, by event."""
-    e = B.load(spark, sf_dir, "events").select(F.col("event_id").alias("id"))
+    e = B.load(spark, sf_dir, "events").select(F.col("event_id").alias("id")).repartition("id")
     text, rest = F.lit(""), F.col("id")
     for part in (OPENINGS, SUBJECTS, WHERE, ENDINGS):
         text = F.concat(text, F.get(F.array(*(F.lit(x[0]) for x in part)), (rest % len(part)).cast("int")))
