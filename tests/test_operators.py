@@ -171,6 +171,18 @@ def test_outlines_of_long_rings_take_time_in_proportion(spark):
     assert abs(row.a - 3.1415913) < 1e-5 and abs(row.c.x) < 1e-9 and row.n == n + 1 and row.o and time.perf_counter() - began < 20
 
 
+def test_prior_context_of_a_dense_source_takes_time_in_proportion(spark):
+    """A message each second: what is before is no sum of the whole reach for each; messages without a time are peers."""
+    import time
+
+    rows = spark.range(400_000).select("id", F.lit("s").alias("source_id"), F.timestamp_seconds(F.col("id")).alias("published_at"))
+    odd = spark.createDataFrame([(-1, "s", None), (-2, "s", None), (-3, None, T0), (-4, None, T0 + timedelta(seconds=5))], "id long, source_id string, published_at timestamp")
+    began = time.perf_counter()
+    out = E.prior_context(rows.unionByName(odd), 50_000, 40_000)
+    assert {r.id: r.prior for r in out.where("id IN (-1, -2, -3, -4, 0, 7, 39999, 40005, 399999)").collect()} == {-1: 2, -2: 2, -3: 0, -4: 1, 0: 0, 7: 7, 39999: 39999, 40005: 40000, 399999: 40000}
+    assert out.count() == 400_004 and time.perf_counter() - began < 45
+
+
 def test_hot_keys_are_cut(spark):
     """One class in most rows: stretches by slots as by one window over the class; the newest events of a territory are
     limited before they are shuffled."""

@@ -71,8 +71,10 @@ def prior_context(messages: DataFrame, seconds: int, n: int) -> DataFrame:
     """(id, prior): how many messages the same source sent within the seconds before, n at most (those that a reader of
     the context is shown). Messages are counted by source and second first, and only these counts are ordered."""
     rows = messages.select("id", "source_id", F.unix_seconds("published_at").alias("s"))
-    window = Window.partitionBy("source_id").orderBy("s").rangeBetween(-seconds, -1)
-    counts = rows.groupBy("source_id", "s").agg(F.count("*").alias("own")).select("source_id", "s", F.least(F.coalesce(F.sum("own").over(window), F.lit(0)), F.lit(n)).alias("prior"))
+    # the difference of two running sums: a frame with both ends moving would be added up anew for each row
+    upto = lambda end: F.coalesce(F.sum("own").over(Window.partitionBy("source_id").orderBy("s").rangeBetween(Window.unboundedPreceding, end)), F.lit(0))
+    before = F.when(F.col("s").isNull(), F.col("own")).otherwise(upto(-1) - upto(-seconds - 1))
+    counts = rows.groupBy("source_id", "s").agg(F.count("*").alias("own")).select("source_id", "s", F.least(before, F.lit(n)).alias("prior"))
     return rows.join(counts, (rows["source_id"].eqNullSafe(counts["source_id"])) & (rows["s"].eqNullSafe(counts["s"]))).select("id", "prior")
 
 
