@@ -5,6 +5,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import clipping as C, vectors as V
 
@@ -74,3 +75,14 @@ def test_a_vector_by_hand(spark):
     assert (whole.nodes, whole.legs, whole.drawable_legs, whole.sources, whole.independence_groups, whole.strongest_basis, whole.confirmed_legs, whole.seconds) == (4, 3, 1, 3, 3, "reported_transit", 1, 540)
     (alone,) = V.reported_vectors(df.where("report_id = 'a'")).collect()
     assert (alone.nodes, alone.legs, alone.strongest_basis) == (1, 0, None) and V.reported_vectors(df.limit(0)).count() == 0
+
+
+def test_equal_layers_are_clipped_once(spark):
+    import time
+
+    ring = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0))))
+    layers = spark.range(400_000).select(F.col("id").alias("layer_id"), F.when(F.col("id") != 7, F.array(ring)).alias("rings"))
+    began = time.perf_counter()
+    out = C.clipped(layers, spark.range(2).select(F.col("id").alias("boundary_id"), F.array(ring).alias("rings")))
+    assert [tuple(r) for r in out.groupBy("boundary_id", "area").agg(F.count_distinct("layer_id")).orderBy("boundary_id").collect()] == [(0, 16.0, 399_999), (1, 16.0, 399_999)]
+    assert time.perf_counter() - began < 40

@@ -105,11 +105,15 @@ def clipped(layers: DataFrame, boundaries: DataFrame, cell: float = CELL) -> Dat
     """(layer_id, boundary_id, area, pieces) of the layers that reach into a boundary. layers: (layer_id, rings), boundaries:
     (boundary_id, rings), rings an array of arrays of struct<x, y>; ids are of one row each. A ring of fewer than three points,
     or without area, bounds nothing; null rings are none; what only touches is outside. pieces are trapezoids, area is theirs
-    in square degrees. A layer that is in no row lies outside every boundary."""
-    pairs = candidate_pairs(layers, boundaries, cell)
-    rows = pairs.join(layers.select("layer_id", F.col("rings").alias("one")), "layer_id").join(boundaries.select("boundary_id", F.col("rings").alias("other")), "boundary_id")
+    in square degrees. A layer that is in no row lies outside every boundary. Layers of equal rings are clipped once."""
+    owners = layers.groupBy("rings").agg(F.min("layer_id").alias("owner"))
+    shapes = owners.where(F.col("owner").isNotNull()).select(F.col("owner").alias("layer_id"), "rings")
+    pairs = candidate_pairs(shapes, boundaries, cell)
+    rows = pairs.join(shapes.select("layer_id", F.col("rings").alias("one")), "layer_id").join(boundaries.select("boundary_id", F.col("rings").alias("other")), "boundary_id")
+    # few bytes make much work, so pairs are dealt to a fixed number of tasks
+    n = int(layers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [f for f in rows.schema.fields if f.name in ("layer_id", "boundary_id")]
-    rows = rows.select(*(f.name for f in keys), "one", "other")
+    rows = rows.select(*(f.name for f in keys), "one", "other").repartition(n, "layer_id", "boundary_id")
     kind = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,4 +126,6 @@ def clipped(layers: DataFrame, boundaries: DataFrame, cell: float = CELL) -> Dat
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([sum(map(trapezoid_area, pieces))]), pa.array([shown], kind)], [keys[0].name, keys[1].name, "area", "pieces"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys)
-    return rows.mapInArrow(run, f"{schema}, area double, pieces array<array<struct<x:double,y:double>>>")
+    cut = rows.mapInArrow(run, f"{schema}, area double, pieces array<array<struct<x:double,y:double>>>")
+    named = layers.where(F.col("rings").isNotNull()).join(owners, "rings").select("layer_id", "owner")
+    return named.join(cut.withColumnRenamed("layer_id", "owner"), "owner").select(*(f.name for f in keys), "area", "pieces")
