@@ -49,7 +49,8 @@ def _candidates(messages: DataFrame, names: DataFrame, units: DataFrame, longest
     met = met.select("id", "n", "kind", count.alias("words"), at(F.lit(0))["start"].alias("start"), at(count - 1)["end"].alias("end"), F.when(~is_name, F.col("span")).alias("span"), *PLACE).repartition("id")
 
     # adjectives, licensed by a head noun after them: between the two are adjectives of the same kind and connectors alone
-    near = Window.partitionBy("id", "kind").orderBy("n").rangeBetween(0, CHAIN)
+    # names have no neighbours to gather: each is a partition of its own
+    near = Window.partitionBy("id", "kind", F.when(is_name, F.struct("n", "location_id"))).orderBy("n").rangeBetween(0, CHAIN)
     met = met.withColumn("near", F.collect_set(F.when(~is_name, F.col("n"))).over(near))
     is_head = lambda key: F.when(F.col("kind") == "oblast", key.isin(*V.REGION_HEADS)).otherwise(key.isin(*V.DISTRICT_HEADS))
     linked = lambda o: at(o)["key"].isin(*V.CONNECTORS) | F.array_contains("near", F.col("n") + o)
