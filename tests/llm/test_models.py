@@ -184,6 +184,25 @@ def test_gradient():
         assert (moved[0] - moved[1]) / 0.1 == pytest.approx(gradient[at], rel=0.05)
 
 
+def test_a_batch_updates_each_table_once():
+    """However many classes there are, and as a tanh of the library's own would have it."""
+
+    class Counter(pl.Trainer):
+        names: list[str] = []
+
+        def _step(self, name, gradient, at=...):
+            self.names.append(name)
+            super()._step(name, gradient, at)
+
+    rng = np.random.default_rng(2)
+    unit = rng.integers(0, pl.UNITS, 3000)
+    trainer = Counter(pl.initial())
+    trainer.batch(pl.contexts(unit, np.array([0, 3000])), unit)
+    assert sorted(trainer.names) == sorted(pl.SHAPES)
+    x = np.concatenate([rng.standard_normal(1000) * 9, [0, 100, -100, 1e30, -1e30]]).astype(np.float32)
+    assert np.abs(pl.tanh(x.copy()) - np.tanh(x)).max() < 1e-6
+
+
 def test_training_helps_and_scores_sum(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     units, model = pl.train(docs)
