@@ -143,6 +143,16 @@ def test_stances_of_odd_texts(spark):
     assert tokens("Південно-західний, Івано-Франківськ- -о Зазим´я") == [("південно-західний", 0, 17), ("івано-франківськ", 19, 35), ("о", 38, 39), ("зазимя", 40, 47)]
 
 
+def test_stances_and_intent_take_any_case(spark, small):
+    """Old letters and signs that fold to others too; and sentences are dealt to all tasks, however few bytes they come from."""
+    from tidemark.plans import speech_queries
+
+    rows = spark.createDataFrame([("БПЛА НЕ ФІКСУЄМО, АЛЕ KN-23 НА СУМИ",), ("\u212an-23 над \u1c82десою",), ("ЧИСТЕ НЕБО",)], "text string").coalesce(1)
+    got = G.with_stances(rows).select("stances", G.intent(F.col("text"), F.col("stances"))).collect()
+    assert [tuple(map(tuple, (r[0].asserted, r[0].withdrawn))) + (r[1],) for r in got] == [(("ballistic_missile",), ("uav",), "assertion"), (("ballistic_missile",), (), "assertion"), ((), (), "de_escalation")]
+    assert speech_queries.sentences(spark, small).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_tokens_of_a_long_text_take_time_in_proportion(spark):
     import time
 

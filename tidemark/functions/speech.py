@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import values as V
 from .folds import with_running_sums
-from .texts import CLASS_PATTERNS
+from .texts import CLASS_PATTERNS, folded
 
 # Denials, withdrawals, absence, anticipation, contrast.
 NEGATION = r"(?<!\p{L})(?:не\s+(?:лет|фікс|зафіксов|спостеріга|відміча|відмічен|виявля|виявлен|помічен|зареєстров|становить|загрожу)|нічого\s+не|немає|нема(?!\p{L})|без\s+загроз|відсутн|неактивн|чисте небо)"
 DE_ESCALATION = r"(?<!\p{L})відбій\s+загроз|загроз[аи]?\s+мину|небезпек[аи]?\s+мину|загроза\s+відсутн|ціл[ья][а-яіїєґ]*\s+(?:знищен|збит|ліквідован)|(?<!\p{L})збито\s+(?:ціл|усі|всі)|повітряний\s+простір\s+вільн"
+#: The letters that denials and withdrawals begin with.
+FIRST_OF_DENIALS = "нбвчзцп"
 ABSENCE = r"(?<!\p{L})нічого\s+не\s+лет|(?<!\p{L})не\s+лет(?:ить|ять)|(?<!\p{L})неактивн[а-яіїєґ]*|(?<!\p{L})не\s+(?:відміча|фіксу|спостеріга|виявля|поміча)[а-яіїєґ]*|повітряний\s+простір\s+чист|чисте\s+небо|(?<!\p{L})без\s+загроз"
 ANTICIPATION = r"(?<!\p{L})очікує|(?<!\p{L})чекає|сподіва|незабаром|(?<!\p{L})скоро(?!\p{L})|згодом|пильност|пильність|не\s+втрача|залишайт|(?<!\p{L})ще\s+не(?!\p{L})"
 CONTRAST = r"(?<!\p{L})(?:але|проте|однак|втім|зате|натомість)(?!\p{L})"
@@ -38,38 +40,44 @@ def with_stances(messages: DataFrame, text_col: str = "text", to: str = "stances
     """messages with struct<asserted, withdrawn>: the classes that a text names, by whether their clause denies them; a
     class named twice may be in both. A denial or withdrawal reaches forward to the end of its clause and back over REACH
     characters, and never across a contrast. Null texts name nothing. Clauses are read for the classes alone that a text
-    holds at all."""
-    denial = _any(f"(?:{NEGATION}|{DE_ESCALATION})")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    held = [text.rlike(_any(p)) for _, p in patterns]
+    holds at all. Patterns are in lower case and find any."""
+    denial = f"(?=[{FIRST_OF_DENIALS}])(?:{NEGATION}|{DE_ESCALATION})"
+    text = F.col("_low")
+    held = [text.rlike(p) for _, p in patterns]
     # columns of their own, so that they are computed once; no denial stands before what a clause's head names
-    rows = messages.withColumn("_held", F.array(*held))
-    rows = rows.withColumn("_parts", F.when(F.array_contains("_held", True), F.split(text, _any(f"{CLAUSE_END}|{CONTRAST}"), -1)))
-    rows = rows.withColumn("_heads", F.transform("_parts", lambda part: F.get(F.split(part, denial, 2), F.lit(0))))
+    rows = messages.withColumn("_low", folded(F.coalesce(F.col(text_col), F.lit("")))).withColumn("_held", F.array(*held))
+    # split compiles its pattern for each text unless that is one plain character; every end of a clause becomes a newline, which is one
+    clauses = F.split(F.regexp_replace(text, f"{CLAUSE_END}|{CONTRAST}", "\n"), "\n", -1)
+    rows = rows.withColumn("_parts", F.when(F.array_contains("_held", True), clauses))
+    # up to the first denial, or all
+    rows = rows.withColumn("_heads", F.transform("_parts", lambda part: F.regexp_extract(part, rf"\A([\s\S]*?)(?:{denial}|\z)", 1)))
 
     def stances(name: str, pattern: str) -> Column:
         last = pattern.count("(") - pattern.count("(?") + 1  # the group after the pattern's own ones
 
-        def stance(part: Column, head: Column) -> Column:
-            free = F.regexp_count(head, F.lit(_any(pattern)))
-            after = F.regexp_extract_all(part, F.lit(_any(f"(?>{pattern})(?=([\\s\\S]{{0,{REACH}}}))")), F.lit(last))
-            denied = F.filter(F.slice(after, F.lit(1), free), lambda x: x.rlike(denial))
-            found = F.struct(F.lit(name).alias("name"), (free > F.size(denied)).alias("asserted"), (F.size(after) > free - F.size(denied)).alias("withdrawn"))
-            return F.when(part.rlike(_any(pattern)), found)
+        def counts(part: Column, head: Column) -> Column:
+            after = F.regexp_extract_all(part, F.lit(f"(?>{pattern})(?=([\\s\\S]{{0,{REACH}}}))"), F.lit(last))
+            some = F.struct(F.regexp_count(head, F.lit(pattern)).alias("free"), after.alias("after"))
+            # without a denial all are free, and one stands for them
+            return F.when(part.rlike(pattern), F.when(head == part, F.struct(F.lit(1).alias("free"), F.array(F.lit("")).alias("after"))).otherwise(some))
 
-        return F.array_compact(F.zip_with("_parts", "_heads", stance))
+        # a step for each value that is used more than once, as a lambda computes it anew for each mention
+        met = F.array_compact(F.zip_with("_parts", "_heads", counts))
+        met = F.transform(met, lambda c: F.struct(c["free"].alias("free"), F.size(c["after"]).alias("all"), F.size(F.filter(F.slice(c["after"], F.lit(1), c["free"]), lambda x: x.rlike(denial))).alias("denied")))
+        return F.transform(met, lambda c: F.struct(F.lit(name).alias("name"), (c["free"] > c["denied"]).alias("asserted"), (c["all"] > c["free"] - c["denied"]).alias("withdrawn")))
 
     every = F.flatten(F.array_compact(F.array(*(F.when(F.get("_held", F.lit(i)), stances(n, p)) for i, (n, p) in enumerate(patterns)))))
     rows = rows.withColumn("_every", every)
     pick = lambda field: F.array_sort(F.array_distinct(F.transform(F.filter("_every", lambda x: x[field]), lambda x: x["name"])))
-    return rows.withColumn(to, F.struct(pick("asserted").alias("asserted"), pick("withdrawn").alias("withdrawn"))).drop("_held", "_parts", "_heads", "_every")
+    return rows.withColumn(to, F.struct(pick("asserted").alias("asserted"), pick("withdrawn").alias("withdrawn"))).drop("_low", "_held", "_parts", "_heads", "_every")
 
 
 def intent(text: Column, stances: Column) -> Column:
     """assertion, de_escalation or none. One class that isn't denied makes an assertion; only a text that anticipates
     nothing takes back."""
-    takes_back = (F.size(stances["withdrawn"]) > 0) | text.rlike(_any(DE_ESCALATION)) | text.rlike(_any(ABSENCE))
-    return F.when(F.size(stances["asserted"]) > 0, F.lit("assertion")).when(takes_back & ~text.rlike(_any(ANTICIPATION)), F.lit("de_escalation")).otherwise(F.lit("none"))
+    low = folded(text)
+    takes_back = (F.size(stances["withdrawn"]) > 0) | low.rlike(DE_ESCALATION) | low.rlike(ABSENCE)
+    return F.when(F.size(stances["asserted"]) > 0, F.lit("assertion")).when(takes_back & ~low.rlike(ANTICIPATION), F.lit("de_escalation")).otherwise(F.lit("none"))
 
 
 def redirect(text: Column) -> Column:

@@ -37,6 +37,17 @@ MOST_COUNT = 300
 APOSTROPHES = "'’ʼ`"
 
 
+#: Letters that differ in case alone from another, and that other; one character each, as regular expressions fold them.
+_CASES = {c: c.upper().lower() if len(c.upper()) == 1 else c.lower() for c in map(chr, (*range(0xD800), *range(0xE000, 0x10000)))}
+_CASES = {c: to for c, to in _CASES.items() if to != c and len(to) == 1}
+
+
+def folded(text: Column) -> Column:
+    """A text without differences of case, as long as before: a pattern in lower case finds in it what it finds in the text
+    with (?iu), several times as fast."""
+    return F.translate(text, "".join(_CASES), "".join(_CASES.values()))
+
+
 def tags(text: Column, patterns: list[tuple[str, str]]) -> Column:
     """The names of the patterns that a text matches anywhere, in the patterns' order."""
     return F.array_compact(F.array(*(F.when(text.rlike(f"(?iu){p}"), F.lit(name)) for name, p in patterns)))

@@ -23,6 +23,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by the keys to all tasks of a shuffle: where few bytes make much work, a number that isn't given would be
+    lowered to fit the bytes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def pick(values: tuple[str | None, ...], i: Column) -> Column:
     return F.get(F.array(*(F.lit(v) for v in values)), (i % len(values)).cast("int"))
 

@@ -25,7 +25,7 @@ def _pick(values: list, column: int | None, i: Column) -> Column:
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, i0 .. i4, text), dealt by event, as few bytes of a file make many sentences."""
-    e, rest = B.load(spark, sf_dir, "events").select("event_id").repartition("event_id"), F.col("event_id")
+    e, rest = B.dealt(B.load(spark, sf_dir, "events").select("event_id"), "event_id"), F.col("event_id")
     for n, part in enumerate(PARTS):
         e = e.withColumn(f"i{n}", rest % len(part))
         rest = F.floor(rest / len(part))
