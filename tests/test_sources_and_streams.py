@@ -11,6 +11,15 @@ def bodies(spark, *values):
     return spark.createDataFrame([(v if isinstance(v, str) else json.dumps(v, ensure_ascii=False),) for v in values], "body string")
 
 
+def test_an_alert_is_parsed_once(spark, small):
+    """The last one of a field that comes twice counts, as in a parser of whole objects; bodies are dealt to all tasks."""
+    from tidemark.plans import rule_queries
+
+    rows = feeds.alert_snapshot(spark.createDataFrame([('[{"id": "1", "id": "2", "alerts": [{"type": "A", "type": "B"}]}]',), ("[7]",), (None,)], "body string"))
+    assert [(r.location_key, r.alert_type, r.active) for r in rows.collect()] == [("2", "b", True)]
+    assert rule_queries.feed_alerts(spark, small).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_alert_snapshots_of_every_shape(spark):
     region = {"regionId": 7, "regionName": "Сумська", "activeAlerts": [{"type": "AIR", "lastUpdate": "2024-01-01T00:00:00Z"}, {"type": "ARTILLERY", "active": False}]}
     flat = {"id": "9", "name": "Київ", "status": "Ongoing", "parent_name": " Область "}

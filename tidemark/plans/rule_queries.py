@@ -197,7 +197,7 @@ def feed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = F.concat(own, F.lit(', "activeAlerts": [{"type": "AIR", "id": "x'), n.cast("string"), F.lit('"}, {"type": "ARTILLERY", "active": false, "id": "y'), n.cast("string"), F.lit('"}]}'))
     flat = F.concat(own, F.lit(', "status": "'), B.pick(("Ongoing", "over"), k), F.lit('", "id": "z'), n.cast("string"), F.lit('"}'))
     body = F.when(n % 4 == 0, F.concat(F.lit("["), nested, F.lit("]"))).when(n % 4 == 1, F.concat(F.lit('{"states": ['), flat, F.lit("]}"))).when(n % 4 == 2, F.concat(F.lit('{"data": ['), nested, F.lit(", "), flat, F.lit(", 5]}"))).otherwise(F.lit("no body"))
-    return feeds.alert_snapshot(_events(spark, sf_dir).select("event_id", body.alias("body"))).select("event_id", "location_key", "location_name", "alert_type", "active", "external_id")
+    return feeds.alert_snapshot(B.dealt(_events(spark, sf_dir).select("event_id", "k"), "event_id").select("event_id", body.alias("body"))).select("event_id", "location_key", "location_name", "alert_type", "active", "external_id")
 
 
 FEED = f"""WITH {EV}, x AS (

@@ -32,25 +32,38 @@ def _array(text: Column) -> Column:
     return F.when(F.ltrim(text).startswith("["), F.from_json(text, "array<string>"))
 
 
+def _objects(texts: Column, names: tuple[str, ...]) -> Column:
+    """Each of the JSON texts as a struct of these fields, strings all, in one pass over it; null for what is no object."""
+    return F.transform(texts, lambda x: F.when(x.startswith("{"), F.from_json(x, ", ".join(f"`{n}` string" for n in names))))
+
+
+#: What an alert may say, and a region beside its own alert.
+ALERT_FIELDS = (*KEY_NAMES, "id", *NAME_NAMES, "name", *TYPE_NAMES, *START_NAMES, *ACTIVE_NAMES, "status", "parentName", "parent_name")
+
+
 def alert_snapshot(bodies: DataFrame, body_col: str = "body") -> DataFrame:
     """bodies with location_key, location_name, parent_name, alert_type, active, started_at and external_id: a row for each
     alert of each region. The root is an array, or an object that has one under a known name; a region may hold alerts of its
-    own, which count as active unless they say otherwise."""
+    own, which count as active unless they say otherwise. Of a field that comes twice in an object the last one counts."""
     body = F.col(body_col)
-    rows = F.coalesce(_array(body), *(_array(F.get_json_object(body, f"$.{n}")) for n in ROOT_NAMES))
-    regions = bodies.select("*", F.posexplode(rows).alias("_i", "_region")).where(F.col("_region").startswith("{"))
-    nested = F.coalesce(*(_array(F.get_json_object("_region", f"$.{n}")) for n in NESTED_NAMES))
-    alerts = regions.select("*", nested.isNotNull().alias("_nested"), F.posexplode(F.coalesce(nested, F.array("_region"))).alias("_j", "_alert")).where(F.col("_alert").startswith("{"))
-    either = lambda names, *more: F.coalesce(_first(F.col("_alert"), names), _first(F.col("_region"), (*names, *more)))
+    # outer generators: an inner one has the optimiser ask below it whether there are any elements, and so parse them twice
+    root = F.get(_objects(F.array(F.ltrim(body)), ROOT_NAMES), F.lit(0))
+    rooted = bodies.withColumn("_root", root).withColumn("_rows", F.coalesce(_array(body), *(_array(F.col("_root")[n]) for n in ROOT_NAMES)))
+    regions = rooted.select(*bodies.columns, F.posexplode_outer(_objects(F.col("_rows"), (*ALERT_FIELDS, *NESTED_NAMES))).alias("_i", "_region")).where(F.col("_region").isNotNull())
+    regions = regions.withColumn("_nested", F.coalesce(*(_array(F.col("_region")[n]) for n in NESTED_NAMES)))
+    own = F.array(F.struct(*(F.col("_region")[n].alias(n) for n in ALERT_FIELDS)))
+    alerts = regions.select(*bodies.columns, "_i", "_region", F.col("_nested").isNotNull().alias("_nested"), F.posexplode_outer(F.when(F.col("_nested").isNotNull(), _objects(F.col("_nested"), ALERT_FIELDS)).otherwise(own)).alias("_j", "_alert")).where(F.col("_alert").isNotNull())
+    first = lambda part, names: F.coalesce(*(F.col(part)[n] for n in names))
+    either = lambda names, *more: F.coalesce(first("_alert", names), first("_region", (*names, *more)))
     key, name = F.coalesce(either(KEY_NAMES, "id"), F.lit("")), F.coalesce(either(NAME_NAMES, "name"), F.lit(""))
     flag = either(ACTIVE_NAMES)
     status = F.lower(F.coalesce(either(("status",)), F.lit("")))
     active = F.when(flag.isin("true", "false"), flag == "true").when(F.col("_nested"), F.lit(True)).otherwise(status.isin(*ACTIVE_WORDS))
-    kind = F.coalesce(_first(F.col("_alert"), TYPE_NAMES), F.lit("AIR"))
+    kind = F.coalesce(first("_alert", TYPE_NAMES), F.lit("AIR"))
     started = F.try_to_timestamp(either(START_NAMES))
     number = F.concat_ws("-", F.when(key != "", key).otherwise(name), F.upper(kind), F.date_format(started, "yyyy-MM-dd'T'HH:mm:ss"), F.col("_i").cast("string"), F.col("_j").cast("string"))
     out = alerts.where((key != "") | (name != ""))
-    return out.select(*bodies.columns, key.alias("location_key"), name.alias("location_name"), F.nullif(F.trim(either(("parentName", "parent_name"))), F.lit("")).alias("parent_name"), F.lower(kind).alias("alert_type"), active.alias("active"), started.alias("started_at"), F.coalesce(F.get_json_object("_alert", "$.id"), number).alias("external_id"))
+    return out.select(*bodies.columns, key.alias("location_key"), name.alias("location_name"), F.nullif(F.trim(either(("parentName", "parent_name"))), F.lit("")).alias("parent_name"), F.lower(kind).alias("alert_type"), active.alias("active"), started.alias("started_at"), F.coalesce(F.col("_alert")["id"], number).alias("external_id"))
 
 
 def region_map(bodies: DataFrame, body_col: str = "body") -> DataFrame:
