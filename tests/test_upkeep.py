@@ -86,6 +86,13 @@ def test_sheets_are_read_as_files(spark, tmp_path):
     ]
 
 
+def test_an_entry_of_a_region_array_is_parsed_once(spark):
+    """The last one of a field that comes twice counts, as in a parser of whole objects."""
+    body = '{"raw": [{"regionName": "a", "regionName": "b", "activeAlerts": [{"type": "X", "type": "AIR", "lastUpdate": "2024-01-01T00:00:00Z"}]}]}'
+    rows = feeds.region_array(spark.createDataFrame([(body, None), (None, None)], "body string, cached_at timestamp"))
+    assert [r.name for r in rows.collect()] == ["b"]
+
+
 def test_odd_bodies_of_a_region_array(spark):
     df = lambda *bodies: spark.createDataFrame([(b if isinstance(b, str) else json.dumps(b), T0) for b in bodies], "body string, cached_at timestamp")
     body = {"raw": [{"regionName": "X", "activeAlerts": [{"type": "AIR"}, {"type": "AIR", "lastUpdate": "2024-01-10T01:00:00Z"}]}, {"regionName": "Y", "activeAlerts": []}, {"regionName": "Z"}, None, 5, {"regionName": "S", "regionType": "State", "lastUpdate": "2024-01-09T00:00:00Z", "activeAlerts": [{"type": " air_raid "}]}]}

@@ -55,7 +55,7 @@ UNION ALL SELECT 'significance', CASE WHEN s2 THEN 'significant' ELSE 'ignored:
 def feed_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A body for each event, of three regions with alerts of some types and stamps, read, put into the general shape and
     read again."""
-    e = B.load(spark, sf_dir, "events").select("event_id", F.col("ts"))
+    e = B.dealt(B.load(spark, sf_dir, "events").select("event_id", "ts"), "event_id")
     n, stamp = F.col("event_id"), lambda s: F.date_format(F.timestamp_micros(F.unix_micros("ts") + s * 1_000_000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     alert = lambda kind, at: F.concat(F.lit('{"type": "'), kind, F.lit('"'), F.when(at.isNotNull(), F.concat(F.lit(', "lastUpdate": "'), at, F.lit('"'))).otherwise(F.lit("")), F.lit("}"))
     region = lambda name, level, *alerts: F.concat(F.lit('{"regionName": "'), name, F.lit('", "regionType": "' + level + '", "activeAlerts": ['), F.concat_ws(", ", *alerts), F.lit("]}"))

@@ -91,17 +91,24 @@ def region_array(bodies: DataFrame, body_col: str = "body", stamp_col: str = "ca
     neither counts from the body's own stamp at the latest. A name that comes twice, in whatever case, is one region: the
     first one's name and level, the earliest beginning. Entries without a name or a list of alerts are left out, as are bodies
     without the array. The parsed shape is the whole of what is read, so more fields don't matter."""
-    body, text = F.col(body_col), lambda c, path: F.get_json_object(c, path)
-    entries = bodies.select(F.sha2(body, 256).alias("checksum"), F.col(stamp_col).alias("_stamp"), F.posexplode(_array(text(body, "$.raw"))).alias("_i", "_e"))
-    alerts = _array(text(F.col("_e"), "$.activeAlerts"))
-    name = F.btrim(F.regexp_replace(text(F.col("_e"), "$.regionName"), r"\s+", " "))
-    rows = entries.select("*", name.alias("_name"), alerts.alias("_alerts")).where((F.col("_name") != "") & F.col("_alerts").isNotNull())
-    air = F.filter("_alerts", lambda a: F.upper(F.trim(text(a, "$.type"))).isin(*AIR_TYPES))
-    stamps = F.transform(air, lambda a: F.coalesce(F.try_to_timestamp(text(a, "$.lastUpdate")), F.try_to_timestamp(text(F.col("_e"), "$.lastUpdate"))))
-    rows = rows.withColumn("_at", stamps).where(F.size("_at") > 0)
-    first = F.when(F.get("_at", F.lit(0)).isNull(), F.col("_stamp"))
-    level = text(F.col("_e"), "$.regionType")
-    each = rows.select("checksum", "_i", "_name", F.when(level.isin(*ARRAY_LEVELS), level).otherwise("other").alias("_level"), F.array_min(F.concat("_at", F.array(first))).alias("_began"))
+    body = F.col(body_col)
+    # each text is parsed once, in a step of its own, as a lambda computes what it mentions anew
+    entries = _objects(_array(F.get_json_object(body, "$.raw")), ("regionName", "regionType", "lastUpdate", "activeAlerts"))
+
+    def listed(e: Column) -> Column:
+        name = F.btrim(F.regexp_replace(e["regionName"], r"\s+", " "))
+        return F.struct(name.alias("name"), e["regionType"].alias("level"), e["lastUpdate"].alias("stamp"), _objects(_array(e["activeAlerts"]), ("type", "lastUpdate")).alias("alerts"))
+
+    def begun(e: Column) -> Column:
+        air = F.filter(e["alerts"], lambda a: F.upper(F.trim(a["type"])).isin(*AIR_TYPES))
+        stamps = F.transform(air, lambda a: F.coalesce(F.try_to_timestamp(a["lastUpdate"]), F.try_to_timestamp(e["stamp"])))
+        return F.struct(e["name"].alias("name"), e["level"].alias("level"), stamps.alias("at"))
+
+    regions = F.transform(F.transform(entries, listed), begun)
+    rows = bodies.select(F.sha2(body, 256).alias("checksum"), F.col(stamp_col).alias("_stamp"), F.posexplode_outer(regions).alias("_i", "_e")).where((F.col("_e.name") != "") & (F.size("_e.at") > 0))
+    first = F.when(F.get("_e.at", F.lit(0)).isNull(), F.col("_stamp"))
+    level = F.when(F.col("_e.level").isin(*ARRAY_LEVELS), F.col("_e.level")).otherwise("other")
+    each = rows.select("checksum", "_i", F.col("_e.name").alias("_name"), level.alias("_level"), F.array_min(F.concat("_e.at", F.array(first))).alias("_began"))
     whole = each.groupBy("checksum", F.lower("_name").alias("_key")).agg(F.min_by("_name", "_i").alias("name"), F.min_by("_level", "_i").alias("level"), F.min("_began").alias("changed_at"))
     return whole.select("checksum", "name", "level", "changed_at")
 
