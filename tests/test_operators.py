@@ -153,6 +153,23 @@ def test_stances_and_intent_take_any_case(spark, small):
     assert speech_queries.sentences(spark, small).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_lifecycles_of_odd_keys_in_more_tasks_for_more_rows(spark, small, monkeypatch):
+    """Null keys meet no withdrawal, keys without a claim have no row; a larger table is sorted in more tasks."""
+    from tests.comparing import same
+    from tidemark.operators import states
+    from tidemark.plans import binding, state_queries
+
+    at = lambda *rows: spark.createDataFrame([(k, n and datetime(2024, 1, n)) for k, n in rows], "k string, at timestamp")
+    claims, withdrawals = at(("a", 1), ("a", 3), (None, 1), ("b", 2), ("e", None)), at(("a", 2), ("a", 5), ("a", 4), (None, 9), ("b", 1), ("c", 1), ("b", None))
+    for tasks in (None, 20):
+        got = {r.k: (r.asserted_at and r.asserted_at.day, r.withdrawn_at and r.withdrawn_at.day) for r in states.lifecycle(claims, withdrawals, ["k"], 60, tasks).collect()}
+        assert got == {"a": (3, 4), None: (1, None), "b": (2, None), "e": (None, None)}
+    monkeypatch.setattr(binding, "ROWS_PER_TASK", 300)
+    query, sql = state_queries.QUERIES["assertion_lifecycle"]
+    assert query(spark, small).rdd.getNumPartitions() == -(-binding.load(spark, small, "lineitem").count() // 300) > 8
+    same(query, sql, spark, small)
+
+
 def test_tokens_of_a_long_text_take_time_in_proportion(spark):
     import time
 

@@ -38,13 +38,25 @@ def revisions(messages: DataFrame) -> DataFrame:
     return seen.withColumn("revision", number)
 
 
-def lifecycle(claims: DataFrame, withdrawals: DataFrame, keys: list[str], valid_seconds: int) -> DataFrame:
+def lifecycle(claims: DataFrame, withdrawals: DataFrame, keys: list[str], valid_seconds: int, tasks: int | None = None) -> DataFrame:
     """State of each claim after its assertions (keys, at) and withdrawals (keys, at) in the order of their instants: the
     last assertion opens it, the first withdrawal from then on closes it."""
-    asserted = claims.groupBy(*keys).agg(F.max("at").alias("asserted_at"))
-    joined = asserted.join(withdrawals.select(*keys, F.col("at").alias("w")), keys, "left")
-    state = joined.groupBy(*keys, "asserted_at").agg(F.min(F.when(F.col("w") >= F.col("asserted_at"), F.col("w"))).alias("withdrawn_at"))
-    return state.withColumn("valid_until", F.timestamp_micros(F.unix_micros("asserted_at") + valid_seconds * 1_000_000))
+    never = F.lit(None).cast("timestamp")
+    opened = claims.select(*keys, F.col("at").alias("asserted_at"), never.alias("withdrawn_at"), F.lit(True).alias("claimed"))
+    return lifecycle_of(opened.unionByName(withdrawals.select(*keys, never.alias("asserted_at"), F.col("at").alias("withdrawn_at"), F.lit(False).alias("claimed"))), keys, valid_seconds, tasks)
+
+
+def lifecycle_of(facts: DataFrame, keys: list[str], valid_seconds: int, tasks: int | None = None) -> DataFrame:
+    """lifecycle of facts (keys, asserted_at, withdrawn_at, claimed), each of which may assert, withdraw or do both; keys that none
+    claims have no row. One shuffle by the keys, to so many tasks if given, and one sort of what a task gets."""
+    known = F.lit(True)  # a withdrawal meets equal keys, and null equals none
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    rows = facts.select(*keys, "asserted_at", "withdrawn_at", "claimed")
+    rows = (rows.repartition(tasks, *keys) if tasks else rows).withColumn("_last", F.max("asserted_at").over(Window.partitionBy(*keys)))
+    closing = F.when(known & (F.col("withdrawn_at") >= F.col("_last")), F.col("withdrawn_at"))
+    state = rows.groupBy(*keys, F.col("_last").alias("asserted_at")).agg(F.min(closing).alias("withdrawn_at"), F.bool_or("claimed").alias("_claimed"))
+    return state.where("_claimed").drop("_claimed").withColumn("valid_until", F.timestamp_micros(F.unix_micros("asserted_at") + valid_seconds * 1_000_000))
 
 
 def support(claims: DataFrame, at: datetime) -> DataFrame:

@@ -29,6 +29,17 @@ def dealt(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+#: Rows that a task sorts at the most, about.
+ROWS_PER_TASK = 500_000
+
+
+def tasks(table: DataFrame) -> int | None:
+    """How many tasks a shuffle of a table's rows needs, if more than the session has it do; the count is read from the files'
+    footers."""
+    n = -(-table.count() // ROWS_PER_TASK)
+    return n if n > int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def pick(values: tuple[str | None, ...], i: Column) -> Column:
     return F.get(F.array(*(F.lit(v) for v in values)), (i % len(values)).cast("int"))
 
@@ -135,7 +146,11 @@ SOURCES_SQL = """src AS (
 
 
 def assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "lineitem").join(load(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines, orders = load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "orders")
+    n = tasks(lines)
+    if n:
+        lines, orders = lines.repartition(n, "l_orderkey"), orders.repartition(n, "o_orderkey")
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     at = F.timestamp_micros(F.unix_micros("o_orderdate") + F.col("l_linenumber") * 3_600_000_000)
     withdrawn = (F.col("l_returnflag") == "R") & (F.col("l_shipdate") > at)
     return rows.select(

@@ -62,7 +62,7 @@ FROM (SELECT role AS source_id, (conv_id % 50)::VARCHAR AS external_id, sha256(t
 def assertion_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = B.assertions(spark, sf_dir)
     key = ["source_id", "location_id", "threat_type"]
-    rows = S.lifecycle(a.select(*key, F.col("asserted_at").alias("at")), a.where(F.col("withdrawn_at").isNotNull()).select(*key, F.col("withdrawn_at").alias("at")), key, 30 * 86_400)
+    rows = S.lifecycle_of(a.withColumn("claimed", F.lit(True)), key, 30 * 86_400, B.tasks(B.load(spark, sf_dir, "lineitem")))
     return rows.select(*key, *(stamped(F.col(c)).alias(c) for c in ("asserted_at", "withdrawn_at", "valid_until")))
 
 
