@@ -95,3 +95,43 @@ def test_texts_are_never_broadcast_and_meet_names_once(spark):
     places = spark.createDataFrame([(*row, i) for i, row in enumerate(CATALOGUE)], "location_id string, name string, aliases array<string>, type string, oblast_id string, geocoded boolean, ord int")
     plan = G.linked_places(messages, places, 5)._jdf.queryExecution().executedPlan().toString()
     assert "BuildLeft" not in plan and plan.count("BroadcastHashJoin") == 1 and plan.count("hashpartitioning(id") == 1 and "SortMergeJoin" not in plan
+
+
+def test_words_that_begin_names_leave_their_text_once(spark):
+    """Without names every token has its keys and ends as with_tokens has them; with names a word that nothing can cover has one
+    row for each spelling, and words that go on to no name, or begin none, have none."""
+    from tidemark.functions import speech as S
+
+    texts = ["Київ, Київ! Нова Гута, нова хата; Гута\x01Гута Зазим’я Зазимʼя Зазим’я", "İ 😀 Київ", "", None, "-- '", "Гута"] * 30
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    tokens = {(r.id, i): t for r in S.with_tokens(rows).collect() for i, t in enumerate(r.tokens)}
+    every = {(r.id, r.n): r for r in S.first_spans(rows, 3).collect()}
+    assert set(every) == set(tokens) and all((r.keys[0], r.start, r.ends[0]) == tuple(tokens[at]) for at, r in every.items())
+    assert all([(k, e) for k, e in zip(r.keys, r.ends)] == [(t.key, t.end) for t in (tokens.get((r.id, r.n + o)) for o in range(3)) if t] for r in every.values())
+    firsts = {"київ": (1, 1, set()), "нова": (2, 2, {"гута"}), "гута": (1, 1, set()), "зазимя": (1, 1, set())}
+    got = sorted((r.n, r.keys, r.start, r.ends) for r in S.first_spans(rows, 3, firsts, {"гута"}).collect() if r.id == 60)
+    # the second Гута is in Нова Гута and may be covered
+    assert got == [(0, ["київ"], 0, [4]), (2, ["нова", "гута"], 12, [16, 21]), (3, ["гута"], 17, [21]), (6, ["гута"], 34, [38]), (8, ["зазимя"], 44, [51]), (9, ["зазимя"], 52, [59])]
+
+
+@pytest.mark.parametrize("longest", [None, 2])
+def test_names_that_are_too_many_to_broadcast_name_the_same(spark, catalogue, monkeypatch, longest):
+    from tidemark.operators import places as P
+
+    texts = spark.createDataFrame([(i, f"{t}, Нова Гута. Городок та Мена, {t}") for i, (t, _) in enumerate(TEXTS) if t], "id int, text string")
+    want = sorted(map(tuple, G.linked_places(texts, catalogue, longest, 5).collect()))
+    monkeypatch.setattr(P, "MOST_BROADCAST", 0)
+    merged = G.linked_places(texts, catalogue, longest)
+    assert sorted(map(tuple, merged.collect())) == want and {r[1] for r in want} >= {"long", "guta", "kyiv_o", "brov_r"}
+    assert "SortMergeJoin" in merged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_documents_are_dealt_to_more_tasks_if_they_are_more(spark, small, monkeypatch):
+    """However few files they come from; the rows stay those of the SQL."""
+    from tests.comparing import same
+    from tidemark.plans import place_queries
+
+    query, sql = place_queries.QUERIES["place_links"]
+    monkeypatch.setattr(place_queries, "DOCUMENTS_PER_TASK", 15)
+    assert query(spark, small).rdd.getNumPartitions() == 14
+    same(query, sql, spark, small)

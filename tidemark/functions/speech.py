@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection, Iterable, Iterator, Mapping
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import values as V
@@ -30,6 +35,8 @@ ORIGIN_ZONES: list[tuple[str, str]] = [
 FORECASTS = ["прогноз", "спрогноз", "передбачаєм", "передбачаю", "очікуєть", "очікуват", "очікуєм", "очікуй", "завдад", "атакуват", "буде атак", "будуть атак", "буде удар", "будуть удар", "планує", "планують", "готує удар", "готують удар", "намір", "наступн ціл", "цілі на", "ризик влучан", "під загроз буд", "ймовірн ціл", "ймовірн удар", "ймовірн атак", "ймовірн приліт", "ймовірн прильот", "ймовірн напрям", "найімовірніш", "найближч годин", "найближч доб", "найближч ноч"]
 #: How far a denial reaches back to the class that it follows, in characters.
 REACH = 30
+#: Bytes of texts that are cut into words at once.
+CHUNK_BYTES = 4 << 20
 
 
 def _any(pattern: str) -> str:
@@ -145,3 +152,73 @@ def with_spans(rows: DataFrame, most: int, tokens: str = "tokens", to: str = "sp
     # below all projections whether there are any, and so compute the nested arrays anew
     cut = rows.withColumn("_spans", F.transform(tokens, lambda t, i: F.slice(F.col(tokens), i + 1, most))).drop(tokens)
     return cut.select(*[c for c in cut.columns if c != "_spans"], F.posexplode_outer("_spans").alias("n", to))
+
+
+def _words(low: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All words of texts in lower case: as they are spelled, the text, the number in it, start and end in its characters. No
+    text holds the character 1."""
+    parts = pc.split_pattern(pc.replace_substring_regex(low, pattern=V.WORD, replacement="\x01\\0\x01"), "\x01")
+    flat, offsets = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
+    words = np.diff(offsets) // 2  # between the words, before and after them are gaps
+    text = np.repeat(np.arange(len(words)), words)
+    n = np.arange(len(text)) - (np.cumsum(words) - words)[text]
+    at = offsets[text] + 2 * n + 1
+    before = np.concatenate([[0], np.cumsum(pc.utf8_length(flat).to_numpy(), dtype=np.int64)])
+    base = before[offsets[text]]
+    return flat.take(pa.array(at)).dictionary_encode(), text, n, before[at] - base, before[at + 1] - base
+
+
+def first_spans(messages: DataFrame, most: int, firsts: Mapping[str, tuple[int, int, Collection[str] | None]] | None = None, inner: Collection[str] = ()) -> DataFrame:
+    """(id, n, start, keys, ends) of messages (id, text), a row for each token: its number, where it starts, and the keys and ends of
+    it and those after it, `most` in all at the most; keys and places are those of with_tokens.
+
+    firsts: the keys alone that are asked for, each with how few and how many tokens are of use, and the keys that may come second,
+    where not all of inner may; of those after the first, only keys in inner are of use, and a span ends before another one. Of
+    tokens that are alone in their spans and in no span of one before there is one row for each spelling in a text, the first."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if firsts is not None:
+            sought, others = pa.array(list(firsts), pa.string()), pa.array(list(inner), pa.string())
+            # the last for keys that aren't asked for, whose place is -1
+            least, reach = (np.array([*(x[k] for x in firsts.values()), 0], np.int64) for k in (0, 1))
+            places = {key: i for i, key in enumerate(inner)}
+            pairs = np.array([i * len(places) + places[key] for i, x in enumerate(firsts.values()) for key in x[2] or ()], np.int64)
+            checked = np.array([*(x[2] is not None for x in firsts.values()), False])
+        for batch in batches:
+            size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(), dtype=np.int64)
+            cuts = np.flatnonzero(np.diff(size // CHUNK_BYTES)) + 1
+            for start, stop in zip([0, *cuts], [*cuts, batch.num_rows]):
+                part = batch.slice(start, stop - start)
+                spelled, text, n, begin, end = _words(part.column(1).cast(pa.string()))
+                codes, i = spelled.indices.to_numpy(), np.arange(len(n))
+                keys = pc.replace_substring_regex(spelled.dictionary, pattern=f"[{V.APOSTROPHES}]", replacement="")
+                ends_span = n == 0
+                if firsts is None:
+                    few, many = np.ones(len(n), np.int64), np.full(len(n), most)
+                else:
+                    place = pc.fill_null(pc.index_in(keys, value_set=sought), -1).to_numpy()
+                    few, many = least[place][codes], np.minimum(reach[place], most)[codes]
+                    other = pc.fill_null(pc.index_in(keys, value_set=others), -1).to_numpy().astype(np.int64)[codes]
+                    ends_span |= other < 0
+                # up to the next token that ends a span
+                until = np.minimum.accumulate(np.append(np.where(ends_span, i, len(n)), len(n))[::-1])[::-1][1:]
+                many = np.minimum(many, until - i)
+                if firsts is not None:
+                    more = np.flatnonzero((many > 1) & checked[place][codes])
+                    met = np.isin(place.astype(np.int64)[codes[more]] * len(others) + other[more + 1], pairs)
+                    many[more[~met]] = 1
+                kept = np.flatnonzero((many > 0) & (many >= few))
+                if firsts is not None:
+                    over = np.maximum.accumulate(kept + many[kept])
+                    alone = (many[kept] == 1) & (np.append(0, over[:-1])[: len(kept)] <= kept)
+                    _, one = np.unique(text[kept[alone]] * len(keys) + codes[kept[alone]], return_index=True)
+                    kept = np.sort(np.concatenate([kept[~alone], kept[alone][one]]))
+                offsets = np.append(0, np.cumsum(many[kept]))
+                at = np.repeat(kept - offsets[:-1], many[kept]) + np.arange(offsets[-1])
+                lists = lambda values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+                columns = [part.column(0).take(pa.array(text[kept])), pa.array(n[kept], pa.int32()), pa.array(begin[kept], pa.int32()), lists(keys.take(pa.array(codes[at]))), lists(pa.array(end[at], pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "start", "keys", "ends"])
+
+    # lower makes odd bytes valid
+    low = F.replace(F.lower(F.coalesce("text", F.lit(""))), F.lit("\x01"), F.lit(" "))
+    return messages.select("id", low.alias("text")).mapInArrow(run, f"id {messages.schema['id'].dataType.simpleString()}, n int, start int, keys array<string>, ends array<int>")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from ..functions.folds import once
 from ..functions.speech import with_spans, with_tokens
@@ -22,6 +22,16 @@ def beside_texts(names: DataFrame) -> DataFrame:
     return names.hint("broadcast" if names.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else "merge")
 
 
+def gathered(names: DataFrame, places: str = "places") -> tuple[DataFrame, list[Row] | None]:
+    """names, each with an array of its places, to be joined with the words of texts as beside_texts has it, and their rows, if
+    they are few and have few places; these are computed once."""
+    n, borne = names.agg(F.count("*"), F.coalesce(F.sum(F.size(places)), F.lit(0))).first()
+    if n > MOST_BROADCAST or borne > 10 * MOST_BROADCAST:
+        return names.hint("merge"), None
+    rows = names.collect()
+    return names.sparkSession.createDataFrame(rows, names.schema).hint("broadcast"), rows
+
+
 def place_mentions(messages: DataFrame, forms: DataFrame, most_words: int = 3) -> DataFrame:
     """(id, start, end, location_id) of the places that texts name. messages: (id, text); forms: (form, location_id, type)
     of all spellings, in lower case. The longest of overlapping names counts; where several places bear it, the only oblast

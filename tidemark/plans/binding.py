@@ -33,10 +33,10 @@ def dealt(rows: DataFrame, *keys: str) -> DataFrame:
 ROWS_PER_TASK = 500_000
 
 
-def tasks(table: DataFrame) -> int | None:
+def tasks(table: DataFrame, rows: int | None = None) -> int | None:
     """How many tasks a shuffle of a table's rows needs, if more than the session has it do; the count is read from the files'
-    footers."""
-    n = -(-table.count() // ROWS_PER_TASK)
+    footers. rows: of a task, if not ROWS_PER_TASK."""
+    n = -(-table.count() // (rows or ROWS_PER_TASK))
     return n if n > int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
 
 

@@ -9,6 +9,10 @@ from ..operators import gazetteer as G, scoped as C
 from . import binding as B
 
 
+#: Documents whose places a task links at the most, about.
+DOCUMENTS_PER_TASK = 20_000
+
+
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places named after the benchmark's items: an item of every three is an oblast, called by the item's first word; the
     others lie in the oblast before them and are called by its second and third words, by its fourth to ninth, and, as an
@@ -27,9 +31,11 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def place_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places of the catalogue in all documents."""
-    messages = B.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return G.linked_places(messages, catalogue(spark, sf_dir)).select(F.col("id").alias("doc_id"), "location_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
+    """Places of the catalogue in all documents. Texts are dealt to all tasks, however many files they come from."""
+    documents = B.load(spark, sf_dir, "documents")
+    n, messages = B.tasks(documents, DOCUMENTS_PER_TASK), documents.select(F.col("doc_id").alias("id"), "text")
+    messages = messages.repartition(n, "id") if n else B.dealt(messages, "id")
+    return G.linked_places(messages, catalogue(spark, sf_dir), tasks=n).select(F.col("id").alias("doc_id"), "location_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
 
 
 #: Words end where neither a letter, a digit nor an apostrophe or hyphen between two of them follows; Latin names have one form.
